@@ -25,5 +25,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
-QUERIES = {"op1_packing": op1_packing, "op6_quality_rules": op6_quality_rules}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import hexadecimal, near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op6_quality_rules, op10_simhash)}
 ORACLES: dict[str, str] = {}
