@@ -32,5 +32,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_quality_rules, op10_simhash)}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymised
+
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "text", F.size("found").cast("long").alias("n_found"), F.array_join("found.kind", ",").alias("kinds"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op6_quality_rules, op9_decontamination, op10_simhash)}
 ORACLES: dict[str, str] = {}
