@@ -123,28 +123,23 @@ def best_fit_plan(counts: dict[int, int], capacity: int, first: int = 0) -> list
         while left:
             r = tree.tightest(length)
             if r is None:
-                each = capacity // length  # a new window takes the next equal pieces too, as the tightest
-                r, windows = capacity, max(1, left // each)
-                window, n = fresh, windows
-                fresh += windows
-                if windows * each <= left and each > 1:
-                    for k in range(each):
-                        steps.append((length, rank + k * windows, windows, window, k * length))
-                    rank, left = rank + each * windows, left - each * windows
-                    leave(capacity - each * length, window, windows)
-                    continue
+                r, window, n = capacity, fresh, -(-left // (capacity // length))
+                fresh += n
             else:
                 window, n = runs[r].popleft()
                 if not runs[r]:
                     tree.set(r, False)
-            used = min(n, left)
-            steps.append((length, rank, used, window, capacity - r))
-            leave(r - length, window, used)
+            # A window just used is the tightest as long as it has room, so it takes the next equal pieces first.
+            each = min(r // length, left)
+            used = min(n, left // each)
+            for k in range(each):
+                steps.append((length, rank + k * used, used, window, capacity - r + k * length))
+            rank, left = rank + each * used, left - each * used
+            leave(r - each * length, window, used)
             if used < n:
                 if not runs[r]:
                     tree.set(r, True)
                 runs[r].appendleft((window + used, n - used))
-            rank, left = rank + used, left - used
     return steps
 
 
