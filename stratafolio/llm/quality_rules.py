@@ -110,7 +110,8 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_bullet_lines": F.size(F.filter("lines", lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).cast("long"),
         "n_ellipsis_lines": F.size(F.filter("lines", lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))).cast("long"),
     }
-    return step.select("row", F.struct(*(c.alias(k) for k, c in m.items())).alias("m"))
+    # A filter on the verdict must not move below this step and compute the measures again inside itself; a row number stops it.
+    return step.select("row", F.struct(*(c.alias(k) for k, c in m.items())).alias("m"), F.monotonically_increasing_id().alias("place"))
 
 
 def failed_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -139,4 +140,4 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     gives no rows, a text of any length is measured whole.
     """
     scored = measured(docs).select("*", failed_rules(F.col("m"), rules).alias("broken"), base_failed(F.col("m")).alias("base_failed"))
-    return scored.select("*", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"))
+    return scored.select("*", (~F.col("base_failed") & (F.size("broken") == 0) & (F.col("place") >= 0)).alias("kept"))
