@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import remainder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -45,5 +45,30 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_pii, op6_quality_rules, op9_decontamination, op10_simhash)}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predicted, trained
+
+    docs = table(spark, sf_dir, "documents")
+    model = trained(docs.where(remainder(F.col("doc_id"), 5) != 0).select("doc_id", "text", "lang"))
+    out = predicted(docs, model)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_reputation import judged, outcomes_of
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged(pages, outcomes_of(pages, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import scored, trained
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = trained(docs, labels.where(remainder(F.col("doc_id"), 3) != 1))
+    out = scored(docs, model)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_pii, op4_url_filters, op6_quality_rules, op8_quality_classifier, op9_decontamination, op10_simhash)}
 ORACLES: dict[str, str] = {}
