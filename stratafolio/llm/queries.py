@@ -18,6 +18,12 @@ def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return pack(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -61,6 +67,15 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(pages, outcomes_of(pages, table(spark, sf_dir, "labels")))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown_lm import scored, trained
+
+    docs = table(spark, sf_dir, "documents")
+    model, counts = trained(docs.where(remainder(F.col("doc_id"), 7) != 2).select("text"))
+    out = scored(docs, model, counts)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import scored, trained
 
@@ -70,5 +85,5 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_pii, op4_url_filters, op6_quality_rules, op8_quality_classifier, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_pii, op4_url_filters, op5_suffix_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_decontamination, op10_simhash)}
 ORACLES: dict[str, str] = {}
