@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, table
+from .oracles import ORACLES  # noqa: F401  registered with the queries
 
 
 def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -86,4 +87,4 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_pii, op4_url_filters, op5_suffix_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_decontamination, op10_simhash)}
-ORACLES: dict[str, str] = {}
+
