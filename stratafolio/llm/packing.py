@@ -11,6 +11,7 @@ all pieces, its size depends on `capacity` and not on the corpus.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -23,35 +24,44 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Words whose ids a worker remembers; when full, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Documents whose unknown words are encoded together.
+TOGETHER = 200
 #: Separators for str.split() that the tokenizer's own white space does not contain.
 ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class WordIds(dict):
-    """Little-endian ids of each word, encoded on first sight. The vocabulary's splitter never joins
-    characters over white space, so a text's ids are those of its words."""
+class WordIds:
+    """Little-endian ids of each word, encoded on first sight, many at once. The vocabulary's splitter never joins characters over
+    white space, so a text's ids are those of its words. A worker keeps its words from task to task."""
+
+    held: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+
+    @classmethod
+    def at(cls, path: str) -> WordIds:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if any(c in text for c in ODD_SPACE):
-            return self.encode(text)
-        if len(self) > REMEMBERED:
-            self.clear()
-        return b"".join(map(self.__getitem__, text.split()))
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        words = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*(w for w in words if w)).difference(self.known))
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        known = self.known.__getitem__
+        for text, own in zip(texts, words):
+            yield self.encode(text) if own is None else b"".join(map(known, own))
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -59,20 +69,22 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each document: full windows, then the remainder."""
-    words, last = WordIds(path), np.array([end], "<u4").tobytes()
+    words, last = WordIds.at(path), np.array([end], "<u4").tobytes()
     step = 4 * capacity
     for batch in batches:
-        docs, start, length, crc, total = [], [], [], [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = words.of(text.as_py() or "") + last
-            for at in range(0, len(ids), step):
-                piece = ids[at : at + step]
-                docs.append(doc_id)
-                start.append(at // 4)
-                length.append(len(piece) // 4)
-                crc.append(zlib.crc32(piece))
-                total.append(len(ids) // 4)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, start, length, crc, total)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for k in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(k, TOGETHER)
+            docs, start, length, crc, total = [], [], [], [], []
+            for doc_id, own in zip(part.column(0).to_pylist(), words.of([t or "" for t in part.column(1).to_pylist()])):
+                ids = own + last
+                for at in range(0, len(ids), step):
+                    piece = ids[at : at + step]
+                    docs.append(doc_id)
+                    start.append(at // 4)
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    total.append(len(ids) // 4)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, start, length, crc, total)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
 
 class RemainingTree:
