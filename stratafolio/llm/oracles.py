@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import RULES, STOP_WORDS, SYMBOLS
-from .url_reputation import DEVIATIONS, DOUBLE_SUFFIXES, LEAST_SHARE
+from .url_reputation import CORRELATION, DEVIATIONS, DOUBLE_SUFFIXES, LEAST_SHARE
 from .url_reputation import RULES as URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,7 +41,7 @@ def url_filters() -> str:
         prior = "(SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts)" if parent is None else "p.mean"
         join = "" if parent is None else f" JOIN {parent} p ON p.key = c.{up}"
         return f"""{name}_p AS (SELECT c.*, {prior} AS prior FROM {child} c{join}),
-{name}_r AS (SELECT least(greatest(coalesce((sum((good - n * prior) * (good - n * prior) / n) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), 0.001), 0.9) AS rho FROM {name}_p WHERE n > 0),
+{name}_r AS (SELECT least(greatest(coalesce((sum((good - n * prior) * (good - n * prior) / n) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), 0), {CORRELATION[0]}), {CORRELATION[1]}) AS rho FROM {name}_p WHERE n > 0),
 {name} AS (SELECT x.*, (good + (1 - rho) / rho * prior) / (n + (1 - rho) / rho) AS mean, n + (1 - rho) / rho AS strength FROM {name}_p x, {name}_r)"""
 
     return rf"""

@@ -15,6 +15,8 @@ from .common import LOWER, UPPER, written
 
 #: The least good share, and the posterior standard deviations of the bound.
 LEAST_SHARE, DEVIATIONS = 0.5, 1.645
+#: Bounds of the estimated correlation; at the upper one a prior is worth two outcomes, so that a single one never decides.
+CORRELATION = (0.001, 1 / 3)
 
 # Public suffixes of two labels, besides which the suffix is the last label.
 DOUBLE_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
@@ -60,7 +62,7 @@ def _shrunk(child: DataFrame, parent: DataFrame | None, up: str | None, overall:
     deviation = F.col("good") - F.col("n") * F.col("prior")
     seen = with_prior.where("n > 0").agg(F.sum(deviation * deviation / F.col("n")).alias("s"), F.sum(spread).alias("v"), F.sum(spread * (F.col("n") - 1)).alias("w")).first()
     rho = (seen.s - seen.v) / seen.w if seen.w else 0.0
-    rho = min(max(rho, 0.001), 0.9)
+    rho = min(max(rho, CORRELATION[0]), CORRELATION[1])
     prior_weight = (1 - rho) / rho
     total = F.col("n") + F.lit(prior_weight)
     return with_prior.withColumn("mean", (F.col("good") + F.lit(prior_weight) * F.col("prior")) / total).withColumn("strength", total)
