@@ -19,14 +19,20 @@ def line_blocks(docs: DataFrame) -> DataFrame:
 
 def postings(blocks: DataFrame) -> DataFrame:
     """(term, block_id, tf). Terms are counted inside each block, so rows are final before any shuffle."""
-    counted = blocks.select("block_id", F.explode(_frequencies(F.array_sort(tokens(F.col("text"))))).alias("p"))
+    sorted_terms = blocks.select("block_id", F.sort_array(tokens(F.col("text"))).alias("terms"))
+    ends = sorted_terms.select("*", _ends(F.col("terms")).alias("ends"))  # a step of its own, so that lambdas read a column and compute nothing again
+    counted = ends.select("block_id", F.explode(_frequencies(F.col("terms"), F.col("ends"))).alias("p"))
     return counted.select(F.col("p.term").alias("term"), "block_id", F.col("p.tf").alias("tf"))
 
 
-def _frequencies(ordered):
+def _ends(ordered):
+    """Places where a run of equal values ends in a sorted array."""
+    last = F.transform(ordered, lambda t, i: F.when(~t.eqNullSafe(F.get(ordered, i + 1)), i))
+    return F.filter(last, lambda i: i.isNotNull())
+
+
+def _frequencies(ordered, ends):
     """Runs of a sorted array as (term, tf)."""
-    last = F.transform(ordered, lambda t, i: F.when((i == F.size(ordered) - 1) | (t != F.coalesce(F.get(ordered, i + 1), F.lit(""))), i))
-    ends = F.filter(last, lambda i: i.isNotNull())
     return F.transform(ends, lambda e, k: F.struct(F.get(ordered, e).alias("term"), (e - F.coalesce(F.get(ends, k - 1), F.lit(-1))).cast("long").alias("tf")))
 
 
