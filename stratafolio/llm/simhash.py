@@ -190,9 +190,10 @@ def _spanning(fp: np.ndarray, distance: int) -> tuple[list, list]:
 
 def _search(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Links of each block of a partition; a partition holds whole blocks."""
-    got = pa.Table.from_batches(list(batches))
-    if not got.num_rows:
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
         return
+    got = pa.Table.from_batches(held)
     columns = [got.column(c).to_numpy() for c in ("part", "key", "lo", "hi")]
     fp = got.column("fp").to_numpy().view(np.uint64)
     order = np.lexsort((fp, *columns[::-1]))
