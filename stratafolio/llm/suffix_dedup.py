@@ -28,11 +28,11 @@ from .common import parts, written
 from .shingles import Powers
 
 #: Windows hashed at once in a long text.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 #: Low bits of a sort key that hold the position within a block.
 PLACE = np.uint64((1 << 24) - 1)
-#: Bytes of contexts that a bucket may hold.
-BUCKET_BYTES = 24_000_000
+#: Bytes of contexts that a bucket may hold, and contexts whose windows are compared at once. A larger group is compared like one at a boundary.
+BUCKET_BYTES, AT_ONCE = 24_000_000, 4000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -132,9 +132,10 @@ def _results(**columns) -> pa.RecordBatch:
 
 def _bucket(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows of one bucket: ranges (h, x, a, b) that are settled, and windows (s1, s2, n) of the groups at its ends."""
-    got = pa.Table.from_batches(list(batches))
-    if not got.num_rows:
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
         return
+    got = pa.Table.from_batches(held)
     lead, h, x, context, anchor = (got.column(c).to_pylist() for c in ("lead", "h", "x", "context", "anchor"))
     words = np.frombuffer(b"".join(c[k : k + seed] for c, k in zip(context, anchor)), ">u8").reshape(len(context), -1).astype(np.uint64)
     order = multikey_quicksort(words)
@@ -146,21 +147,21 @@ def _bucket(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterat
     closed: list[int] = []
     opened: list[int] = []
     for a, b in zip(starts[:-1], starts[1:]):
-        if places[order[a]] in ends:
+        if places[order[a]] in ends or b - a > AT_ONCE:
             opened += order[a:b].tolist()
         elif b - a > 1:
             closed += order[a:b].tolist()
     for members, at_end in ((closed, False), (opened, True)):
-        for k in range(0, len(members), 4000) if at_end else _group_blocks(members, places):
-            block = members[k : k + 4000] if at_end else k
+        for k in range(0, len(members), AT_ONCE) if at_end else _group_blocks(members, places):
+            block = members[k : k + AT_ONCE] if at_end else k
             yield from _compared(block, h, x, context, length, one, two, at_end)
 
 
 def _group_blocks(members: list[int], places: list) -> Iterator[list[int]]:
-    """Whole groups, together at least 4000 rows where there are so many."""
+    """Whole groups, together at least half of AT_ONCE rows where there are so many."""
     block: list[int] = []
     for k, i in enumerate(members):
-        if len(block) >= 4000 and places[i] != places[members[k - 1]]:
+        if len(block) >= AT_ONCE // 2 and places[i] != places[members[k - 1]]:
             yield block
             block = []
         block.append(i)
@@ -176,7 +177,13 @@ def _compared(block: list[int], h: list, x: list, context: list, length: int, on
     owner = np.repeat(np.arange(len(block)), runs)
     j = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
     at = base[owner] + j
-    sums = [((t := p.prefix(data))[at + length] - t[at]) * p.down[at] for p in (one, two)]
+    place = np.arange(len(data)) - np.repeat(base, size)  # within each context, so that the powers stay few
+    sums = []
+    for p in (one, two):
+        p.grow(int(size.max()) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(p.of_byte[data] * p.up[place], out=total[1:])
+        sums.append((total[at + length] - total[at]) * p.down[j])
     order = np.lexsort((sums[1], sums[0]))
     s1, s2 = sums[0][order], sums[1][order]
     first = np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
