@@ -17,9 +17,10 @@ def line_blocks(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "ordinal", F.format_string("%d-b%04d", "doc_id", "ordinal").alias("block_id"), "text")
 
 
-def postings(blocks: DataFrame) -> DataFrame:
-    """(term, block_id, tf). Terms are counted inside each block, so rows are final before any shuffle."""
-    sorted_terms = blocks.select("block_id", F.sort_array(tokens(F.col("text"))).alias("terms"))
+def postings(blocks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(term, block_id, tf), of the terms in `only` if given. Terms are counted inside each block, so rows are final before any shuffle."""
+    terms = tokens(F.col("text"))
+    sorted_terms = blocks.select("block_id", F.sort_array(terms if only is None else F.filter(terms, lambda t: t.isin(only))).alias("terms"))
     ends = sorted_terms.select("*", _ends(F.col("terms")).alias("ends"))  # a step of its own, so that lambdas read a column and compute nothing again
     counted = ends.select("block_id", F.explode(_frequencies(F.col("terms"), F.col("ends"))).alias("p"))
     return counted.select(F.col("p.term").alias("term"), "block_id", F.col("p.tf").alias("tf"))

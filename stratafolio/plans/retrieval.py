@@ -22,8 +22,9 @@ def terms_of(t, where: str):
 
 
 def searched(t, where: str = "item_id = 0"):
-    blocks = index.line_blocks(t.documents)
-    return retrieval.bm25(index.postings(blocks), index.block_terms(blocks), terms_of(t, where))
+    blocks, queries = index.line_blocks(t.documents), terms_of(t, where)
+    only = sorted({r.term for r in queries.select("term").distinct().collect()})  # of the stated queries
+    return retrieval.bm25(index.postings(blocks, only), blocks.select("block_id", F.length("text").alias("length")), queries)
 
 
 @query("snk1_postings_sink", f"WITH {LINES}, {POSTINGS} SELECT term, count(*) AS blocks, CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY 1")
