@@ -148,7 +148,9 @@ def sample_of(training: DataFrame, label: Column, size: int) -> list[tuple[str,
     known = [r.label for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(size).collect()]
     out: list = []
     for k in known:
-        out += rows.where(F.col("label") == k).orderBy("o", "d").limit(max(1, size // len(known))).collect()  # a top-k in each task, then of those
+        own, n = rows.where(F.col("label") == k), max(1, size // len(known))
+        last = own.select("o").orderBy("o").limit(n).agg(F.max("o")).first()[0]  # numbers only; then the texts up to it
+        out += own.where(F.col("o") <= last).orderBy("o", "d").limit(n).collect()
     return [(r.text, r.label) for r in sorted(out, key=lambda r: (r.o, r.d))]
 
 
