@@ -40,3 +40,22 @@ def outcomes(t):
 def blob_store(t):
     rows = t.documents.select(F.sha2("text", 256).alias("sha256"), F.length("text").alias("length"), c("text").cast("binary").alias("content"))
     return files.blobs(rows).agg(F.count("*").alias("blobs")).withColumn("files", F.lit(t.documents.count()).cast("long"))
+
+
+def _readings(t):
+    box = lambda reading, shift: t.lineitem.select(c("l_orderkey").alias("page"), F.lit(reading).alias("reading"), c("l_linenumber").cast("long").alias("region_id"), (c("l_discount") * 5 + shift).alias("x0"), (c("l_tax") * 5).alias("y0"), (c("l_discount") * 5 + 0.4 + shift).alias("x1"), (c("l_tax") * 5 + 0.4).alias("y1")).dropDuplicates(["page", "region_id"])
+    return box(1, 0.0).unionByName(box(2, 0.05))
+
+
+@query("jn21_greedy_pairs")
+def greedy_pairs(t):
+    from ..operators.regions import paired
+
+    return paired(_readings(t), "page", 0.25, optimal=False)
+
+
+@query("jn22_optimal_pairs")
+def optimal_pairs(t):
+    from ..operators.regions import paired
+
+    return paired(_readings(t), "page")
