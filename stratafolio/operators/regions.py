@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST_REGIONS = 64
 BOX = ["x0", "y0", "x1", "y1"]
@@ -68,17 +71,24 @@ def paired(regions: DataFrame, key: str, least: float = 0.5, optimal: bool = Tru
     Regions without a partner of at least `least` overlap have a null one. A page with more than MOST_REGIONS in a reading is an error.
     """
 
-    def pair(group: pd.DataFrame) -> pd.DataFrame:
-        one, two = (group[group.reading == k].sort_values("region_id").reset_index(drop=True) for k in (1, 2))
+    def pair(page: int, found: list[dict]) -> list[tuple]:
+        one, two = ([r for r in found if r["reading"] == k] for k in (1, 2))
         if max(len(one), len(two)) > MOST_REGIONS:
             raise ValueError(f"more than {MOST_REGIONS} regions on a page")
-        w = overlaps(one[BOX].to_numpy(float), two[BOX].to_numpy(float))
-        pairs = best_assignment(np.where(w >= least, w, 0)) if optimal else greedy(w, least)
+        ids = [[r["region_id"] for r in side] for side in (one, two)]
+        a, b = (np.array([[r[x] for x in BOX] for r in side], float).reshape(-1, 4) for side in (one, two))
+        w = overlaps(a, b)
+        pairs = [] if not w.size else best_assignment(np.where(w >= least, w, 0)) if optimal else greedy(w, least)
         pairs = [(i, j) for i, j in pairs if w[i, j] >= least]
-        value = group[key].iloc[0]
-        rows = [(value, one.region_id[i], two.region_id[j], w[i, j]) for i, j in pairs]
-        rows += [(value, r, None, 0.0) for i, r in enumerate(one.region_id) if i not in {p[0] for p in pairs}]
-        rows += [(value, None, r, 0.0) for j, r in enumerate(two.region_id) if j not in {p[1] for p in pairs}]
-        return pd.DataFrame(rows, columns=[key, "first", "second", "iou"]).astype({"first": "Int64", "second": "Int64"})
+        rows = [(page, ids[0][i], ids[1][j], float(w[i, j])) for i, j in pairs]
+        rows += [(page, r, None, 0.0) for i, r in enumerate(ids[0]) if i not in {p[0] for p in pairs}]
+        return rows + [(page, None, r, 0.0) for j, r in enumerate(ids[1]) if j not in {p[1] for p in pairs}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        for batch in batches:
+            rows = [x for page, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in pair(page, found)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=[key, "first", "second", "iou"])
 
-    return regions.groupBy(key).applyInPandas(pair, f"{key} long, first long, second long, iou double")
+    pages = regions.groupBy(F.col(key).cast("long").alias(key)).agg(F.sort_array(F.collect_list(F.struct("region_id", "reading", *BOX))).alias("found"))
+    return pages.mapInArrow(run, f"{key} long, first long, second long, iou double")
