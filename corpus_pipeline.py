@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from stratafolio.llm.common import table, written
 from stratafolio.llm.decontamination import leaks_of
+from stratafolio.llm.near_copies import grouped
 from stratafolio.llm.packing import pack
 from stratafolio.llm.pii import pseudonymised
 from stratafolio.llm.quality_rules import judge
-from stratafolio.llm.simhash import near_duplicates
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, the row whose doc_id names it stays; rows that repeat a doc_id are one document and stay together.
-    Rows without a doc_id stay only where their whole group has none."""
-    found = near_duplicates(docs)
-    gone = found.where("NOT doc_id <=> component_id").select("doc_id", F.lit(True).alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    """Near copies have a Jaccard similarity of at least 0.8 of five-word shingles, in one step or several. Of each group, the row
+    whose doc_id names it stays; every row is judged by its own text, also where a doc_id repeats. Rows without a doc_id stay only
+    where their whole group has none."""
+    found, named = grouped(docs)
+    gone = found.select("row", "doc.doc_id", "node").join(named, "node").where("NOT doc_id <=> component_id").select("row")
+    return found.join(gone, "row", "left_anti").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
