@@ -26,7 +26,7 @@ SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}
 KINDS = {"email": EMAIL, "ip": IP, "iban": IBAN, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE, "secret": SECRET}
 ANY = "|".join(KINDS.values())
 #: A text without these has no candidate.
-HINT = "[0-9]{4}|@|[0-9]\\.[0-9]|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{32}"
+HINT = "[0-9]{4}|@|[0-9]\\.[0-9]|\\+[0-9]|[A-Z]{2}[0-9]{2}|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{32}"
 
 
 def _number(key: str, kind: str, turn: Column, other: Column) -> Column:
