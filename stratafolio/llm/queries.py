@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import deduplicated
 
-    return deduplicated(table(spark, sf_dir, "documents"))
+    return deduplicated(table(spark, sf_dir, "documents"), with_text=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

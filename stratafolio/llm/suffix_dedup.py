@@ -5,13 +5,19 @@ times over, so the suffix array is sparse: of each window of `length` bytes the
 anchor, stands for it. The anchor depends on the window's content alone, so equal windows have equal anchors at equal places, and
 windows in a row that share an anchor form its run. Then:
 
-1. Anchors are counted by the hash of their seed. A seed that occurs once has no repeat; a run whose whole context (all bytes of
-   its windows) occurs twice is all repeat. Both are settled without any text.
-2. The contexts left, one of each kind, are range-partitioned as suffixes from their anchor: sampled splitters on the leading
-   bytes (then hash and context, so that one very common passage spreads over many buckets).
-3. Each bucket sorts its suffixes by multikey quicksort; neighbours that share the seed form groups, whose windows are compared.
-   The groups at a bucket's ends may go on in the next bucket: their windows are compared across boundaries by hash.
-4. Runs go back to their documents, which cut them out in one pass.
+1. Texts that occur twice are all repeat if they are long enough; each distinct text is one text from here on. A seed in one place only has no repeat; a run
+   whose whole context (all bytes of its windows) is in two places is all repeat. Both are settled by counts, without any text.
+2. The contexts left, one of each kind, are range-partitioned as suffixes from their anchor by sampled splitters on the leading bytes, then the hash of
+   the seed. Equal seeds have equal keys, so no splitter parts two suffixes that share a seed and no repeat crosses the boundary of two buckets.
+3. Each bucket sorts its suffixes by multikey quicksort, and the bytes before the anchors, read backwards, likewise. Common prefixes of
+   neighbours in both orders decide: two windows that start d bytes before their anchors are equal if and only if the suffixes share
+   length - d bytes and the bytes before them d.
+4. A seed with too many contexts for a bucket is not compared there: its runs are cut into narrower ones, `NARROW` windows and then one, whose
+   seeds are all bytes that their windows share. Steps 1 to 3 settle those, down to single windows, which counts alone settle.
+5. Ranges of repeated windows go back to their documents, which cut them out in one pass.
+
+Buckets compare bytes. Counts go by two 64-bit hashes, of seed and context, drawn independently of each other's bytes: two different contexts
+among 10**12 are taken for equal with a chance of about 10**-15.
 """
 
 from __future__ import annotations
@@ -31,8 +37,12 @@ from .shingles import Powers
 BLOCK = 1 << 19
 #: Low bits of a sort key that hold the position within a block.
 PLACE = np.uint64((1 << 24) - 1)
-#: Bytes of contexts that a bucket may hold, and contexts whose windows are compared at once. A larger group is compared like one at a boundary.
-BUCKET_BYTES, AT_ONCE = 24_000_000, 4000
+#: Bytes of contexts that a bucket may hold.
+BUCKET_BYTES = 24_000_000
+#: Contexts of one seed that a bucket compares; runs of seeds with more are cut into runs of so many windows.
+GROUP, NARROW = 20_000, (16, 1)
+#: Keys of texts that a task remembers, to skip further copies. Those it misses are found by the counts.
+REMEMBERED = 1_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -66,12 +76,17 @@ def anchors(text: bytes, length: int, seed: int, powers: Powers) -> Iterator[tup
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
-    powers = Powers()
+    powers, seen = Powers(), set()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece = batch.slice(at, 256)
             found, keys = [[] for _ in range(5)], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for key, text in zip(piece.column(0).to_pylist(), piece.column(1)):
+                if key in seen:
+                    continue
+                seen.add(key)
                 for columns in anchors(text.as_py() or b"", length, seed, powers):
                     keys += [key] * len(columns[0])
                     for out, c in zip(found, columns):
@@ -80,13 +95,46 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array(np.concatenate(c)) for c in found)], names=["key", "h", "x", "lo", "hi", "m"])
 
 
+CONTEXTS = "h long, x long, key binary, lo long, hi long, m long, many boolean, giant boolean, context binary"
+CONTEXT_KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+CONTEXT_NAMES = ["h", "x", "key", "lo", "hi", "m", "many", "giant", "context"]
+
+
+def _context_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), CONTEXT_KINDS)], names=CONTEXT_NAMES)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes under each wanted run, led by the first bytes at its anchor."""
+    """The bytes under each wanted run."""
     for batch in batches:
         rows: list[tuple] = []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted")):
-            text = text.as_py()
-            rows += [(text[w["m"] : w["m"] + 16], w["h"], w["x"], text[w["lo"] : w["hi"] + length], w["m"] - w["lo"]) for w in wanted.as_py()]
+        for key, text, wanted in zip(batch.column("key"), batch.column("text"), batch.column("wanted")):
+            key, text = key.as_py(), text.as_py()
+            for w in wanted.as_py():
+                rows.append((w["h"], w["x"], key, w["lo"], w["hi"], w["m"], w["many"], w["giant"], text[w["lo"] : w["hi"] + length]))
+                if len(rows) > 20_000:
+                    yield _context_rows(rows)
+                    rows = []
+        if rows:
+            yield _context_rows(rows)
+
+
+def _narrowed(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Each context's run cut where the distance to the anchor is a multiple of width; the new anchor and seed are what all windows of
+    such a piece share."""
+    from xxhash import xxh3_64_intdigest
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for batch in batches:
+        rows: list[tuple] = []
+        for r in batch.to_pylist():
+            near, far = r["m"] - r["hi"], r["m"] - r["lo"]
+            for c in range(near // width, far // width + 1):
+                a, b = max(near, c * width), min(far, c * width + width - 1)
+                lo, hi, m = r["m"] - b, r["m"] - a, r["m"] - c * width
+                core = r["context"][m - r["lo"] : m - r["lo"] + length - width + 1]
+                piece = r["context"][lo - r["lo"] : hi - r["lo"] + length]
+                rows.append((signed(xxh3_64_intdigest(core, c)), signed(xxh3_64_intdigest(piece, b)), r["key"], lo, hi, m, r["many"], False, piece))
             if len(rows) > 20_000:
                 yield _context_rows(rows)
                 rows = []
@@ -94,11 +142,6 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             yield _context_rows(rows)
 
 
-def _context_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lead", "h", "x", "context", "anchor"])
-
-
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     """Order of the rows of a matrix of unsigned words: three-way partition by the median of one word, and the next word only
     among equals."""
@@ -121,143 +164,153 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-RESULT = "h long, x long, a int, b int, s1 long, s2 long, n int"
-
-
-def _results(**columns) -> pa.RecordBatch:
-    n = len(columns["h"])
-    kinds = {"h": pa.int64(), "x": pa.int64(), "a": pa.int32(), "b": pa.int32(), "s1": pa.int64(), "s2": pa.int64(), "n": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+RANGES = "key binary, lo long, hi long"
+
+
+def common_prefixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each row (of bytes, a multiple of eight) in sorted order, and the bytes that each place's row shares with the one before."""
+    order = multikey_quicksort(rows.view(">u8").astype(np.uint64))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    shared = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 8192):
+        k = np.arange(at, min(at + 8192, len(order)))
+        other = rows[order[k]] != rows[order[k - 1]]
+        shared[k] = np.where(other.any(axis=1), other.argmax(axis=1), rows.shape[1])
+    return place, shared
+
+
+def repeated_windows(contexts: list[bytes], near: np.ndarray, far: np.ndarray, length: int) -> np.ndarray:
+    """For each context (a row) and distance to the anchor (a column), whether another context has the same window. The windows
+    of a context start near to far bytes before its anchor, which is far bytes into it."""
+    n, most = len(contexts), int(far.max())
+    right = np.zeros((n, -(-length // 8) * 8), np.uint8)
+    left = np.zeros((n, max(8, -(-most // 8) * 8)), np.uint8)
+    for k, c in enumerate(contexts):
+        data = np.frombuffer(c, np.uint8)
+        right[k, : len(c) - far[k]] = data[far[k] :]
+        left[k, : far[k]] = data[: far[k]][::-1]
+    (r_place, r_shared), (l_place, l_shared) = common_prefixes(right), common_prefixes(left)
+    out = np.zeros((n, most + 1), bool)
+    for d in range(int(near.min()), most + 1):
+        at = np.flatnonzero((near <= d) & (d <= far))
+        if len(at) < 2:
+            continue
+        kind = np.cumsum(r_shared < length - d)[r_place[at]] * (n + 1) + np.cumsum(l_shared < d)[l_place[at]]
+        order = np.argsort(kind, kind="stable")
+        same = kind[order[1:]] == kind[order[:-1]]
+        out[at[order], d] = np.append(same, False) | np.append(False, same)
+    return out
 
 
-def _bucket(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of one bucket: ranges (h, x, a, b) that are settled, and windows (s1, s2, n) of the groups at its ends."""
-    held = list(batches)
-    if not sum(b.num_rows for b in held):
+def _bucket(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of repeated windows of the contexts of one bucket that counts have not settled."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
     got = pa.Table.from_batches(held)
-    lead, h, x, context, anchor = (got.column(c).to_pylist() for c in ("lead", "h", "x", "context", "anchor"))
-    words = np.frombuffer(b"".join(c[k : k + seed] for c, k in zip(context, anchor)), ">u8").reshape(len(context), -1).astype(np.uint64)
-    order = multikey_quicksort(words)
-    same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
-    starts = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(order)]))
-    places = list(zip(lead, h))
-    ends = (min(places), max(places))
-    one, two = Powers(11), Powers(12)
-    closed: list[int] = []
-    opened: list[int] = []
-    for a, b in zip(starts[:-1], starts[1:]):
-        if places[order[a]] in ends or b - a > AT_ONCE:
-            opened += order[a:b].tolist()
-        elif b - a > 1:
-            closed += order[a:b].tolist()
-    for members, at_end in ((closed, False), (opened, True)):
-        for k in range(0, len(members), AT_ONCE) if at_end else _group_blocks(members, places):
-            block = members[k : k + AT_ONCE] if at_end else k
-            yield from _compared(block, h, x, context, length, one, two, at_end)
-
-
-def _group_blocks(members: list[int], places: list) -> Iterator[list[int]]:
-    """Whole groups, together at least half of AT_ONCE rows where there are so many."""
-    block: list[int] = []
-    for k, i in enumerate(members):
-        if len(block) >= AT_ONCE // 2 and places[i] != places[members[k - 1]]:
-            yield block
-            block = []
-        block.append(i)
-    if block:
-        yield block
-
-
-def _compared(block: list[int], h: list, x: list, context: list, length: int, one: Powers, two: Powers, at_end: bool) -> Iterator[pa.RecordBatch]:
-    size = np.array([len(context[i]) for i in block])
-    data = np.frombuffer(b"".join(context[i] for i in block), np.uint8)
-    runs = size - length + 1
-    base = np.concatenate(([0], np.cumsum(size)[:-1]))
-    owner = np.repeat(np.arange(len(block)), runs)
-    j = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
-    at = base[owner] + j
-    place = np.arange(len(data)) - np.repeat(base, size)  # within each context, so that the powers stay few
-    sums = []
-    for p in (one, two):
-        p.grow(int(size.max()) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(p.of_byte[data] * p.up[place], out=total[1:])
-        sums.append((total[at + length] - total[at]) * p.down[j])
-    order = np.lexsort((sums[1], sums[0]))
-    s1, s2 = sums[0][order], sums[1][order]
-    first = np.concatenate(([True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
-    n = np.diff(np.append(np.flatnonzero(first), len(order)))
-    twice = np.zeros(len(order), bool)
-    twice[order] = np.repeat(n > 1, n)
-    hs, xs = np.array([h[i] for i in block]), np.array([x[i] for i in block])
-    # settled windows as ranges
-    edge = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (twice[1:] != twice[:-1])))) if len(twice) else np.zeros(0, np.int64)
-    stop = np.append(edge[1:], len(twice)) - 1
-    keep = twice[edge]
-    if keep.any():
-        yield _results(h=hs[owner[edge[keep]]], x=xs[owner[edge[keep]]], a=j[edge[keep]].astype(np.int32), b=j[stop[keep]].astype(np.int32))
-    if at_end:
-        w = order[first]
-        yield _results(h=hs[owner[w]], x=xs[owner[w]], a=j[w].astype(np.int32), b=j[w].astype(np.int32), s1=s1[first].view(np.int64), s2=s2[first].view(np.int64), n=np.minimum(n, 2).astype(np.int32))
-
-
-def cut_out(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[int, int, int, str]:
-    """Bytes, removed bytes, maximal removed runs, and the hash of the rest, for runs of window starts (first, last)."""
+    lo, hi, m = (got.column(c).to_numpy() for c in ("lo", "hi", "m"))
+    twice = repeated_windows(got.column("context").to_pylist(), m - hi, m - lo, length)
+    twice[got.column("many").to_numpy(zero_copy_only=False)] = False
+    edge = np.diff(np.pad(twice.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (row, first), (_, stop) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    yield pa.RecordBatch.from_arrays([got.column("key").combine_chunks().take(pa.array(row)), pa.array(m[row] - stop + 1), pa.array(m[row] - first)], names=["key", "lo", "hi"])
+
+
+def cut_out(text: bytes, runs: list[tuple[int, int]], length: int) -> tuple[int, int, int, bytes]:
+    """Bytes, removed bytes, maximal removed runs, and the rest, for runs of window starts (first, last)."""
     spans: list[list[int]] = []
     for lo, hi in sorted(runs):
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], hi + length)
         else:
             spans.append([lo, hi + length])
-    kept, at = hashlib.sha256(), 0
+    kept, at = [], 0
     for a, b in spans:
-        kept.update(text[at:a])
+        kept.append(text[at:a])
         at = b
-    kept.update(text[at:])
-    return len(text), sum(b - a for a, b in spans), len(spans), kept.hexdigest()
+    return len(text), sum(b - a for a, b in spans), len(spans), b"".join([*kept, text[at:]])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for text, runs in zip(batch.column("text"), batch.column("runs")):
-            out.append(cut_out(text.as_py() or b"", [(r["lo"], r["hi"]) for r in runs.as_py() or []], length))
+        out = [cut_out(text.as_py() or b"", [(r["lo"], r["hi"]) for r in runs.as_py() or []], length) for text, runs in zip(batch.column("text"), batch.column("runs"))]
         n, removed, spans, kept = zip(*out) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        digests, texts = [hashlib.sha256(k).hexdigest() for k in kept], [k.decode("utf-8", "ignore") for k in kept]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+
+
+RUN = ("key", "lo", "hi", "m")
+
+
+def kinds_of(runs: DataFrame, *more: str) -> DataFrame:
+    """(h, x, many, one): each kind of run, whether it is in several places, and the first of them."""
+    place = F.struct("key", "lo")
+    return runs.groupBy("h", "x").agg((F.min(place) != F.max(place)).alias("many"), F.min(F.struct(*RUN, *more)).alias("one"))
+
+
+def to_compare(kinds: DataFrame) -> DataFrame:
+    """kinds that counts leave open and those they must be compared with: of seeds with several kinds, one at least in a single place."""
+    open_seeds = kinds.groupBy("h").agg(F.count("*").alias("n"), F.min("many").alias("all_many")).where("n > 1 AND NOT all_many")
+    return kinds.join(open_seeds.select("h", (F.col("n") > GROUP).alias("giant")), "h")
+
+
+def compared(contexts: DataFrame, length: int, size: int) -> DataFrame:
+    buckets = contexts.withColumn("lead", F.substr("context", F.col("m") - F.col("lo") + 1, F.lit(16))).repartitionByRange(parts(contexts.sparkSession, size, BUCKET_BYTES), "lead", "h")  # sampled splitters
+    return buckets.mapInArrow(lambda it: _bucket(it, length), RANGES)
+
+
+def narrowed_ranges(giants: DataFrame, length: int, widths: tuple[int, ...]) -> DataFrame:
+    """Ranges of repeated windows of contexts whose seed has too many of them for a bucket."""
+    pieces = written(giants.mapInArrow(lambda it: _narrowed(it, length, widths[0]), CONTEXTS))
+    counted = pieces.groupBy("h", "x").agg((F.min(F.struct("key", "lo")) != F.max(F.struct("key", "lo"))).alias("several"), F.max("many").alias("settled"), F.min(F.struct(*RUN, "context")).alias("one"))
+    kinds = written(counted.select("h", "x", (F.col("several") | F.col("settled")).alias("many"), "one"))
+    out = pieces.where("NOT many").join(kinds.where("many").select("h", "x"), ["h", "x"]).select("key", "lo", "hi")
+    if len(widths) == 1:
+        return out
+    rest = written(to_compare(kinds).select("h", "x", *(f"one.{c}" for c in RUN), "many", "giant", "one.context"))
+    size = rest.where("NOT giant").agg(F.sum(F.length("context"))).first()[0] or 0
+    return out.unionByName(compared(rest.where("NOT giant"), length, size)).unionByName(narrowed_ranges(rest.where("giant"), length, widths[1:]))
 
 
 def repeated_runs(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """(key, runs): runs of repeated window starts for each text, known by its key."""
     spark = docs.sparkSession
     found = written(docs.select("key", "text").mapInArrow(lambda it: _anchors(it, length, seed), "key binary, h long, x long, lo long, hi long, m long"))
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    place = F.xxhash64("key", "lo")
+    again = found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
     shared = written(found.join(again, "h"))
-    kinds = written(shared.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi", "m")).alias("one")))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    wanted = written(kinds.join(several, "h").select("one.key", "h", "x", "one.lo", "one.hi", "one.m"))
-    amount = wanted.agg(F.sum(F.col("hi") - F.col("lo") + length)).first()[0] or 0
-    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "x", "lo", "hi", "m")).alias("wanted"))
-    contexts = docs.select("key", "text").dropDuplicates(["key"]).join(per_text, "key").select("text", "wanted").mapInArrow(lambda it: _contexts(it, length), "lead binary, h long, x long, context binary, anchor int")
-    buckets = contexts.repartitionByRange(parts(spark, int(amount), BUCKET_BYTES), "lead", "h", "x")  # sampled splitters
-    compared = written(buckets.mapInArrow(lambda it: _bucket(it, length, seed), RESULT))
-    ends = compared.where("s1 IS NOT NULL")
-    met = ends.groupBy("s1", "s2").agg(F.sum("n").alias("total")).where("total > 1").select("s1", "s2")
-    settled = compared.where("s1 IS NULL").select("h", "x", "a", "b").unionByName(ends.where("n = 1").join(met, ["s1", "s2"]).select("h", "x", "a", "b"))
-    whole = kinds.where("n > 1").select("h", "x", F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("b"))
-    known = settled.join(kinds.where("n > 1").select("h", "x"), ["h", "x"], "left_anti").unionByName(whole)
-    runs = shared.join(known, ["h", "x"]).select("key", F.when(F.col("a").isNull(), F.col("lo")).otherwise(F.col("lo") + F.col("a")).alias("from"), F.when(F.col("b").isNull(), F.col("hi")).otherwise(F.col("lo") + F.col("b")).alias("to"))
-    return written(runs.groupBy("key").agg(F.collect_set(F.struct(F.col("from").alias("lo"), F.col("to").alias("hi"))).alias("runs")))
-
-
-def deduplicated(docs: DataFrame, length: int = 400, seed: int = 128) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text), texts as UTF-8 bytes.
+    kinds = written(kinds_of(shared))
+    ranges = [shared.join(kinds.where("many").select("h", "x"), ["h", "x"]).select("key", "lo", "hi")]
+    wanted = written(to_compare(kinds).select("h", "x", *(f"one.{c}" for c in RUN), "many", "giant"))
+    sizes = {r.giant: r.size for r in wanted.groupBy("giant").agg(F.sum(F.col("hi") - F.col("lo") + length).alias("size")).collect()}
+    per_text = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "x", "lo", "hi", "m", "many", "giant")).alias("wanted"))
+    contexts = docs.select("key", "text").dropDuplicates(["key"]).join(per_text, "key").mapInArrow(lambda it: _contexts(it, length), CONTEXTS)
+    if True in sizes:
+        contexts = written(contexts)
+        ranges.append(narrowed_ranges(contexts.where("giant"), length, NARROW))
+    ranges.append(compared(contexts.where("NOT giant"), length, int(sizes.get(False, 0))))
+    copies = docs.groupBy("key").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("size")).where("n > 1")
+    ranges.append(copies.select("key", F.lit(0).cast("long").alias("lo"), (F.col("size") - length).cast("long").alias("hi")))
+    every = ranges[0]
+    for r in ranges[1:]:
+        every = every.unionByName(r)
+    return written(every.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")))
+
+
+COLUMNS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+
+
+def deduplicated(docs: DataFrame, length: int = 400, seed: int = 128, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text), texts as UTF-8 bytes, and on request `text`, what
+    is left; where a cut falls inside a character, its remaining bytes are left out there (the hash has them).
 
     A null text is empty; texts shorter than `length` lose nothing; rows that repeat a text lose all of it if it is long enough, since each string
     also starts in the other; an empty table gives no rows; a null doc_id stays null; other columns are ignored. Judged on the input, whole texts.
-    `seed` must be a multiple of 8 and at most `length`.
+    `seed` is at most `length`.
     """
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"), F.substring(F.unhex(F.md5(raw)), 1, 12).alias("key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"), F.unhex(F.md5(raw)).alias("key"))
     runs = repeated_runs(keyed.where(F.length("text") >= length), length, seed)
-    return keyed.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(lambda it: _cut(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = keyed.join(runs, "key", "left").select("doc_id", "text", "runs").mapInArrow(lambda it: _cut(it, length), COLUMNS)
+    return out if with_text else out.drop("text")
