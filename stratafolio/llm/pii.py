@@ -4,29 +4,44 @@ Candidates are found by one pattern, validated (Luhn, mod 97, octets, calendar,
 Feistel permutation of their own format: the other half of a value, hashed with the key, shifts each character within its
 class. A permutation maps equal values to equal pseudonyms in all documents and different values to different ones; what is
 valid stays valid. Candidates that fail validation stay as they are.
+
+What is permuted is a value's canonical form (digits of cards and phone numbers, local parts of addresses in lower case, the day of a date, all
+digits of an IPv6 address); separators and case are put back afterwards, so a value stays linked however it is written. A value that the permutation
+would leave as it is takes the next one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The setting that holds the key.
+KEY_SETTING = "spark.stratafolio.pii.key"
 ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX_LOWER, HEX_UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF"
 
 # The formats, tried in this order.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]*[A-Za-z0-9](?:\.[A-Za-z0-9-]*[A-Za-z0-9])+"
 IP = r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)"
+IP6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3}|(?:[0-9A-Fa-f]+::?){2}[0-9A-Fa-f])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{10,30})(?![A-Za-z0-9])"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}|\d{13,19})(?![\w-])"
-PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{1,4}){3,6}(?!\w)"
+PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{1,4}){3,6}(?!\w)|(?<![\w+.-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d)"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"
-KINDS = {"email": EMAIL, "ip": IP, "iban": IBAN, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE, "secret": SECRET}
+KINDS = {"email": EMAIL, "ip": f"{IP}|{IP6}", "iban": IBAN, "date": DATE, "ssn": SSN, "card": CARD, "phone": PHONE, "secret": SECRET}
 ANY = "|".join(KINDS.values())
 #: A text without these has no candidate.
-HINT = "[0-9]{4}|@|[0-9]\\.[0-9]|\\+[0-9]|[A-Z]{2}[0-9]{2}|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{32}"
+HINT = "[0-9]{4}|@|::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]|[0-9]\\.[0-9]|\\+[0-9]|[A-Z]{2}[0-9]{2}|AKIA|gh[pousr]_|sk-|[0-9A-Fa-f]{32}"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once and standing once in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _number(key: str, kind: str, turn: Column, other: Column) -> Column:
@@ -57,12 +72,40 @@ def _shifted(half: Column, other: Column, key: str, kind: str, turn: Column, cla
 
 def permuted_text(value: Column, key: str, kind: str, classes: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> Column:
     """A permutation of the strings with the same class at each place."""
-    cut = F.floor(F.length(value) / 2).cast("int")
-    start = F.struct(F.substr(value, F.lit(1), cut).alias("l"), F.substr(value, cut + 1, F.length(value)).alias("r"))
+    cut = lambda v: F.floor(F.length(v) / 2).cast("int")
+    start = let(value, lambda v: F.struct(F.substr(v, F.lit(1), cut(v)).alias("l"), F.substr(v, cut(v) + 1, F.length(v)).alias("r")))
     turn = lambda s, i: F.when(i % 2 == 0, F.struct(_shifted(s["l"], s["r"], key, kind, i, classes).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), _shifted(s["r"], s["l"], key, kind, i, classes).alias("r")))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
 
 
+def _moved(value: Column, classes: tuple[str, ...]) -> Column:
+    """value with its last character of a class moved by one within the class."""
+    every = "".join(classes)
+    following = "".join(chars[1:] + chars[0] for chars in classes)
+    at = lambda v: F.length(F.regexp_extract(v, f"^.*[{every}]", 0))
+    return let(value, lambda v: F.concat(F.substr(v, F.lit(1), at(v) - 1), F.translate(F.substr(v, at(v), F.lit(1)), every, following), F.substr(v, at(v) + 1, F.length(v))))
+
+
+def _without_fixed_points(value: Column, permuted: Callable[[Column], Column], moved: Callable[[Column], Column]) -> Column:
+    """The permutation, but a value that would stay as it is goes to the next one. Only that one value and what is permuted to the next one then meet."""
+    return let(value, lambda v: let(permuted(v), lambda z: F.when(z == v, moved(z)).otherwise(z)))
+
+
+def replaced_text(value: Column, key: str, kind: str, classes: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> Column:
+    return _without_fixed_points(value, lambda v: permuted_text(v, key, kind, classes), lambda v: _moved(v, classes))
+
+
+def replaced_pair(x: Column, y: Column, a: int, b: int, key: str, kind: str) -> Column:
+    pair = F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"))
+    return _without_fixed_points(pair, lambda s: permuted_pair(s["x"], s["y"], a, b, key, kind), lambda s: F.struct(s["x"].alias("x"), F.pmod(s["y"] + 1, F.lit(b)).cast("bigint").alias("y")))
+
+
+def filled(template: Column, digits: Column) -> Column:
+    """template with its digits replaced in order."""
+    before = lambda i: F.length(F.regexp_replace(F.substr(template, F.lit(1), i + 1), "[^0-9]", ""))
+    return F.array_join(F.transform(F.split(template, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(digits, before(i), F.lit(1))).otherwise(c)), "")
+
+
 def luhn_sum(digits: Column, doubled: int) -> Column:
     """The Luhn sum, where places with this parity, counted from the right, are doubled."""
 
@@ -74,12 +117,9 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = F.regexp_replace(m, "[ -]", "")
-    body = permuted_text(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    new = F.concat(body, F.pmod(10 - luhn_sum(body, 0) % 10, F.lit(10)).cast("string"))
-    sep = F.regexp_extract(m, "[ -]", 0)
-    grouped = F.when(sep == "", new).when(F.length(digits) == 15, F.concat_ws("", F.substring(new, 1, 4), sep, F.substring(new, 5, 6), sep, F.substring(new, 11, 5))).otherwise(F.concat_ws("", F.substring(new, 1, 4), sep, F.substring(new, 5, 4), sep, F.substring(new, 9, 4), sep, F.substring(new, 13, 4)))
-    return F.when(luhn_sum(digits, 1) % 10 == 0, grouped).otherwise(m)
+    checked = lambda b: F.concat(b, F.pmod(10 - luhn_sum(b, 0) % 10, F.lit(10)).cast("string"))
+    new = lambda d: let(let(replaced_text(F.substr(d, F.lit(1), F.length(d) - 1), key, "card"), checked), lambda n: filled(m, n))
+    return let(F.regexp_replace(m, "[ -]", ""), lambda d: F.when(luhn_sum(d, 1) % 10 == 0, new(d)).otherwise(m))
 
 
 def _mod97(text: Column) -> Column:
@@ -88,58 +128,85 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
-    country, own = F.substring(plain, 1, 2), F.substr(plain, F.lit(5), F.length(plain))
-    new = permuted_text(own, key, "iban")
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    whole = F.concat(country, check, new)
-    spaced = F.when(F.contains(m, F.lit(" ")), F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
-    return F.when(_mod97(F.concat(own, F.substring(plain, 1, 4))) == 1, spaced).otherwise(m)
+    check = lambda new, country: F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+
+    def swap(plain: Column) -> Column:
+        country, own = F.substring(plain, 1, 2), F.substr(plain, F.lit(5), F.length(plain))
+        whole = let(replaced_text(own, key, "iban"), lambda new: F.concat(country, check(new, country), new))
+        spaced = F.when(F.contains(m, F.lit(" ")), F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
+        return F.when(_mod97(F.concat(own, F.substring(plain, 1, 4))) == 1, spaced).otherwise(m)
+
+    return let(F.replace(m, F.lit(" "), F.lit("")), swap)
 
 
 def _ip(m: Column, key: str) -> Column:
-    o = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    p = permuted_pair(F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1)), F.get(o, F.lit(2)) * 256 + F.get(o, F.lit(3)), 65536, 65536, key, "ip")
-    new = F.transform(F.array(p), lambda s: F.concat_ws(".", F.floor(s["x"] / 256).cast("string"), (s["x"] % 256).cast("string"), F.floor(s["y"] / 256).cast("string"), (s["y"] % 256).cast("string")))
-    return F.when(F.forall(o, lambda x: x <= 255), F.get(new, F.lit(0))).otherwise(m)
+    o = lambda parts, k: F.get(parts, F.lit(k))
+    pair = lambda p: replaced_pair(o(p, 0) * 256 + o(p, 1), o(p, 2) * 256 + o(p, 3), 65536, 65536, key, "ip")
+    shown = lambda s: F.concat_ws(".", F.floor(s["x"] / 256).cast("string"), (s["x"] % 256).cast("string"), F.floor(s["y"] / 256).cast("string"), (s["y"] % 256).cast("string"))
+    four = let(F.transform(F.split(m, r"\."), lambda x: x.try_cast("int")), lambda p: F.when(F.forall(p, lambda x: x <= 255), let(pair(p), shown)).otherwise(m))
+    return F.when(F.contains(m, F.lit(":")), _ip6(m, key)).otherwise(four)
+
+
+def _ip6(m: Column, key: str) -> Column:
+    """All 32 digits are permuted in lower case, whether or not zeros were left out, and written as eight groups."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    short = F.contains(m, F.lit("::"))
+    ends = F.struct(groups(F.substring_index(m, "::", 1)).alias("head"), F.when(short, groups(F.substring_index(m, "::", -1))).otherwise(F.array().cast("array<string>")).alias("tail"))
+    digits = lambda e, n: F.lower(F.array_join(F.transform(F.concat(e["head"], F.array_repeat(F.lit("0"), 8 - n), e["tail"]), lambda g: F.lpad(g, 4, "0")), ""))
+    valid = lambda n: F.when(short, (n < 8) & (F.length(m) - F.length(F.replace(m, F.lit("::"), F.lit(""))) == 2) & ~F.contains(m, F.lit(":::"))).otherwise(n == 8)
+    new = lambda e, n: F.regexp_replace(replaced_text(digits(e, n), key, "ip6", (HEX_LOWER,)), "(.{4})(?=.)", "$1:")
+    return let(ends, lambda e: let(F.size(e["head"]) + F.size(e["tail"]), lambda n: F.when(valid(n), new(e, n)).otherwise(m)))
 
 
 def _ssn(m: Column, key: str) -> Column:
-    area, group, serial = (F.get(F.split(m, "-"), F.lit(k)).cast("int") for k in range(3))
-    valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
-    x = F.when(area > 666, area - 2).otherwise(area - 1) * 99 + group - 1
-    p = permuted_pair(x, serial - 1, 898 * 99, 9999, key, "ssn")
-    new = F.transform(F.array(p), lambda s: F.concat_ws("-", F.lpad((F.floor(s["x"] / 99) + F.when(s["x"] >= 665 * 99, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((s["x"] % 99 + 1).cast("string"), 2, "0"), F.lpad((s["y"] + 1).cast("string"), 4, "0")))
-    return F.when(valid, F.get(new, F.lit(0))).otherwise(m)
+    shown = lambda s: F.concat_ws("-", F.lpad((F.floor(s["x"] / 99) + F.when(s["x"] >= 665 * 99, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((s["x"] % 99 + 1).cast("string"), 2, "0"), F.lpad((s["y"] + 1).cast("string"), 4, "0"))
+
+    def swap(parts: Column) -> Column:
+        area, group, serial = (F.get(parts, F.lit(k)) for k in range(3))
+        valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
+        x = F.when(area > 666, area - 2).otherwise(area - 1) * 99 + group - 1
+        return F.when(valid, let(replaced_pair(x, serial - 1, 898 * 99, 9999, key, "ssn"), shown)).otherwise(m)
+
+    return let(F.transform(F.split(m, "-"), lambda x: x.try_cast("int")), swap)
 
 
 def _date(m: Column, key: str) -> Column:
-    """Days of the 400 years from 1700 are 189 * 773."""
+    """Year first, day first, or month first where day first is no date. Days of the 400 years from 1700 are 189 * 773."""
     iso = m.rlike(r"^\d{4}")
-    sep = F.regexp_extract(m, r"\D", 0)
-    y, mo, d = (F.when(iso, F.substring(m, a, n)).otherwise(F.substring(m, b, n)) for a, b, n in ((1, 7, 4), (6, 4, 2), (9, 1, 2)))
-    day = F.concat_ws("-", y, mo, d).try_cast("date")
-    n = F.datediff(day, F.lit("1700-01-01").cast("date"))
-    p = permuted_pair(F.floor(n / 773), n % 773, 189, 773, key, "date")
-    shown = lambda s: F.date_format(F.date_add(F.lit("1700-01-01").cast("date"), (s["x"] * 773 + s["y"]).cast("int")), "yyyyMMdd")
-    new = F.transform(F.array(p), lambda s: F.when(iso, F.concat_ws("", F.substring(shown(s), 1, 4), sep, F.substring(shown(s), 5, 2), sep, F.substring(shown(s), 7, 2))).otherwise(F.concat_ws("", F.substring(shown(s), 7, 2), sep, F.substring(shown(s), 5, 2), sep, F.substring(shown(s), 1, 4))))
-    return F.when((n >= 0) & (n < 146097), F.get(new, F.lit(0))).otherwise(m)
+    form = F.when(iso, "yyyy-MM-dd").when(F.substring(m, 4, 2) > "12", "MM-dd-yyyy").otherwise("dd-MM-yyyy")
+    first = F.lit("1700-01-01").cast("date")
+    plain = F.regexp_replace(m, r"\D", "-")
+    ordered = lambda f: F.when(f == "yyyy-MM-dd", plain).when(f == "MM-dd-yyyy", F.regexp_replace(plain, "(..)-(..)-(....)", "$3-$1-$2")).otherwise(F.regexp_replace(plain, "(..)-(..)-(....)", "$3-$2-$1"))
+    day = lambda s: F.date_add(first, (s["x"] * 773 + s["y"]).cast("int"))
+    shown = lambda d, f: F.when(f == "yyyy-MM-dd", F.date_format(d, "yyyy-MM-dd")).when(f == "MM-dd-yyyy", F.date_format(d, "MM-dd-yyyy")).otherwise(F.date_format(d, "dd-MM-yyyy"))
+    swap = lambda n, f: let(replaced_pair(F.floor(n / 773), n % 773, 189, 773, key, "date"), lambda s: F.replace(let(day(s), lambda d: shown(d, f)), F.lit("-"), F.regexp_extract(m, r"\D", 0)))
+    return let(form, lambda f: let(F.datediff(ordered(f).try_cast("date"), first), lambda n: F.when((n >= 0) & (n < 146097), swap(n, f)).otherwise(m)))
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(permuted_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    cased = lambda low, local: F.array_join(F.zip_with(F.split(low, ""), F.split(local, ""), lambda c, was: F.when(was.rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    return let(F.substring_index(m, "@", 1), lambda local: F.concat(cased(replaced_text(F.lower(local), key, "email"), local), F.lit("@"), F.substring_index(m, "@", -1)))
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+\d{1,3}[ .-]|^\+\d", 0)
-    return F.concat(country, permuted_text(F.substr(m, F.length(country) + 1, F.length(m)), key, "phone"))
+    """The digits after the country code are permuted; ten of them as (ddd) ddd-dddd, whatever their separators."""
+    dialled = lambda v: v.rlike(r"^\([2-9]..\) [2-9]")
+    step = lambda w: permuted_text(w, key, "phone")
+    # What can be dialled walks on along the permutation until its pseudonym can be, too; at 64 steps one in 10**12 is left.
+    walked = lambda v: F.aggregate(F.sequence(F.lit(1), F.lit(64)), v, lambda w, k: F.when((k > 1) & (~dialled(v) | dialled(w)), w).otherwise(step(w)))
+
+    def swap(country: Column) -> Column:
+        rest = F.substr(m, F.length(country) + 1, F.length(m))
+        shape = F.regexp_replace(F.regexp_replace(rest, "[^0-9]", ""), "^(...)(...)(....)$", "($1) $2-$3")
+        return F.concat(country, let(_without_fixed_points(shape, walked, lambda v: _moved(v, (DIGITS,))), lambda n: filled(rest, F.regexp_replace(n, "[^0-9]", ""))))
+
+    return let(F.regexp_extract(m, r"^\+\d{1,3}[ .-]|^\+\d", 0), swap)
 
 
 def _secret(m: Column, key: str) -> Column:
     mark = F.regexp_extract(m, "^(AKIA|gh[pousr]_|sk-)", 0)
-    rest = F.substr(m, F.length(mark) + 1, F.length(m))
-    by_class = F.concat(mark, permuted_text(rest, key, "secret"))
-    return F.when(mark != "", by_class).when(m.rlike("[a-f]"), permuted_text(m, key, "secret", (HEX_LOWER,))).when(m.rlike("[A-F]"), permuted_text(m, key, "secret", (HEX_UPPER,))).otherwise(permuted_text(m, key, "secret"))
+    by_class = let(mark, lambda k: F.concat(k, replaced_text(F.substr(m, F.length(k) + 1, F.length(m)), key, "secret")))
+    return F.when(m.rlike("^(AKIA|gh[pousr]_|sk-)") | ~m.rlike("[a-fA-F]"), by_class).when(m.rlike("[a-f]"), replaced_text(m, key, "secret", (HEX_LOWER,))).otherwise(replaced_text(m, key, "secret", (HEX_UPPER,)))
 
 
 REPLACE = {"email": _email, "ip": _ip, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "secret": _secret}
@@ -160,13 +227,19 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str = "stratafolio") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key that the session is configured with; without one a new key, so that pseudonyms are linked in one result only and nobody can invert them."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
     """A row for each row of docs: `row` (its columns as they were), `text` with pseudonyms, `found` (array of kind, value, pseudonym).
 
     A null text stays null with nothing found; empty texts and texts without candidates stay as they are; every candidate of a
-    text of any length is treated; repeated rows give repeated results, an empty table none. The key is a secret of
-    the caller; with another key the pseudonyms differ. `found` lists validated values only, in order.
+    text of any length is treated; repeated rows give repeated results, an empty table none. The key is a secret, of the caller or of the
+    setting KEY_SETTING; with another key the pseudonyms differ. `found` lists validated values only, in order.
     """
+    key = key or key_of(docs.sparkSession)
     hinted = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"), F.coalesce(F.col("text").rlike(HINT), F.lit(False)).alias("hint"))
     none = F.array().cast("array<string>")
     cut = hinted.select("row", "t", F.when(F.col("hint"), F.regexp_extract_all("t", F.lit(ANY), 0)).otherwise(none).alias("values"))
