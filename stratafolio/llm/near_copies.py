@@ -1,6 +1,7 @@
 """Groups of near copies by Jaccard similarity of word shingles.
 
-Rows with equal sets of shingles are one node. MinHash bands only say which nodes to compare: a pair at the least similarity misses
+Rows with equal sets of shingles are one node. The nodes to compare come from the generalised pigeonhole search over SimHash fingerprints (simhash.py),
+and, since a pair at the least similarity may lie far beyond any distance that can be searched, from MinHash bands: such a pair misses
 all bands with a chance below 2e-7. Candidates that hang together form a component, and inside it sets are compared exactly,
 so a link is always verified. Large components are cut into blocks and searched block against block.
 """
@@ -17,7 +18,10 @@ from pyspark.sql import functions as F
 from .common import parts, written
 from .components import components
 from .shingles import Powers, hashed
+from .simhash import fingerprint, links
 
+#: Differing bits within which fingerprints are compared.
+DISTANCE = 4
 BANDS, ROWS = 40, 5
 _RNG = np.random.default_rng(20240301)
 FLIPS, FACTORS = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64), _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -25,7 +29,7 @@ FLIPS, FACTORS = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64), _RNG.integers
 BLOCK = 256
 #: Shingles that are hashed for the bands at once.
 CHUNK = 2048
-NODE = "row long, node long, keys array<long>"
+NODE = "row long, node long, fp long, keys array<long>"
 
 
 def shingle_set(text: bytes, width: int, powers: Powers) -> np.ndarray:
@@ -53,10 +57,11 @@ def _nodes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             piece = batch.slice(at, 500)
             sets = [shingle_set(t.as_py() or b"", width, powers) for t in piece.column(1)]
             node = np.array([xxh64_intdigest(s.tobytes(), 0) for s in sets], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t.as_py() or b"", width) for t in piece.column(1)], np.uint64).view(np.int64)
             rows = np.arange(row, row + len(sets))
             row += len(sets)
-            columns = [piece.column(0), pa.array(rows), pa.array(node), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "node", "keys"])
+            columns = [piece.column(0), pa.array(rows), pa.array(node), pa.array(fp), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "row", "node", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -109,11 +114,21 @@ def _compare(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(node[group[a]]), pa.array(node[group[b]])], names=["a", "b"])
 
 
+def near_fingerprints(found: DataFrame) -> DataFrame:
+    """(node, least): each node and the least of those whose fingerprints its own reaches by steps of at most DISTANCE bits."""
+    least = written(found.groupBy("fp").agg(F.min("node").alias("least")))
+    reached = components(links(least, DISTANCE))
+    leader = least.join(reached.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    led = leader.groupBy("component").agg(F.min("least").alias("leader"))
+    named = leader.join(led, "component").select("fp", "leader")
+    return found.select("node", "fp").distinct().join(named, "fp").where("node <> leader").select("node", F.col("leader").alias("least"))
+
+
 def candidates(found: DataFrame) -> DataFrame:
-    """(id, component) of the nodes that share a band with another; rows (node, keys) may repeat a node."""
+    """(id, component) of the nodes that share a band with another or have near fingerprints; rows (node, fp, keys) may repeat a node."""
     keyed = found.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("key", "least")
-    pairs = keyed.join(shared, "key").where("node <> least")
+    pairs = keyed.join(shared, "key").where("node <> least").select("node", "least").unionByName(near_fingerprints(found))
     # A node keeps a link to the smallest of its bands' least nodes; the others of them link to that one, which connects the same.
     led = pairs.groupBy("node").agg(F.collect_set("least").alias("all")).withColumn("least", F.array_min("all"))
     ends = F.explode(F.concat(F.array("node"), F.array_remove("all", F.col("least"))))
@@ -124,7 +139,7 @@ def verified(found: DataFrame, distinct: DataFrame, width: int, share: float) ->
     """(a, b) pairs of nodes that connect all that is connected by steps of at least `share`. Each node is a row of distinct, which
     names the row of found with its text."""
     spark = found.sparkSession
-    near = candidates(found.select("node", "keys"))
+    near = candidates(found.select("node", "fp", "keys"))
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sought = near.join(sizes, "component").join(distinct.select(F.col("node").alias("id"), "row"), "id").select("row", "component", "blocks", F.col("id").alias("node"))
     texts = found.select("row", F.col("doc.text").cast("binary").alias("text")).join(sought, "row").select("component", "blocks", "node", "text")
