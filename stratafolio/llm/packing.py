@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Words whose ids a worker remembers; when full, the memory starts anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, and their bytes; when full, the memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 64_000_000
+#: Pieces of one length that are ranked together, were all of one length.
+PER_SALT = 500_000
 #: Documents whose unknown words are encoded together.
 TOGETHER = 200
 #: Separators for str.split() that the tokenizer's own white space does not contain.
@@ -41,7 +43,7 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.size = Tokenizer.from_file(path), {}, 0
 
     @classmethod
     def at(cls, path: str) -> WordIds:
@@ -54,11 +56,13 @@ class WordIds:
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         words = [None if any(c in t for c in ODD_SPACE) else t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self.known.clear()
+            self.size = 0
         new = list(set().union(*(w for w in words if w)).difference(self.known))
         for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             self.known[word] = np.array(found.ids, "<u4").tobytes()
+            self.size += len(word) + len(self.known[word])
         known = self.known.__getitem__
         for text, own in zip(texts, words):
             yield self.encode(text) if own is None else b"".join(map(known, own))
@@ -166,15 +170,16 @@ def assign(batches: Iterator[pa.RecordBatch], plan: dict[int, np.ndarray]) -> It
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(window), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 1, salts: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 1, salts: int | None = None) -> DataFrame:
     """Every document of docs (doc_id, text) in windows of `capacity` tokens.
 
     A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty
     text is its end token alone; repeated rows are packed as often as they occur; a null doc_id stays null; other
     columns are ignored; an empty table gives no rows. Of equal lengths, the order is by salt, doc_id and start.
-    Ranks are counted within (length, salt), so one very common length is spread over `salts` groups.
+    Ranks are counted within (length, salt), so one very common length is spread over `salts` groups, as many as the pieces ask for.
     """
     pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: cut(it, tokenizer_path, capacity, end), PIECES))
+    salts = salts or max(256, -(-pieces.count() // PER_SALT))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int"))
     counts = written(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
