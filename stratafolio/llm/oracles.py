@@ -12,16 +12,17 @@ A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 def quality_rules() -> str:
     stop = ", ".join(f"'{f}'" for f in sorted({f for words in STOP_WORDS.values() for w in words.split() for f in (w, w.capitalize(), w.upper())}))
-    broken = " OR ".join(f"({r.under} > 0 AND n_words >= {r.words} AND ({' OR '.join([f'{r.over} < {r.least}::DOUBLE * {r.under}'] * (r.least is not None) + [f'{r.over} > {r.most}::DOUBLE * {r.under}'] * (r.most is not None))}))" for r in RULES)
+    broken = " OR ".join(f"({r.under} > 0 AND n_words >= {r.words} AND {f'{r.where} AND ' if r.where else ''}({' OR '.join([f'{r.over} < {r.least}::DOUBLE * {r.under}'] * (r.least is not None) + [f'{r.over} > {r.most}::DOUBLE * {r.under}'] * (r.most is not None))}))" for r in RULES)
+    languages = ", ".join(f"'{name}'" for name in STOP_WORDS)
     count = lambda chars: f"len(regexp_extract_all(text, '[{chars}]'))"
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang IN ({languages}), TRUE) AS stop_language FROM documents),
+w AS (SELECT doc_id, text, stop_language, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
 pos AS (SELECT doc_id, unnest(words) AS a, unnest(range(len(words))) AS i FROM w),
 tri AS (SELECT doc_id, i, a || ' ' || lead(a, 1) OVER o || ' ' || lead(a, 2) OVER o AS g FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri WHERE g IS NOT NULL) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
-m AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {count(SYMBOLS)}::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+m AS (SELECT doc_id, stop_language, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {count(SYMBOLS)}::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(list_filter(words, lambda x: x IN ({stop})))::BIGINT AS n_stop_words,
   {count('A-Z')} AS n_upper, {count('!')} AS n_exclaim, {count('0-9')} AS n_digits,
   len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines

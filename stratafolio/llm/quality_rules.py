@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE
 
-# Frequent function words of the corpus languages.
+#: Frequent function words by language. The rule that counts them holds for texts of these languages, or of none given.
 STOP_WORDS = {
     "en": "the of and to in is that for it as with was on are be this by from or an at not a",
     "fr": "le la les de des du et un une en que qui dans pour par sur est au avec",
@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio of two measures and the bounds it must keep, where the text has at least so many words."""
+    """A ratio of two measures and the bounds it must keep, where the text has at least so many words and the measure `where` holds."""
 
     name: str
     over: str
@@ -28,6 +28,7 @@ class Rule:
     least: float | None = None
     most: float | None = None
     words: int = 0
+    where: str | None = None
 
 
 #: The threshold table. Ratios are compared by multiplication; a zero denominator keeps the rule.
@@ -35,7 +36,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", least=2.0, most=15.0),
     Rule("symbols", "n_symbols", "n_words", most=0.25),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.4),
-    Rule("stop_words", "n_stop_words", "n_words", least=0.04, words=50),
+    Rule("stop_words", "n_stop_words", "n_words", least=0.04, words=50, where="stop_language"),
     Rule("upper_case", "n_upper", "word_chars", most=0.4),
     Rule("exclamations", "n_exclaim", "n_words", most=0.25),
     Rule("digits", "n_digits", "word_chars", most=0.4),
@@ -95,6 +96,7 @@ def measured(docs: DataFrame) -> DataFrame:
     step = step.select("*", F.sort_array("h").alias("ordered"))
     step = step.select("*", twice(F.col("ordered")).alias("repeated"))
     step = step.select("*", F.when(F.size("repeated") == 0, F.array().cast("array<int>")).otherwise(marked(F.col("h"), F.col("repeated"))).alias("at"))
+    language = F.coalesce(F.col("row.lang").cast("string").isin(*STOP_WORDS), F.lit(True)) if "lang" in docs.columns else F.lit(True)
     stop = sorted({form for words in STOP_WORDS.values() for w in words.split() for form in (w, w.capitalize(), w.upper())})
     m = {
         "n_words": F.col("n").cast("long"),
@@ -108,6 +110,7 @@ def measured(docs: DataFrame) -> DataFrame:
         "n_exclaim": occurrences(F.col("t"), "!"),
         "n_digits": occurrences(F.col("t"), "0-9"),
         "n_bullet_lines": F.size(F.filter("lines", lambda x: x.rlike(f"^[{SPACE}]*[-*•]"))).cast("long"),
+        "stop_language": language,
         "n_ellipsis_lines": F.size(F.filter("lines", lambda x: x.rlike(f"(\\.\\.\\.|…)[{SPACE}]*$"))).cast("long"),
     }
     # A filter on the verdict must not move below this step and compute the measures again inside itself; a row number stops it.
@@ -124,6 +127,7 @@ def failed_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
             bad = bad | (over < F.lit(r.least) * under)
         if r.most is not None:
             bad = bad | (over > F.lit(r.most) * under)
+        bad = bad & m[r.where] if r.where else bad
         out.append(F.when(bad & (under > 0) & (m["n_words"] >= r.words), F.lit(r.name)))
     return F.array_compact(F.array(*out))
 
@@ -136,7 +140,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A row for each row of docs: `row` (its columns as they were, whatever their names), `m` (measures),
     `broken` (rules broken, in table order), `base_failed` and `kept`.
 
-    A null text counts as empty: no words, so it fails the base. Repeated rows are judged alike, an empty table
+    A null text counts as empty: no words, so it fails the base. A column `lang` says which language's rules apply; without it, or where it is
+    null, all do. Repeated rows are judged alike, an empty table
     gives no rows, a text of any length is measured whole.
     """
     scored = measured(docs).select("*", failed_rules(F.col("m"), rules).alias("broken"), base_failed(F.col("m")).alias("base_failed"))

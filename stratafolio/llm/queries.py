@@ -28,7 +28,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
-    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
