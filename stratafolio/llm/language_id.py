@@ -20,6 +20,8 @@ BUCKETS = 1 << 15
 CHARS = 1 << 18
 #: Labelled rows at most that the fit sees (a quarter of them calibrate), the lowest by a hash of the id within each label.
 SAMPLE = 2000
+#: Parts of the hash range, and rows of a label that are looked for beyond its share.
+FINE, SPARE = 1 << 40, 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.0005, 4
 UND = "und"
 
@@ -142,16 +144,23 @@ def fit(rows: list[tuple[str, str]], n: int, df: np.ndarray) -> Model:
 
 
 def sample_of(training: DataFrame, label: Column, size: int) -> list[tuple[str, str]]:
-    """At most `size` (text, label) rows in all, shared among the labels, by a hash of id and text."""
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
-    rows = training.select(F.col("text"), label.alias("label"), order.alias("o"), F.col("doc_id").alias("d"))
-    known = [r.label for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(size).collect()]
-    out: list = []
-    for k in known:
-        own, n = rows.where(F.col("label") == k), max(1, size // len(known))
-        last = own.select("o").orderBy("o").limit(n).agg(F.max("o")).first()[0]  # numbers only; then the texts up to it
-        out += own.where(F.col("o") <= last).orderBy("o", "d").limit(n).collect()
-    return [(r.text, r.label) for r in sorted(out, key=lambda r: (r.o, r.d))]
+    """About `size` (text, label) rows at most, shared among the labels (one of each at least), the lowest by a hash of id and text; rows that repeat
+    count once. The counts of the labels say below which hash enough rows lie, so one pass finds them."""
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(FINE))
+    rows = training.select(F.col("text"), label.alias("label"), order.alias("o"))
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if not sizes:
+        return []
+    each = max(1, size // len(sizes))
+    cuts = [(k, FINE if n <= each + SPARE else int(FINE * (each + SPARE + 4 * (each + SPARE) ** 0.5) / n)) for k, n in sizes.items()]
+    below = training.sparkSession.createDataFrame(cuts, "label string, cut long")
+    found = rows.join(F.broadcast(below), "label").where("o < cut").groupBy("label", "o").agg(F.min("text").alias("text"))  # a row a label is broadcast
+    out, taken = [], {}
+    for r in sorted(found.collect(), key=lambda r: (r.o, r.label)):
+        taken[r.label] = taken.get(r.label, 0) + 1
+        if taken[r.label] <= each:
+            out.append((r.text, r.label))
+    return out
 
 
 def trained(training: DataFrame, sample: int = SAMPLE) -> Model:
