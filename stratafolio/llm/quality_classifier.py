@@ -21,6 +21,8 @@ from .quality_rules import STOP_WORDS
 
 #: Labelled rows at most that the fit sees, the lowest by a hash of id and text; only their features come to the driver.
 SAMPLE = 20_000
+#: Parts of the hash range by which the sample is cut.
+FINE = 1 << 40
 BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, SMOOTH = 32, 8, 60, 20, 6, 0.15, 2.0
 FEATURES = ("words", "word_length", "symbols", "upper", "exclamations", "digits", "stop_words", "distinct_words", "repeated_triples", "duplicate_lines", "line_words", "other_bytes")
 STOP = frozenset(form.encode() for words in STOP_WORDS.values() for form in words.split())
@@ -168,12 +170,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
     """A model from docs (doc_id, text) and labels (doc_id, quality); labels without an id, quality or document teach nothing.
 
-    The sample is drawn from the labels, so that only `sample` ids go to the documents' tasks and no text is shuffled.
+    The sample is drawn from the labels by a cut of their hashes at the share that fits, so that about `sample` ids at most go to the documents' tasks and
+    no text is shuffled. Labels that repeat count once; of documents with one id, that with the least features teaches.
     """
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "y").limit(sample)
+    usable = usable.distinct()
+    n = usable.count()
+    cut = FINE if n <= sample else int(FINE * (sample - 4 * sample**0.5) / n)
+    chosen = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FINE)) < cut)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    got = with_features(rows, "doc_id", "y").toPandas()  # features, at most `sample` rows where ids are unique
+    got = with_features(rows, "doc_id", "y").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()  # features, a row a label
     got = got.sort_values(["doc_id", "y"], kind="stable")
     x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return fit(x, got["y"].to_numpy(np.float64))
