@@ -34,3 +34,10 @@ def china_display(instant: Column) -> Column:
 
 def seconds_between(a: Column, b: Column) -> Column:
     return F.unix_timestamp(b) - F.unix_timestamp(a)
+
+
+def within_hours(text: Column, now: Column, hours: int) -> Column:
+    """Whether an instant lies in the hours before now. Both sides are compared as timestamps: as text, an ISO instant with its T sorts after
+    any of the same day that is written with a space, which would let up to a day too much in."""
+    at, end = text.try_cast("timestamp"), now.cast("timestamp")
+    return F.coalesce((at >= end - F.make_interval(hours=F.lit(hours))) & (at <= end), F.lit(False))

@@ -50,8 +50,10 @@ def evidence_errors(block: Column) -> Column:
 def byte_range(header: Column, size: Column) -> Column:
     """(kind, start, end) of an HTTP range header: full, range or invalid."""
     text = F.trim(header)
-    spec = F.regexp_extract(text, r"^bytes=(\d{0,18})-(\d{0,18})$", 0)
-    first, last = (F.regexp_extract(text, r"^bytes=(\d{0,18})-(\d{0,18})$", k).try_cast("long") for k in (1, 2))
+    form = r"^bytes=(\d*)-(\d*)$"
+    spec = F.regexp_extract(text, form, 0)
+    digits = lambda k: F.regexp_replace(F.regexp_extract(text, form, k), "^0+(?=.)", "")
+    first, last = (F.when(F.length(digits(k)) > 18, F.lit(10**18)).otherwise(digits(k).try_cast("long")) for k in (1, 2))  # beyond any size
     suffix = first.isNull()
     start = F.when(suffix, F.greatest(F.lit(0).cast("long"), size - last)).otherwise(first)
     end = F.when(suffix, size - 1).otherwise(F.least(F.coalesce(last, size - 1), size - 1))

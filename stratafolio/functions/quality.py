@@ -93,13 +93,21 @@ def recommended_action(parser: Column, status: Column, issues: Column, damaged_p
     )
 
 
+# How a list of charts, a caption and a line of numbers look, and how many of them speak of a chart.
+CHART_LIST = "(?i)图表目录|圖表目錄|list of (?:figures|tables)"
+CAPTION = r"(?im)^\s*(?:图(?:表)?|圖(?:表)?|figure|fig\.?|chart|exhib[iIl]t)\s*\d+"
+NUMBER_LINE, NUMBER_LINE_LENGTH = r"[\s\d.,%％+−\-–—()（）:/年月日]+", 30
+CAPTIONED_LINES, MANY_LINES, LONG_RUN = 8, 24, 8
+
+
 def chart_signal(text: Column, lines: Column) -> Column:
     """(kind, requires_review, caption_count, numeric_lines, longest_numeric_run) of a block."""
-    navigation = text.rlike("(?i)图表目录|圖表目錄|list of (?:figures|tables)")
-    captions = F.regexp_count(text, F.lit(r"(?im)^\s*(?:图(?:表)?|圖(?:表)?|figure|fig\.?|chart|exhib[il]t)\s*\d+"))
-    numeric = F.transform(lines, lambda x: (F.length(x) <= 30) & x.rlike(r"^(?U)[\s\d.,%％+−\-–—()（）:/年月日]+$"))
-    longest = F.aggregate(numeric, F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")), lambda a, x: F.struct(F.when(x, a["run"] + 1).otherwise(0).alias("run"), F.greatest(a["best"], F.when(x, a["run"] + 1).otherwise(0)).alias("best")), lambda a: a["best"])
-    count = F.size(F.filter(numeric, lambda x: x))
-    risk = ((captions > 0) & (count >= 8)) | ((count >= 24) & (longest >= 8))
+    navigation = text.rlike(CHART_LIST)
+    captions = F.regexp_count(text, F.lit(CAPTION))
+    # one letter a line, so that runs of numeric lines are runs of letters
+    marks = F.array_join(F.transform(lines, lambda x: F.when((F.length(x) <= NUMBER_LINE_LENGTH) & x.rlike(f"^(?U){NUMBER_LINE}$"), "n").otherwise("-")), "")
+    longest = F.coalesce(F.array_max(F.transform(F.split(marks, "-+"), lambda run: F.length(run))), F.lit(0))
+    count = F.length(F.replace(marks, F.lit("-"), F.lit("")))
+    risk = ((captions > 0) & (count >= CAPTIONED_LINES)) | ((count >= MANY_LINES) & (longest >= LONG_RUN))
     kind = F.when(navigation, "navigation").when(risk, "chart_or_table_candidate").otherwise("unclassified")
     return F.struct(kind.alias("kind"), (risk & ~navigation).alias("requires_review"), captions.alias("caption_count"), count.alias("numeric_lines"), longest.alias("longest_numeric_run"))

@@ -74,11 +74,18 @@ def html_escape(text: Column) -> Column:
     return out
 
 
+# Characters that YAML and Markdown read as more than themselves.
+YAML_ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\x00", "\\0"))
+MARKDOWN_SPECIAL = r"([\\`*_{}\[\]()#+.!|<>&~])"
+
+
 def yaml_scalar(text: Column) -> Column:
-    """A double-quoted YAML scalar for text without other control characters."""
+    """A double-quoted YAML scalar; control characters are written as escapes."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    for char, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t")):
+    for char, escape in YAML_ESCAPES:
         out = F.replace(out, F.lit(char), F.lit(escape))
+    control = F.filter(F.array(*(F.lit(chr(k)) for k in (*range(1, 9), 11, 12, *range(14, 32), 127))), lambda x: F.contains(out, x))
+    out = F.when(out.rlike(r"[\x01-\x1f\x7f]"), F.aggregate(control, out, lambda a, x: F.replace(a, x, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(x))), 2, "0"))))).otherwise(out)
     return F.concat(F.lit('"'), out, F.lit('"'))
 
 
@@ -86,7 +93,7 @@ def markdown_text(text: Column, block: bool = False) -> Column:
     out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         out = F.replace(out, F.lit(char), F.lit(entity))
-    out = F.regexp_replace(out, r"([\\`*_{}\[\]()#+.!|<>&~])", r"\\$1")
+    out = F.regexp_replace(out, MARKDOWN_SPECIAL, r"\\$1")
     return out if block else F.replace(out, F.lit("\n"), F.lit(" "))
 
 

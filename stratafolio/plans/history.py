@@ -10,10 +10,10 @@ from .registry import query
 c = F.col
 
 
-@query("scd1_snapshot_commit", "WITH o AS (SELECT l_orderkey AS doc_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS version_id, md5(l_partkey || 'x') AS kept, md5(l_partkey || CASE WHEN l_suppkey % 10 = 0 THEN 'y' ELSE 'x' END) AS sha, l_returnflag <> 'R' AS present, l_linestatus = 'O' AS cur FROM lineitem WHERE l_linenumber <= 2), k AS (SELECT doc_id, count(*) FILTER (cur) AS n FROM o GROUP BY 1) SELECT doc_id, version_id, kept AS sha256, CASE WHEN NOT present THEN 'missing' WHEN sha <> kept THEN 'conflict' ELSE 'ready' END AS state, cur AND n = 1 AS is_current FROM o JOIN k USING (doc_id)")
+@query("scd1_snapshot_commit", "WITH o AS (SELECT l_orderkey AS doc_id, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS version_id, md5(l_partkey || 'x') AS kept, md5(l_partkey || CASE WHEN l_suppkey % 10 = 0 THEN 'y' ELSE 'x' END) AS sha, l_returnflag <> 'R' AS present, l_linestatus = 'O' AS cur FROM lineitem), k AS (SELECT doc_id, count(*) FILTER (cur) AS n FROM o GROUP BY 1) SELECT doc_id, version_id, kept AS sha256, CASE WHEN NOT present THEN 'missing' WHEN sha <> kept THEN 'conflict' ELSE 'ready' END AS state, cur AND n = 1 AS is_current FROM o JOIN k USING (doc_id)")
 def scd1(t):
-    o = t.lineitem.where("l_linenumber <= 2").select(c("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"), F.md5(F.concat(c("l_partkey"), F.when(c("l_suppkey") % 10 == 0, "y").otherwise("x"))).alias("sha256"), F.lit(None).cast("string").alias("declared"), (c("l_returnflag") != "R").alias("present"), (c("l_linestatus") == "O").alias("current"))
-    kept = t.lineitem.where("l_linenumber <= 2").select(c("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"), F.md5(F.concat(c("l_partkey"), F.lit("x"))).alias("sha256")).dropDuplicates(["doc_id", "version_id"])
+    o = t.lineitem.select(c("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"), F.md5(F.concat(c("l_partkey"), F.when(c("l_suppkey") % 10 == 0, "y").otherwise("x"))).alias("sha256"), F.lit(None).cast("string").alias("declared"), (c("l_returnflag") != "R").alias("present"), (c("l_linestatus") == "O").alias("current"))
+    kept = t.lineitem.select(c("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("version_id"), F.md5(F.concat(c("l_partkey"), F.lit("x"))).alias("sha256")).dropDuplicates(["doc_id", "version_id"])
     return history.reconciled_versions(kept, o)
 
 
@@ -140,9 +140,9 @@ def ret9(t):
     return d.withColumn("digest", F.sha2(F.concat_ws(":", "o_orderkey", "refs"), 256))
 
 
-@query("ret10_evidence_context", "SELECT doc_id, ordinal, md5(lag(line) OVER w) AS before, md5(lead(line) OVER w) AS after FROM (SELECT doc_id, unnest(range(len(l))) AS ordinal, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id < 50)) WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)")
+@query("ret10_evidence_context", "SELECT doc_id, ordinal, md5(lag(line) OVER w) AS before, md5(lead(line) OVER w) AS after FROM (SELECT doc_id, unnest(range(len(l))) AS ordinal, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)")
 def ret10(t):
-    lines = t.documents.where("doc_id < 50").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
     d = selection.neighbours(lines, ["doc_id"], "ordinal", "line")
     return d.select("doc_id", c("ordinal").cast("long").alias("ordinal"), F.md5("before").alias("before"), F.md5("after").alias("after"))
 

@@ -321,10 +321,17 @@ def agg14(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("chars"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("tags"))
 
 
-@query("agg15_inventory", "SELECT source, count(*) AS documents, count(*) FILTER (quality = 0) AS poor, count(*) FILTER (quality IS NULL) AS unknown, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS manifest FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+@query("agg15_inventory", "WITH b AS (SELECT source, doc_id // 4096 AS bucket, count(*) AS n, count(*) FILTER (quality = 0) AS poor, count(*) FILTER (quality IS NULL) AS unknown, sha256(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id)) AS d FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2) SELECT source, CAST(sum(n) AS BIGINT) AS documents, CAST(sum(poor) AS BIGINT) AS poor, CAST(sum(unknown) AS BIGINT) AS unknown, sha256(string_agg(d, ',' ORDER BY bucket)) AS manifest FROM b GROUP BY 1")
 def agg15(t):
     ids = F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string"))
-    return t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(c("quality") == 0).alias("poor"), F.count_if(c("quality").isNull()).alias("unknown"), F.sha2(F.array_join(ids, ","), 256).alias("manifest"))
+    labelled = t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left").groupBy("source", F.floor(c("doc_id") / 4096).alias("bucket"))
+    buckets = labelled.agg(F.count("*").alias("n"), F.count_if(c("quality") == 0).alias("poor"), F.count_if(c("quality").isNull()).alias("unknown"), F.sha2(F.array_join(ids, ","), 256).alias("d"))
+    return buckets.groupBy("source").agg(F.sum("n").alias("documents"), F.sum("poor").alias("poor"), F.sum("unknown").alias("unknown"), digest_of_digests("bucket", "d", ",").alias("manifest"))
+
+
+def digest_of_digests(bucket: str, digest: str, separator: str):
+    """Of buckets of bounded size, so that no row gathers more than a digest a bucket."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(bucket, digest))), lambda x: x[digest]), separator), 256)
 
 
 @query("agg16_measurement", "SELECT count(*) AS n, count(*) FILTER (n_chars > 1000) AS measured, CAST(sum(n_chars) AS BIGINT) AS tokens, bool_and(n_chars >= 0) AS exact FROM documents")
@@ -356,10 +363,11 @@ def agg20(t):
     return t.pages.groupBy(kind.alias("disposition")).agg(F.count("*").alias("n"))
 
 
-@query("agg21_ordered_digest", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("agg21_ordered_digest", "WITH b AS (SELECT source, doc_id // 4096 AS bucket, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS d FROM documents GROUP BY 1, 2) SELECT source, sha256(string_agg(d, chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY 1")
 def agg21(t):
     lines = F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h"))))
-    return t.documents.groupBy("source").agg(F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["doc_id"], F.lit(":"), x["h"])), "\n"), 256).alias("digest"))
+    buckets = t.documents.groupBy("source", F.floor(c("doc_id") / 4096).alias("bucket")).agg(F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["doc_id"], F.lit(":"), x["h"])), "\n"), 256).alias("d"))
+    return buckets.groupBy("source").agg(digest_of_digests("bucket", "d", "\n").alias("digest"))
 
 
 @query("agg22_changes_since", "SELECT count(*) AS n, max(event_id) AS newest FROM events WHERE event_id > 100")

@@ -76,10 +76,10 @@ def bm25_batch(t):
     return retrieval.top(scores, ["query_id"], 5, F.desc("score"), F.asc("block_id")).select("query_id", "block_id", c("rank").cast("long").alias("rank"), "score")
 
 
-@query("ret2_stale_terms", f"WITH {LINES}, {POSTINGS}, {ONE} SELECT block_id, count(*) AS matched FROM postings JOIN q USING (term) WHERE length(block_id) % 2 = 0 GROUP BY 1")
+@query("ret2_stale_terms", f"WITH {LINES}, {POSTINGS}, {ONE} SELECT block_id, count(*) AS matched FROM postings JOIN q USING (term) GROUP BY 1")
 def stale(t):
     q = terms_of(t, "item_id = 0").select("term")
-    blocks = index.line_blocks(t.documents).where(F.length("block_id") % 2 == 0)
+    blocks = index.line_blocks(t.documents)
     wanted = [r.term for r in q.collect()]  # of one query
     matched = F.size(F.array_intersect(text.tokens(c("text")), F.array(*map(F.lit, wanted))))
     return blocks.select("block_id", matched.cast("long").alias("matched")).where("matched > 0")

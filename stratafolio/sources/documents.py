@@ -49,8 +49,9 @@ class _Blocks(HTMLParser):
     SKIP = {"script", "style", "nav", "footer", "noscript", "template"}
     VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
-    def __init__(self):
+    def __init__(self, skip: frozenset[str] | set[str] = SKIP):
         super().__init__(convert_charrefs=True)
+        self.skip = skip
         self.path: list[str] = []
         self.seen: list[dict[str, int]] = [{}]
         self.skipped, self.out, self.text, self.at = 0, [], "", 0
@@ -60,7 +61,7 @@ class _Blocks(HTMLParser):
         if shown:
             tag = self.path[-1].split("[")[0] if self.path else "body"
             kind = "heading" if re.fullmatch("h[1-6]|title", tag) else "table" if tag in ("td", "th", "caption") else "paragraph"
-            self.out.append({"block_type": kind, "text": shown, "dom_path": "/".join(self.path), "start_char": self.at, "end_char": self.at + len(shown)})
+            self.out.append({"block_type": kind, "text": shown, "dom_path": ">".join(self.path), "start_char": self.at, "end_char": self.at + len(shown)})
             self.at += len(shown) + 1
         self.text = ""
 
@@ -73,7 +74,7 @@ class _Blocks(HTMLParser):
         n = self.seen[-1][tag] = self.seen[-1].get(tag, 0) + 1
         self.path.append(f"{tag}[{n}]")
         self.seen.append({})
-        self.skipped += tag in self.SKIP
+        self.skipped += tag in self.skip
 
     def handle_endtag(self, tag: str) -> None:
         names = [p.split("[")[0] for p in self.path]
@@ -85,7 +86,7 @@ class _Blocks(HTMLParser):
                 self.flush()
             self.path.pop()
             self.seen.pop()
-            self.skipped -= name in self.SKIP
+            self.skipped -= name in self.skip
             if name == tag:
                 break
 
@@ -94,8 +95,13 @@ class _Blocks(HTMLParser):
             self.text += data
 
 
-def html_blocks(raw: bytes) -> list[dict]:
-    parser = _Blocks()
+#: Elements whose text is never shown.
+NEVER_SHOWN = frozenset({"script", "style", "noscript", "template"})
+
+
+def html_blocks(raw: bytes, skip: frozenset[str] | set[str] = _Blocks.SKIP) -> list[dict]:
+    """Blocks of a page without the elements in skip; the registered extractor skips what is NEVER_SHOWN and so keeps navigation and footers."""
+    parser = _Blocks(skip)
     parser.feed(decoded(raw))
     parser.close()
     parser.flush()
@@ -131,23 +137,43 @@ def _stream(body: bytes) -> bytes:
         return b""
     if b"/FlateDecode" in body:
         try:
-            return zlib.decompressobj().decompress(m[1], 64_000_000)
+            return zlib.decompressobj().decompress(m[1])
         except zlib.error:
             return b""
     return m[1]
 
 
 def _strings(content: bytes) -> Iterator[str]:
-    escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-    for m in re.finditer(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>", content):
-        if m[2] is not None:
-            digits = re.sub(rb"\s", b"", m[2])
+    """Literal strings, whose parentheses may nest, and hexadecimal ones."""
+    at = 0
+    while m := _STRING.search(content, at):
+        at = m.end()
+        if m[1] is not None:
+            digits = re.sub(rb"\s", b"", m[1])
             yield bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
-        else:
-            yield re.sub(rb"\\(\d{1,3}|.)", lambda e: bytes([int(e[1], 8) & 255]) if e[1].isdigit() else escapes.get(e[1], e[1]), m[1]).decode("latin-1")
+            continue
+        depth, out = 1, []
+        while depth and (p := _PART.match(content, at)):
+            at, part = p.end(), p[0]
+            depth += (part == b"(") - (part == b")")
+            if depth:
+                out.append(_unescaped(part) if part[:1] == b"\\" else part)
+        yield b"".join(out).decode("latin-1")
+
+
+_STRING = re.compile(rb"\(|<([0-9A-Fa-f\s]+)>")
+_PART = re.compile(rb"(?s)\\[0-7]{1,3}|\\\r\n|\\.|[()]|[^\\()]+|\\")
 
 
-EXTRACTORS: dict[str, Callable[[bytes], list[dict]]] = {"txt": text_blocks, "html": html_blocks, "pdf": pdf_blocks}
+def _unescaped(part: bytes) -> bytes:
+    """An octal code, an escaped line end (nothing), a named control character, or the character itself."""
+    if part[1:2] and part[1:2] in b"01234567":
+        return bytes([int(part[1:], 8) & 255])
+    named = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+    return named.get(part[1:], part[1:])
+
+
+EXTRACTORS: dict[str, Callable[[bytes], list[dict]]] = {"txt": text_blocks, "html": lambda raw: html_blocks(raw, NEVER_SHOWN), "pdf": pdf_blocks}
 
 
 def register_extractor(format: str, extractor: Callable[[bytes], list[dict]]) -> None:
@@ -171,3 +197,10 @@ def extracted(df: DataFrame, keys: list[str], content: str, format: Column) -> D
     blocks = F.arrow_udf(run, BLOCKS)(F.col(content).cast("binary"), format)
     return df.select(*keys, F.explode(blocks).alias("b")).select(*keys, "b.*")
 
+
+
+def page_statistics(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, chars_per_page and page_ocr_status (arrays in page order) of pages (keys.., page, text); a page without text misses its content.
+    A document's pages are gathered as numbers, never as texts."""
+    seen = pages.select(*keys, F.struct("page", F.length("text").alias("chars"), F.when(F.trim("text") == "", "missing_content").otherwise("text_layer").alias("state")).alias("p"))
+    return seen.groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("p")).select(*keys, F.col("p.chars").alias("chars_per_page"), F.col("p.state").alias("page_ocr_status"))
