@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +19,14 @@ def line_blocks(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "ordinal", F.format_string("%d-b%04d", "doc_id", "ordinal").alias("block_id"), "text")
 
 
-def postings(blocks: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(term, block_id, tf), of the terms in `only` if given. Terms are counted inside each block, so rows are final before any shuffle."""
+def postings(blocks: DataFrame, only: list[str] | None = None, lengths: bool = False) -> DataFrame:
+    """(term, block_id, tf), and the length of the block on request, of the terms in `only` if given. Terms are counted inside each block, so rows are final before any shuffle."""
     terms = tokens(F.col("text"))
-    sorted_terms = blocks.select("block_id", F.sort_array(terms if only is None else F.filter(terms, lambda t: t.isin(only))).alias("terms"))
+    keep = ["block_id", *(["length"] if lengths else [])]
+    sorted_terms = blocks.withColumn("length", F.length("text").cast("long")).select(*keep, F.sort_array(terms if only is None else F.filter(terms, lambda t: t.isin(only))).alias("terms"))
     ends = sorted_terms.select("*", _ends(F.col("terms")).alias("ends"))  # a step of its own, so that lambdas read a column and compute nothing again
-    counted = ends.select("block_id", F.explode(_frequencies(F.col("terms"), F.col("ends"))).alias("p"))
-    return counted.select(F.col("p.term").alias("term"), "block_id", F.col("p.tf").alias("tf"))
+    counted = ends.select(*keep, F.explode(_frequencies(F.col("terms"), F.col("ends"))).alias("p"))
+    return counted.select(F.col("p.term").alias("term"), "block_id", F.col("p.tf").alias("tf"), *keep[1:])
 
 
 def _ends(ordered):
@@ -55,6 +58,23 @@ def manifest_of(blocks: DataFrame) -> str:
     return f"gen-{whole[:24]}"
 
 
+#: Blocks for which the index gets another bucket of terms, and another file in each bucket.
+BLOCKS_A_BUCKET, BLOCKS_A_FILE = 100_000, 4_000_000
+
+
+def session_store(spark: SparkSession, name: str) -> IndexStore:
+    """The store of this application under a name, in the shared folder; in local mode a temporary folder will do."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    store = IndexStore(spark, f"{root.rstrip('/')}/stratafolio-index-{context.applicationId}/{hashlib.sha256(name.encode()).hexdigest()[:16]}")
+    store.fs.deleteOnExit(store._path(""))
+    return store
+
+
 class IndexStore:
     """Generations under a root: each is a directory of Parquet, written, verified, and then named by one pointer file.
 
@@ -74,17 +94,24 @@ class IndexStore:
             return None
         return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/active.json").collect()))["generation"]
 
-    def build(self, blocks: DataFrame, term_buckets: int = 16) -> tuple[str, bool]:
-        """The generation of these blocks, and whether it was built now."""
+    def build(self, blocks: DataFrame, term_buckets: int | None = None) -> tuple[str, bool]:
+        """The generation of these blocks, and whether it was built now.
+
+        Terms are dealt to as many buckets as the blocks ask for, and each bucket, by block, to as many files, so that neither a task nor a very
+        frequent term grows with the corpus. Postings carry their block's length, and the sizes of the whole are kept with them.
+        """
         generation = manifest_of(blocks)
         if self.active() == generation:
             return generation, False
         place = f"{self.root}/{generation}"
         self.fs.delete(self._path(generation), True)  # residue of a crash
-        index = postings(blocks).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int"))
-        index.repartition("bucket").sortWithinPartitions("term", "block_id").write.partitionBy("bucket").parquet(f"{place}/postings")
-        block_terms(blocks).write.parquet(f"{place}/blocks")
-        wrote = self.spark.read.parquet(f"{place}/blocks").agg(F.count("*").alias("n"), F.sum("terms").alias("t")).first()
+        blocks.select("doc_id", "block_id", F.size(F.array_distinct(tokens(F.col("text")))).cast("long").alias("terms"), F.length("text").cast("long").alias("length")).write.parquet(f"{place}/blocks")
+        wrote = self.spark.read.parquet(f"{place}/blocks").agg(F.count("*").alias("n"), F.sum("terms").alias("t"), F.avg("length").alias("avg")).first()
+        buckets, files = term_buckets or max(16, wrote.n // BLOCKS_A_BUCKET), 1 + wrote.n // BLOCKS_A_FILE
+        index = postings(blocks, lengths=True).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        dealt = index.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("block_id"), F.lit(files)))
+        dealt.sortWithinPartitions("bucket", "term", "block_id").write.partitionBy("bucket").parquet(f"{place}/postings")
+        self.spark.createDataFrame([(buckets, wrote.n, float(wrote.avg or 0.0))], "buckets int, n long, avg double").coalesce(1).write.parquet(f"{place}/sizes")
         rows = self.spark.read.parquet(f"{place}/postings").count()
         if rows != (wrote.t or 0):
             raise RuntimeError(f"{generation}: {rows} postings, {wrote.t} expected")
@@ -103,8 +130,16 @@ class IndexStore:
         options[0] = rename.OVERWRITE
         context.rename(draft, target, options)
 
-    def postings_of(self, terms: list[str], generation: str, term_buckets: int = 16) -> DataFrame:
+    def sizes(self, generation: str):
+        """(buckets, n, avg): what the generation was built with, one row."""
+        return self.spark.read.parquet(f"{self.root}/{generation}/sizes").first()
+
+    def postings(self, generation: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{generation}/postings").drop("bucket")
+
+    def postings_of(self, terms: list[str], generation: str) -> DataFrame:
         """Only the buckets and terms of a query are read."""
+        term_buckets = self.sizes(generation).buckets
         rows = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int")).distinct().collect()
         return self.spark.read.parquet(f"{self.root}/{generation}/postings").where(F.col("bucket").isin([r[0] for r in rows]) & F.col("term").isin(terms)).drop("bucket")
 

@@ -21,15 +21,27 @@ def terms_of(t, where: str):
     return t.benchmark.where(where).select(c("item_id").alias("query_id"), F.explode(text.query_terms(c("text"))).alias("term"))
 
 
-def searched(t, where: str = "item_id = 0"):
-    blocks, queries = index.line_blocks(t.documents), terms_of(t, where)
-    only = sorted({r.term for r in queries.select("term").distinct().collect()})  # of the stated queries
-    return retrieval.bm25(index.postings(blocks, only), blocks.select("block_id", F.length("text").alias("length")), queries)
+#: Terms of a search up to which only their buckets are read; with more, all postings meet the terms in a join.
+FEW = 500
+
+
+def generation(t):
+    """The store of the tables and its active generation, built on first use."""
+    store = index.session_store(t.spark, t.sf_dir)
+    return store, store.active() or store.build(index.line_blocks(t.documents))[0]
+
+
+def searched(t, where: str = "item_id = 0", visible=None):
+    (store, active), queries = generation(t), terms_of(t, where)
+    terms = [r.term for r in queries.select("term").distinct().limit(FEW + 1).collect()]
+    found = store.postings_of(terms, active) if len(terms) <= FEW else store.postings(active)
+    return retrieval.bm25(found, store.blocks(active), queries, visible and visible(store.blocks(active)), store.sizes(active))
 
 
 @query("snk1_postings_sink", f"WITH {LINES}, {POSTINGS} SELECT term, count(*) AS blocks, CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY 1")
 def postings_rows(t):
-    return index.postings(index.line_blocks(t.documents)).groupBy("term").agg(F.count("*").alias("blocks"), F.sum("tf").alias("occurrences"))
+    store, active = generation(t)
+    return store.postings(active).groupBy("term").agg(F.count("*").alias("blocks"), F.sum("tf").alias("occurrences"))
 
 
 @query("idx1_selected_blocks", f"WITH {LINES} SELECT block_id, length(line) AS length FROM lines JOIN labels USING (doc_id) WHERE quality = 1")
@@ -40,13 +52,14 @@ def selected(t):
 
 @query("idx2_build_counts", f"WITH {LINES}, {POSTINGS} SELECT (SELECT count(*) FROM lines) AS blocks, (SELECT count(*) FROM postings) AS postings")
 def build(t):
-    blocks = index.line_blocks(t.documents)
-    return index.block_terms(blocks).agg(F.count("*").alias("blocks"), F.sum("terms").alias("postings"))
+    store, active = generation(t)
+    return store.blocks(active).agg(F.count("*").alias("blocks"), F.sum("terms").alias("postings"))  # the build has held them against the postings
 
 
 @query("idx3_postings_lookup", f"WITH {LINES}, {POSTINGS} SELECT term, block_id, tf FROM postings WHERE term IN ('the', 'with', 'und')")
 def lookup(t):
-    return index.postings(index.line_blocks(t.documents)).where(c("term").isin("the", "with", "und"))
+    store, active = generation(t)
+    return store.postings_of(["the", "with", "und"], active).select("term", "block_id", "tf")
 
 
 @query("agg6_index_stats", f"WITH {LINES} SELECT count(*) AS blocks, CAST(sum(len(list_distinct({TERMS.format('line')}))) AS BIGINT) AS terms, CAST(sum(length(line)) AS BIGINT) AS chars FROM lines")
@@ -61,7 +74,8 @@ def frequencies(t):
 
 @query("agg8_document_frequency", f"WITH {LINES}, {POSTINGS} SELECT term, count(*) AS df FROM postings GROUP BY 1 HAVING count(*) > 5")
 def document_frequency(t):
-    return index.term_counts(index.postings(index.line_blocks(t.documents))).where("df > 5")
+    store, active = generation(t)
+    return index.term_counts(store.postings(active)).where("df > 5")
 
 
 @query("ret1_bm25_search", f"WITH {LINES}, {POSTINGS}, {ONE}, {SCORES} SELECT block_id, round(score, 6) AS score FROM scores ORDER BY round(score, 6) DESC, block_id LIMIT 20")
@@ -85,11 +99,11 @@ def stale(t):
     return blocks.select("block_id", matched.cast("long").alias("matched")).where("matched > 0")
 
 
-@query("ret3_as_of_hits", f"WITH {LINES}, {POSTINGS}, {ONE}, {SCORES} SELECT block_id, round(score, 6) AS score FROM scores JOIN lines USING (block_id) WHERE doc_id < 100")
+@query("ret3_as_of_hits", f"WITH {LINES}, {POSTINGS}, q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark), {SCORES}, r AS (SELECT query_id, block_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, block_id) AS rank FROM scores JOIN lines USING (block_id) JOIN orders ON o_orderkey = doc_id WHERE o_orderdate <= TIMESTAMP '1996-06-30 00:00:00') SELECT query_id, block_id, rank, round(score, 6) AS score FROM r WHERE rank <= 20")
 def as_of_hits(t):
-    blocks = index.line_blocks(t.documents)
-    hits = retrieval.bm25(index.postings(blocks), index.block_terms(blocks), terms_of(t, "item_id = 0"), blocks.where("doc_id < 100"))
-    return hits.select("block_id", F.round("score", 6).alias("score"))
+    public = t.orders.where("o_orderdate <= TIMESTAMP_NTZ '1996-06-30 00:00:00'").select(c("o_orderkey").alias("doc_id"))
+    scores = searched(t, "true", lambda blocks: blocks.join(public, "doc_id", "left_semi")).withColumn("score", F.round("score", 6))
+    return retrieval.top(scores, ["query_id"], 20, F.desc("score"), F.asc("block_id")).select("query_id", "block_id", c("rank").cast("long").alias("rank"), "score")
 
 
 _COS = "cos AS (SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b)"
@@ -111,8 +125,8 @@ def vector_recall(t):
     SELECT id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT * FROM k WHERE rank <= 200 UNION ALL SELECT * FROM v WHERE rank <= 200) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
 )
 def rank_fusion(t):
-    blocks = index.line_blocks(t.documents)
-    by_doc = searched(t).join(blocks.select("block_id", "doc_id"), "block_id").groupBy(c("doc_id").alias("id")).agg(F.round(F.max("score"), 6).alias("score"))
+    store, active = generation(t)
+    by_doc = searched(t).join(store.blocks(active).select("block_id", "doc_id"), "block_id").groupBy(c("doc_id").alias("id")).agg(F.round(F.max("score"), 6).alias("score"))
     head = lambda df, order: retrieval.top(df.orderBy(F.desc(order), "id").limit(200).withColumn("all", F.lit(1)), ["all"], 200, F.desc(order), F.asc("id"))  # noqa: E731  at most 200 rows reach the window
     fused = retrieval.fused(head(by_doc, "score"), head(similar(t), "similarity"))
     return fused.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)
