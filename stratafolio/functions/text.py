@@ -56,6 +56,12 @@ def snippet(text: Column, terms: Column, width: int = 80) -> tuple[Column, Colum
     return shown, spans
 
 
+def decoded(content: Column) -> Column:
+    """(text, encoding) of bytes: utf-8, or utf-8-replaced where something malformed became a replacement character."""
+    fine = F.is_valid_utf8(content.cast("string"))
+    return F.struct(F.make_valid_utf8(content.cast("string")).alias("text"), F.when(content.isNotNull(), F.when(fine, "utf-8").otherwise("utf-8-replaced")).alias("encoding"))
+
+
 def single_spaced(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", " ")
 

@@ -293,3 +293,10 @@ def html_text(t):
 @query("str22_redact", "SELECT page_id, 'token=*** ' || url AS said FROM pages")
 def redact(t):
     return t.pages.select("page_id", text.redacted(F.concat(F.lit("token=abc"), F.col("page_id"), F.lit(" "), F.col("url"))).alias("said"))
+
+
+@query("str11_decoded", "SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || '.' ELSE '' END) AS text, CASE WHEN doc_id % 3 = 0 THEN 'utf-8-replaced' ELSE 'utf-8' END AS encoding FROM documents WHERE text IS NOT NULL")
+def decoded_bytes(t):
+    raw = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 3 == 0, F.lit(b"\xff.")).otherwise(F.lit(b"")))
+    d = t.documents.where("text IS NOT NULL").select("doc_id", text.decoded(raw).alias("d"))
+    return d.select("doc_id", F.md5("d.text").alias("text"), "d.encoding")

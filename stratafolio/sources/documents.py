@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "array<struct<ordinal:int,block_type:string,text:string,dom_path:string,page:int,start_char:int,end_char:int>>"
-KIND = pa.list_(pa.struct([("ordinal", pa.int32()), ("block_type", pa.string()), ("text", pa.string()), ("dom_path", pa.string()), ("page", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32())]))
+BLOCKS = "array<struct<ordinal:int,block_type:string,text:string,dom_path:string,page:int,start_char:int,end_char:int,table_rows:array<array<string>>>>"
+KIND = pa.list_(pa.struct([("ordinal", pa.int32()), ("block_type", pa.string()), ("text", pa.string()), ("dom_path", pa.string()), ("page", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("table_rows", pa.list_(pa.list_(pa.string())))]))
 
 
 def html_text(html: Column) -> Column:
@@ -49,9 +49,10 @@ class _Blocks(HTMLParser):
     SKIP = {"script", "style", "nav", "footer", "noscript", "template"}
     VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 
-    def __init__(self, skip: frozenset[str] | set[str] = SKIP):
+    def __init__(self, skip: frozenset[str] | set[str] = SKIP, tables: bool = False):
         super().__init__(convert_charrefs=True)
-        self.skip = skip
+        self.skip, self.whole = skip, tables
+        self.tables: list[dict] = []
         self.path: list[str] = []
         self.seen: list[dict[str, int]] = [{}]
         self.skipped, self.out, self.text, self.at = 0, [], "", 0
@@ -61,20 +62,57 @@ class _Blocks(HTMLParser):
         if shown:
             tag = self.path[-1].split("[")[0] if self.path else "body"
             kind = "heading" if re.fullmatch("h[1-6]|title", tag) else "table" if tag in ("td", "th", "caption") else "paragraph"
+            if self.whole:  # cells are paragraphs, their table is a block of its own
+                kind = "caption" if "caption" in (p.split("[")[0] for p in self.path) else "heading" if re.fullmatch("h[1-6]", tag) else "paragraph"
+                if self.tables and self.tables[-1]["cell"] is not None:
+                    self.tables[-1]["cell"].append(shown)
             self.out.append({"block_type": kind, "text": shown, "dom_path": ">".join(self.path), "start_char": self.at, "end_char": self.at + len(shown)})
             self.at += len(shown) + 1
         self.text = ""
 
+    def opened(self, tag: str) -> None:
+        if tag == "table":
+            self.tables.append({"path": ">".join(self.path), "rows": [], "row": None, "cell": None})
+        elif self.tables and tag == "tr":
+            self.tables[-1]["row"] = []
+        elif self.tables and tag in ("td", "th") and self.tables[-1]["row"] is not None:
+            if self.tables[-1]["cell"] is not None:  # its end tag was left out
+                self.closed(tag)
+            self.tables[-1]["cell"] = []
+
+    def closed(self, tag: str) -> None:
+        """Cells join their row, rows their table; a table with rows is a block after those of its cells."""
+        if not self.tables:
+            return
+        table = self.tables[-1]
+        if tag in ("td", "th") and table["cell"] is not None:
+            table["row"].append(" ".join(table["cell"]))
+            table["cell"] = None
+        elif tag == "tr":
+            if table["row"]:
+                table["rows"].append(table["row"])
+            table["row"] = None
+        elif tag == "table":
+            self.tables.pop()
+            shown = table_projection(table["rows"])
+            if shown:
+                self.at += 1
+                bounded = [[cell[:CELL_CHARS] for cell in row[:TABLE_COLUMNS]] for row in table["rows"][:TABLE_ROWS]]
+                self.out.append({"block_type": "table", "text": shown, "dom_path": table["path"], "start_char": self.at, "end_char": self.at + len(shown), "table_rows": bounded})
+                self.at += len(shown) + 1
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in self.VOID:
             self.text += " "
             return
-        if tag in self.BLOCK:
+        if tag in self.BLOCK or (self.whole and tag == "table"):
             self.flush()
         n = self.seen[-1][tag] = self.seen[-1].get(tag, 0) + 1
         self.path.append(f"{tag}[{n}]")
         self.seen.append({})
         self.skipped += tag in self.skip
+        if self.whole and not self.skipped:
+            self.opened(tag)
 
     def handle_endtag(self, tag: str) -> None:
         names = [p.split("[")[0] for p in self.path]
@@ -82,8 +120,10 @@ class _Blocks(HTMLParser):
             return
         while self.path:
             name = self.path[-1].split("[")[0]
-            if name in self.BLOCK:
+            if name in self.BLOCK or (self.whole and name == "table"):
                 self.flush()
+            if self.whole and not self.skipped:
+                self.closed(name)
             self.path.pop()
             self.seen.pop()
             self.skipped -= name in self.skip
@@ -95,13 +135,22 @@ class _Blocks(HTMLParser):
             self.text += data
 
 
-#: Elements whose text is never shown.
+# Elements whose text is never shown; rows, columns and characters of a cell that a table's payload keeps.
 NEVER_SHOWN = frozenset({"script", "style", "noscript", "template"})
+TABLE_ROWS, TABLE_COLUMNS, CELL_CHARS = 200, 40, 200
+
+
+def table_projection(rows: list[list[str]]) -> str:
+    """The header on a line of its own and before each row, so that a row found alone names its columns."""
+    header, *rest = [" | ".join(row) for row in rows] or [""]
+    return "\n".join([header, *(f"{header} => {row}" for row in rest)]).strip()
 
 
-def html_blocks(raw: bytes, skip: frozenset[str] | set[str] = _Blocks.SKIP) -> list[dict]:
-    """Blocks of a page without the elements in skip; the registered extractor skips what is NEVER_SHOWN and so keeps navigation and footers."""
-    parser = _Blocks(skip)
+def html_blocks(raw: bytes, skip: frozenset[str] | set[str] = _Blocks.SKIP, tables: bool = False) -> list[dict]:
+    """Blocks of a page without the elements in skip. With `tables`, cells are paragraphs and each table is a block as well: its text is the
+    projection, its rows (the first is the header) are kept up to the bounds; a cell holds all text in it, also of inner blocks. The registered
+    extractor has tables and skips what is NEVER_SHOWN, and so keeps navigation and footers."""
+    parser = _Blocks(skip, tables)
     parser.feed(decoded(raw))
     parser.close()
     parser.flush()
@@ -173,7 +222,7 @@ def _unescaped(part: bytes) -> bytes:
     return named.get(part[1:], part[1:])
 
 
-EXTRACTORS: dict[str, Callable[[bytes], list[dict]]] = {"txt": text_blocks, "html": lambda raw: html_blocks(raw, NEVER_SHOWN), "pdf": pdf_blocks}
+EXTRACTORS: dict[str, Callable[[bytes], list[dict]]] = {"txt": text_blocks, "html": lambda raw: html_blocks(raw, NEVER_SHOWN, tables=True), "pdf": pdf_blocks}
 
 
 def register_extractor(format: str, extractor: Callable[[bytes], list[dict]]) -> None:

@@ -54,6 +54,21 @@ def test_named_faults(spark):
     assert tuple(rows.select(quality.chart_signal(F.col("t"), F.col("l")).alias("s")).first().s) == ("chart_or_table_candidate", True, 1, 12, 9)
 
 
+def test_tables_are_blocks(spark):
+    page = b"<body><p>before</p><table><caption>cap</caption><tr><th>item</th><th>2024</th></tr><tr><td>sales</td><td><p>1</p><p>2</p></td></tr><tr></tr><tr><td>item<td>2024</tr></table>after<table></table><table><tr><td>open"
+    blocks = documents.EXTRACTORS["html"](page)
+    assert [(b["block_type"], b["text"]) for b in blocks] == [
+        ("paragraph", "before"), ("caption", "cap"), ("paragraph", "item"), ("paragraph", "2024"), ("paragraph", "sales"), ("paragraph", "1"), ("paragraph", "2"), ("paragraph", "item"), ("paragraph", "2024"),
+        ("table", "item | 2024\nitem | 2024 => sales | 1 2\nitem | 2024 => item | 2024"), ("paragraph", "after"), ("paragraph", "open"),
+    ]
+    table = next(b for b in blocks if b["block_type"] == "table")
+    assert table["dom_path"] == "body[1]>table[1]" and table["table_rows"][:2] == [["item", "2024"], ["sales", "1 2"]] and table["end_char"] - table["start_char"] == len(table["text"])
+    assert all(b.get("table_rows") is None for b in blocks if b is not table)
+    wide = b"<table>" + (b"<tr>" + b"<td>" + b"x" * 999 + b"</td>" + b"<td>y</td>" * 79 + b"</tr>") * 300 + b"</table>"
+    rows = documents.extracted(spark.createDataFrame([(1, wide)], "k int, c binary"), ["k"], "c", F.lit("html")).where("block_type = 'table'").first().table_rows
+    assert (len(rows), len(rows[0]), len(rows[0][0])) == (200, 40, 200)
+
+
 def test_registries(spark, tmp_path):
     with pytest.raises(LookupError, match="reports_archive"):
         registries.build_adapter(spark, {"type": "none"})
