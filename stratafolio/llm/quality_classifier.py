@@ -171,7 +171,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additiv
     """A model from docs (doc_id, text) and labels (doc_id, quality); labels without an id, quality or document teach nothing.
 
     The sample is drawn from the labels by a cut of their hashes at the share that fits, so that about `sample` ids at most go to the documents' tasks and
-    no text is shuffled. Labels that repeat count once; of documents with one id, that with the least features teaches.
+    no text is shuffled. Of cuts and of pairs with equal gains, the first is taken. Labels that repeat count once; of documents with one id, that with the least features teaches.
     """
     usable = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("y"))
     usable = usable.distinct()

@@ -43,7 +43,8 @@ def domain_of(host: Column) -> Column:
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """The longest rule that fits (host and path joined), and its verdict; nulls if none does."""
+    """The longest rule that fits (host and path joined), and its verdict; nulls if none does. Of rules of one length that fit, the greatest as
+    text wins, of equal rules the last one given."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1] + r[2])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
