@@ -48,6 +48,19 @@ def test_words_give_the_ids_of_the_text(text):
     assert list(words.of([text])) == [words.encode(text)]
 
 
+@pytest.mark.parametrize("marked", [True, False])
+@pytest.mark.parametrize("seed", range(8))
+def test_runs_of_words_give_the_ids_of_each(seed, marked):
+    """Words encoded between marks, words that hold the mark, words without ids, and a vocabulary without a mark."""
+    rng, words = random.Random(seed), WordIds(PATH)
+    signs = ["a", "B", "é", "\u0301", "\ufeff", "한", "ा", "7", "-", "'s", "☃", "<|endoftext|>", "\u200b", "İ"] + (["\x01"] if seed % 2 else [])
+    many = ["".join(rng.choices(signs, k=rng.randint(1, 9))) for _ in range(700)]
+    if not marked:
+        words.mark = None
+    assert list(words.each(many)) == [words.encode(w) for w in many]
+    assert list(words.of([" ".join(many), "", "\x01"])) == [words.encode(t) for t in (" ".join(many), "", "\x01")]
+
+
 def test_every_id_is_in_one_piece(spark):
     rng = random.Random(1)
     texts = [None, "", "word", "word"] + [" ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(0, 400))) for _ in range(80)]
