@@ -83,11 +83,12 @@ def hash_ordered_pick(df: DataFrame, stratum: str, item: str, per_stratum: int)
     return df.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= per_stratum)
 
 
-def stratum_quotas(sizes: list[tuple[str, int]], total: int) -> dict[str, int]:
-    """Of a sample of `total`: one item for each stratum while they last, the rest in proportion, largest first."""
+def stratum_quotas(sizes: list[tuple[str, int]], total: int, rows: int | None = None) -> dict[str, int]:
+    """Of a sample of `total`: one item for each stratum while they last, the rest in proportion, largest first. Only the `total`
+    largest strata matter; with fewer than all in `sizes`, `rows` counts the rows of all."""
     order = sorted(sizes, key=lambda s: (-s[1], s[0]))
     quota = {k: 1 for k, n in order[:total] if n > 0}
-    left, all_rows = total - len(quota), sum(n for _, n in order) or 1
+    left, all_rows = total - len(quota), rows or sum(n for _, n in order) or 1
     for k, n in order:
         if k in quota and left > 0:
             extra = min(left, n - 1, max(0, round(n / all_rows * total) - 1))

@@ -43,11 +43,27 @@ def blob_store(t):
 
 
 def _readings(t):
-    box = lambda reading, shift: t.lineitem.select(c("l_orderkey").alias("page"), F.lit(reading).alias("reading"), c("l_linenumber").cast("long").alias("region_id"), (c("l_discount") * 5 + shift).alias("x0"), (c("l_tax") * 5).alias("y0"), (c("l_discount") * 5 + 0.4 + shift).alias("x1"), (c("l_tax") * 5 + 0.4).alias("y1")).dropDuplicates(["page", "region_id"])
+    """Boxes of two readings of each order: of lines with one number, the one of the least discount and tax."""
+    lines = t.lineitem.groupBy(c("l_orderkey").alias("page"), c("l_linenumber").cast("long").alias("region_id")).agg(F.min(F.struct("l_discount", "l_tax")).alias("least")).select("page", "region_id", "least.*")
+    box = lambda reading, shift: lines.select("page", F.lit(reading).alias("reading"), "region_id", (c("l_discount") * 5 + shift).alias("x0"), (c("l_tax") * 5).alias("y0"), (c("l_discount") * 5 + 0.4 + shift).alias("x1"), (c("l_tax") * 5 + 0.4).alias("y1"))
     return box(1, 0.0).unionByName(box(2, 0.05))
 
 
-@query("jn21_greedy_pairs")
+_READINGS = """one AS (SELECT l_orderkey AS page, l_linenumber::BIGINT AS id, l_discount * 5 + 0::DOUBLE AS x0, l_tax * 5 AS y0, l_discount * 5 + 0.4::DOUBLE + 0::DOUBLE AS x1, l_tax * 5 + 0.4::DOUBLE AS y1 FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_discount, l_tax) = 1),
+    two AS (SELECT page, id, x0 + 0.05::DOUBLE AS x0, y0, x1 + 0.05::DOUBLE AS x1, y1 FROM one),
+    met AS (SELECT one.page, one.id AS i, two.id AS j, greatest(least(one.x1, two.x1) - greatest(one.x0, two.x0), 0) * greatest(least(one.y1, two.y1) - greatest(one.y0, two.y0), 0) AS shared, (one.x1 - one.x0) * (one.y1 - one.y0) AS a, (two.x1 - two.x0) * (two.y1 - two.y0) AS b FROM one JOIN two USING (page)),
+    iou AS (SELECT page, i, j, shared / (a + b - shared) AS iou FROM met)"""
+
+
+@query(
+    "jn21_greedy_pairs",
+    f"""WITH RECURSIVE {_READINGS},
+    step AS (SELECT page, id AS i, row_number() OVER (PARTITION BY page ORDER BY id) AS k, (SELECT list(j ORDER BY j) FROM iou WHERE iou.page = one.page AND iou.i = one.id AND iou >= 0.25) AS fits FROM one),
+    pick AS (SELECT page, 0::BIGINT AS k, NULL::BIGINT AS i, NULL::BIGINT AS j, []::BIGINT[] AS used FROM one GROUP BY page
+      UNION ALL SELECT page, s.k, s.i, list_filter(s.fits, lambda x: NOT list_contains(used, x))[1], CASE WHEN len(list_filter(s.fits, lambda x: NOT list_contains(used, x))) > 0 THEN list_append(used, list_filter(s.fits, lambda x: NOT list_contains(used, x))[1]) ELSE used END FROM pick JOIN step s USING (page) WHERE s.k = pick.k + 1)
+    SELECT page, i AS first, j AS second, coalesce(iou, 0) AS iou FROM pick LEFT JOIN iou USING (page, i, j) WHERE k > 0
+    UNION ALL SELECT page, NULL, id, 0 FROM two ANTI JOIN pick ON two.page = pick.page AND two.id = pick.j""",
+)
 def greedy_pairs(t):
     from ..operators.regions import paired
 

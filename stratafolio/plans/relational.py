@@ -447,13 +447,21 @@ def win14(t):
     return selection.hash_ordered_pick(t.documents.select("doc_id", layer.alias("layer")), "layer", "doc_id", 3).select("layer", "doc_id")
 
 
-@query("win15_stratified_sample")
+@query(
+    "win15_stratified_sample",
+    """WITH s AS (SELECT concat_ws('|', source, lang) AS stratum, doc_id FROM documents), z AS (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, stratum) AS place, sum(count(*)) OVER () AS w FROM s GROUP BY 1),
+    raw AS (SELECT stratum, place, least(n - 1, greatest(0, round_even(n / w * 30, 0) - 1)) AS extra FROM z WHERE place <= 30),
+    quota AS (SELECT stratum, 1 + greatest(0, least(extra, 30 - count(*) OVER () - coalesce(sum(extra) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota FROM raw)
+    SELECT stratum, doc_id FROM (SELECT stratum, doc_id, row_number() OVER (PARTITION BY stratum ORDER BY sha256(doc_id::VARCHAR)) AS pick FROM s) JOIN quota USING (stratum) WHERE pick <= quota""",
+)
 def win15(t):
+    total = 30
     strata = t.documents.withColumn("stratum", F.concat_ws("|", "source", "lang"))
-    sizes = [(r.stratum, r["count"]) for r in strata.groupBy("stratum").count().collect()]  # one row a stratum
-    quota = t.spark.createDataFrame(list(selection.stratum_quotas(sizes, 30).items()), "stratum string, quota int")
-    most = max((q for _, q in selection.stratum_quotas(sizes, 30).items()), default=0)
-    picked = selection.hash_ordered_pick(strata.select("stratum", "doc_id"), "stratum", "doc_id", most)
+    sizes = strata.groupBy("stratum").agg(F.count("*").alias("n"))
+    largest = [(r.stratum, r.n) for r in sizes.orderBy(F.desc("n"), "stratum").limit(total).collect()]  # at most `total` strata can have a quota
+    quotas = selection.stratum_quotas(largest, total, t.documents.count())
+    quota = t.spark.createDataFrame(list(quotas.items()), "stratum string, quota int")
+    picked = selection.hash_ordered_pick(strata.select("stratum", "doc_id"), "stratum", "doc_id", max(quotas.values(), default=0))
     return picked.join(F.broadcast(quota), "stratum").where("pick <= quota").select("stratum", "doc_id")
 
 

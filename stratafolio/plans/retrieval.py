@@ -137,7 +137,12 @@ def missing_embeddings(t):
     return t.documents.select("doc_id").join(t.embeddings.select(c("vec_id").alias("doc_id")), "doc_id", "left_anti")
 
 
-@query("ret4_batch_vectors")
+@query(
+    "ret4_batch_vectors",
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, list_dot_product(a, embedding::DOUBLE[]) / (CASE WHEN list_dot_product(a, a) = 0 THEN 1 ELSE sqrt(list_dot_product(a, a)) END * CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 1 ELSE sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) END) AS similarity FROM q, embeddings)
+    SELECT query_id, id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= 10""",
+)
 def batch_vectors(t):
     vectors = t.embeddings.select(c("vec_id").alias("id"), "embedding")
-    return retrieval.nearest(vectors, t.embeddings.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "embedding"), 10)
+    found = retrieval.nearest(vectors, t.embeddings.where("vec_id % 50 = 0").select(c("vec_id").alias("query_id"), "embedding"), 10)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), c("rank").cast("long").alias("rank"))
