@@ -66,4 +66,62 @@ d AS (SELECT doc_id, unnest({shingled}) AS g FROM (SELECT doc_id, {words} AS w F
 SELECT doc_id, item_id, CAST(n AS INT) AS item_shingles, CAST(count(*) AS INT) AS shared, count(*) / n AS containment FROM d JOIN q USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)"""
 
 
-ORACLES = {"op4_url_filters": url_filters(), "op6_quality_rules": quality_rules(), "op9_decontamination": decontamination()}
+def collocations() -> str:
+    """Longer phrases that contain a candidate have at most its count, so the counts of all n-grams are cut at 30 first."""
+    sub = ", ".join(f"CASE WHEN k > {n} THEN array_to_string(w[{i}:{i + n - 1}], ' ') END" for n in (2, 3) for i in range(1, 5 - n + 1))
+    return rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {A_TO_Z}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces), total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+longer AS (SELECT lang, phrase, max(f) AS most FROM (SELECT lang, unnest([{sub}]) AS phrase, f FROM f WHERE k > 2) WHERE phrase IS NOT NULL GROUP BY 1, 2),
+cuts AS MATERIALIZED (SELECT c.lang, c.k, c.phrase, c.f AS a, x.j FROM f c, (SELECT unnest([1, 2, 3]) AS j) x WHERE x.j < c.k),
+rated AS MATERIALIZED (SELECT cuts.*, p.f AS l, q.f AS r, (2000000::HUGEINT * a) // (p.f::HUGEINT + q.f) AS score FROM cuts
+  JOIN f p ON p.lang = cuts.lang AND p.phrase = array_to_string(string_split(cuts.phrase, ' ')[:j], ' ') JOIN f q ON q.lang = cuts.lang AND q.phrase = array_to_string(string_split(cuts.phrase, ' ')[j + 1:], ' ')),
+loosest AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT x.* FROM loosest x LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+def exact_dedup() -> str:
+    return r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
+g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)"""
+
+
+def resampling() -> str:
+    """CRC-32 (reversed polynomial 0xEDB88320) by half bytes, from the state after the words before; states are counted once for each distinct n-gram."""
+    step = "lambda s, x: xor(s >> 4, half[(xor(s, x) & 15) + 1])"
+    follow = lambda state, word: f"list_reduce(list_concat([0, 2], {word}), {step}, {state})"  # noqa: E731  a space is the half bytes 0 and 2
+    nibbles = "list_transform(range(length(hex(encode(w)))::BIGINT), lambda i: ('0x' || hex(encode(w))[(CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END)::BIGINT])::BIGINT)"
+    half = "list_transform(range(16), lambda i: list_reduce([i, 1, 2, 3, 4], lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END))"
+
+    def side(name: str, source: str, key: str) -> str:
+        return rf"""
+{name}_w AS (SELECT {key} AS id, regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM {source}),
+{name}_p AS (SELECT id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM {name}_w),
+{name}_1 AS (SELECT id, i, w AS g1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM {name}_p WINDOW o AS (PARTITION BY id ORDER BY i))"""
+
+    def crcs(prefix: str) -> str:
+        return f"""
+words AS MATERIALIZED (SELECT w, {nibbles} AS x FROM (SELECT DISTINCT g1 AS w FROM {prefix})),
+c1 AS MATERIALIZED (SELECT w, x, list_reduce(x, {step}, 4294967295) AS s FROM words, half),
+c2 AS MATERIALIZED (SELECT a.w AS g1, b.w AS w2, {follow('a.s', 'b.x')} AS s FROM (SELECT DISTINCT g1, w2 FROM {prefix} WHERE w2 IS NOT NULL) p JOIN c1 a ON a.w = p.g1 JOIN c1 b ON b.w = p.w2, half),
+c3 AS MATERIALIZED (SELECT p.g1, p.w2, p.w3, {follow('a.s', 'b.x')} AS s FROM (SELECT DISTINCT g1, w2, w3 FROM {prefix} WHERE w3 IS NOT NULL) p JOIN c2 a ON a.g1 = p.g1 AND a.w2 = p.w2 JOIN c1 b ON b.w = p.w3, half)"""
+
+    bucket = "xor(s, 4294967295) % 10000"
+    return f"""
+WITH half AS (SELECT {half} AS half),{side('d', 'documents', 'doc_id')},{side('q', 'benchmark', 'item_id')},
+every AS (SELECT 'd' AS side, * FROM d_1 UNION ALL SELECT 'q', * FROM q_1),{crcs('every')},
+feature AS (SELECT side, id, {bucket} AS b FROM every JOIN c1 ON w = g1 UNION ALL SELECT side, id, {bucket} FROM every JOIN c2 USING (g1, w2) UNION ALL SELECT side, id, {bucket} FROM every JOIN c3 USING (g1, w2, w3)),
+counted AS (SELECT x.b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'q') AS t FROM (SELECT unnest(range(10000)) AS b) x LEFT JOIN feature USING (b) GROUP BY 1),
+gain AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counted),
+weighed AS (SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM feature JOIN gain USING (b) WHERE side = 'd' GROUP BY 1),
+scored AS (SELECT id AS doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d_w LEFT JOIN weighed USING (id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE words >= 20 QUALIFY rank <= 5 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)"""
+
+
+ORACLES = {"op4_url_filters": url_filters(), "op6_quality_rules": quality_rules(), "op9_decontamination": decontamination(), "op11_resampling": resampling(), "op12_collocations": collocations(), "op13_exact_dedup": exact_dedup()}

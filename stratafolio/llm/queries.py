@@ -86,5 +86,23 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_pii, op4_url_filters, op5_suffix_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_decontamination, op10_simhash)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import mined
+
+    return mined(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_pii, op4_url_filters, op5_suffix_dedup, op6_quality_rules, op7_lm_scoring, op8_quality_classifier, op9_decontamination, op10_simhash, op11_resampling, op12_collocations, op13_exact_dedup)}
 
