@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import folds
+
 
 def visible_projection(events: DataFrame, as_of: Column) -> DataFrame:
     """(block_id, projection_id) of the newest event of each block up to an instant, from events (event_id, block_id, projection_id, created_at).
@@ -13,17 +15,101 @@ def visible_projection(events: DataFrame, as_of: Column) -> DataFrame:
     return seen.groupBy("block_id").agg(F.max(F.struct("event_id", "projection_id")).alias("e")).select("block_id", "e.projection_id")
 
 
+REQUEST = "block_id string, sequence long, action string, projection_id string, expected string, expected_revision long"
+REPLAYED = "block_id string, sequence long, outcome string, old_projection_id string, new_projection_id string, revision long"
+
+
+class Head:
+    """A block's head, its revision (changes so far), and for each projection what the newest change to it replaced."""
+
+    def __init__(self):
+        self.head, self.revision, self.before = None, 0, {}
+
+    def move(self, new: str | None) -> None:
+        self.before[new] = self.head
+        self.head, self.revision = new, self.revision + 1
+
+    def apply(self, action: str, projection: str | None, expected: str | None, revision: int | None) -> str:
+        if action == "event":  # of the log, as it happened
+            self.before[projection], self.head, self.revision = expected, projection, self.revision + 1
+            return "logged"
+        if revision is not None and revision != self.revision:
+            return "conflict"
+        if action == "rollback":
+            if self.head is None or self.head != expected:
+                return "conflict"
+            self.move(self.before.get(self.head))
+            return "rolled_back"
+        if action != "activate" or projection is None:
+            return "invalid"
+        if expected is not None and expected != (self.head or ""):
+            return "conflict"
+        if projection == self.head:
+            return "unchanged"
+        self.move(projection)
+        return "activated"
+
+
+def replayed(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """What becomes of requests (see REQUEST) against an append-only log (block_id, event_id, old_projection_id, new_projection_id): block_id, sequence,
+    outcome, old_projection_id, new_projection_id (the head before and after), revision (the changes so far).
+
+    The log is replayed in the order of event_id, then the requests in the order of sequence, each against what those before it left: a request that
+    fails keeps no later one from winning. activate sets the head; `expected` (the head as it was seen, empty for none) and
+    `expected_revision`, where given, must hold. rollback needs the head in `expected` and goes to what the newest change to that head replaced, null being the
+    raw text. Outcomes: activated, unchanged, rolled_back, conflict, invalid. Rows with activated or rolled_back are the events to append.
+    """
+    past = log.select(F.col("block_id").cast("string").alias("block_id"), F.lit(0).alias("late"), F.col("event_id").cast("long").alias("sequence"), F.lit("event").alias("action"), F.col("new_projection_id").alias("projection_id"), F.col("old_projection_id").alias("expected"), F.lit(None).cast("long").alias("expected_revision"))
+    asked = requests.selectExpr("CAST(block_id AS STRING) AS block_id", "1 AS late", "CAST(sequence AS LONG) AS sequence", "action", "projection_id", "expected", "CAST(expected_revision AS LONG) AS expected_revision")
+
+    def step(state: Head, row: tuple) -> tuple:
+        was = state.head
+        return (row[1], state.apply(*row[2:]), was, state.head, state.revision)
+
+    out = folds.folded(past.unionByName(asked), ["block_id"], ["late", "sequence", "action", "projection_id"], REPLAYED, Head, step)
+    return out.where("outcome <> 'logged'")
+
+
 def activated(heads: DataFrame, requests: DataFrame) -> DataFrame:
     """(block_id, outcome, projection_id, revision) of requests (block_id, expected, projection_id) against heads (block_id, revision, projection_id).
 
-    A request is applied if it expects the revision that it finds (0 where there is no head); of several for one block only the least
-    projection is. A request without a projection rolls back to the raw text.
+    The requests of a block are taken in the order of the revision that they expect, so each that expects what it finds is applied (0 where
+    there is no head); one without a projection goes back to the raw text.
+    """
+    class At:
+        def __init__(self):
+            self.revision, self.head = 0, None
+
+    def step(state: At, row: tuple) -> tuple:
+        late, expected, projection = row
+        if not late:
+            state.revision, state.head = expected, projection
+            return ("head", state.head, state.revision)
+        if expected != state.revision:
+            return ("conflict", state.head, state.revision)
+        state.revision, state.head = state.revision + 1, projection
+        return ("rolled_back" if projection is None else "activated", state.head, state.revision)
+
+    kind = dict(requests.dtypes)["block_id"]
+    both = heads.select("block_id", F.lit(0).alias("late"), F.col("revision").cast("long").alias("expected"), "projection_id").unionByName(requests.select("block_id", F.lit(1).alias("late"), F.col("expected").cast("long").alias("expected"), "projection_id"))
+    out = folds.folded(both, ["block_id"], ["late", "expected", "projection_id"], f"block_id {kind}, outcome string, projection_id string, revision long", At, step)
+    return out.where("outcome <> 'head'").withColumn("revision", F.col("revision").cast("int"))
+
+
+def projected_blocks(blocks: DataFrame, projections: DataFrame, heads: DataFrame) -> DataFrame:
+    """blocks (block_id, text, and their own columns) as their consumers see them, with projection_id, raw_text_sha256 and error.
+
+    heads (block_id, projection_id) choose the projection of a block, be it the current head, the one visible at an instant
+    (visible_projection) or one asked for by its id; a block without one, or with a null, keeps its raw text. projections: projection_id, block_id,
+    text_sha256 (of the raw text), projected_text. A projection of another block, an unknown one, and one made of another text are errors, and then
+    there is no text.
     """
-    first = F.row_number().over(Window.partitionBy("block_id").orderBy("expected", "projection_id")) == 1
-    joined = requests.withColumn("first", first).join(heads.select("block_id", "revision", F.col("projection_id").alias("current")), "block_id", "left")
-    revision = F.coalesce("revision", F.lit(0))
-    applied = F.col("first") & (F.col("expected") == revision)
-    return joined.select("block_id", F.when(applied & F.col("projection_id").isNull(), "rolled_back").when(applied, "activated").otherwise("conflict").alias("outcome"), F.when(applied, F.col("projection_id")).otherwise(F.col("current")).alias("projection_id"), F.when(applied, revision + 1).otherwise(revision).alias("revision"))
+    own = heads.select("block_id", F.col("projection_id").alias("_chosen")).where("_chosen IS NOT NULL").join(projections.select(F.col("projection_id").alias("_chosen"), F.struct(F.col("block_id").alias("b"), F.col("text_sha256").alias("sha"), F.col("projected_text").alias("text")).alias("_p")), "_chosen", "left")
+    seen = blocks.join(own, "block_id", "left")
+    chosen, p = F.col("_chosen").isNotNull(), F.col("_p")
+    error = F.when(chosen & ~F.coalesce(p["b"] == F.col("block_id"), F.lit(False)), "projection does not belong to this block").when(chosen & (F.sha2("text", 256) != p["sha"]), "projection source changed")
+    rest = [c for c in blocks.columns if c != "text"]
+    return seen.withColumn("error", error).select(*rest, F.when(F.col("error").isNotNull(), None).when(chosen, p["text"]).otherwise(F.col("text")).alias("text"), F.when(F.col("error").isNull(), F.col("_chosen")).alias("projection_id"), F.when(F.col("error").isNull() & chosen, p["sha"]).alias("raw_text_sha256"), "error")
 
 
 def owned(chars: DataFrame, regions: DataFrame, page: list[str]) -> DataFrame:

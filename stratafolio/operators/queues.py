@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def identity(prefix: str, length: int, *parts: Column) -> Column:
     """A prefix and the leading hex digits of a SHA-256 over parts joined by NUL."""
@@ -12,8 +14,12 @@ def identity(prefix: str, length: int, *parts: Column) -> Column:
 
 
 def registered(existing: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Wanted keys that aren't there yet, each once."""
-    return wanted.join(existing.select(*keys), keys, "left_anti").distinct()
+    """Wanted keys that aren't there yet, each once; a null part of a key equals a null."""
+    known = existing.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return wanted.join(known, same, "left_anti").distinct()
 
 
 def claimable(jobs: DataFrame, now: Column, n: int) -> DataFrame:
@@ -38,6 +44,15 @@ def once(entries: DataFrame, keys: list[str], sequence: str) -> DataFrame:
 
 
 def within_cap(requests: DataFrame, keys: list[str], order: str, amount: str, cap: float) -> DataFrame:
-    """Requests with `granted`: whether the running sum up to and with them stays within the cap."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return requests.withColumn("granted", F.coalesce(F.sum(amount).over(w), F.lit(0.0)) <= cap)
+    """Requests with `granted`: whether the sum of what was granted before and the request's own amount stays within the cap. A refused request leaves
+    no trace, so a smaller one after it may fit; a null amount is none."""
+    kinds = dict(requests.dtypes)
+
+    def step(used: list, row: tuple) -> tuple:
+        fits = used[0] + (row[1] or 0.0) <= cap
+        used[0] += (row[1] or 0.0) if fits else 0.0
+        return (*row, fits)
+
+    rest = [c for c in requests.columns if c not in (*keys, order, amount)]
+    out = [*keys, order, amount, *rest]
+    return folded(requests.select(*out), keys, [order], ", ".join([*(f"`{c}` {kinds[c]}" for c in out), "granted boolean"]), lambda: [0.0], step)

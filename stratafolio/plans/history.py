@@ -93,14 +93,12 @@ def aud7(t):
 
 @query("aud8_projected_block", "SELECT d.doc_id, md5(coalesce(p.text, d.text)) AS shown FROM documents d LEFT JOIN (SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0) p ON p.item_id = d.doc_id")
 def aud8(t):
-    heads = t.benchmark.where("item_id % 2 = 0").select(c("item_id").alias("doc_id"), c("text").alias("projected"))
-    return t.documents.join(heads, "doc_id", "left").select("doc_id", F.md5(F.coalesce("projected", "text")).alias("shown"))
+    from ..operators.projections import projected_blocks
 
-
-@query("aud9_current_evidence", "SELECT l_orderkey, bool_and(p_size IS NOT NULL) AS current FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON p_partkey = l_partkey GROUP BY 1")
-def aud9(t):
-    valid = t.part.where("p_size > 5").select(c("p_partkey").alias("l_partkey"), "p_size")
-    return t.lineitem.select("l_orderkey", "l_partkey").join(valid, "l_partkey", "left").groupBy("l_orderkey").agg(F.bool_and(c("p_size").isNotNull()).alias("current"))
+    blocks = t.documents.select(c("doc_id").alias("block_id"), "text")
+    made = t.benchmark.where("item_id % 2 = 0").select(c("item_id").alias("block_id"), c("text").alias("projected_text")).join(blocks, "block_id")
+    stored = made.select(F.concat(F.lit("p"), "block_id").alias("projection_id"), "block_id", F.sha2("text", 256).alias("text_sha256"), "projected_text")
+    return projected_blocks(blocks, stored, stored.select("block_id", "projection_id")).select(c("block_id").alias("doc_id"), F.md5("text").alias("shown"))
 
 
 @query("aud10_reconcile", "SELECT CASE WHEN s_suppkey IS NULL THEN 'unknown_supplier' WHEN l_quantity <= 0 THEN 'empty' WHEN l_discount > 0.09 THEN 'discount' ELSE 'PASS' END AS verdict, count(*) AS n FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0 GROUP BY 1")
@@ -180,11 +178,6 @@ def q8(t):
     return t.events.select("event_id", queues.identity("evt-", 32, c("user_id"), c("event_type"), F.date_format("ts", "yyyy-MM-dd")).alias("id"))
 
 
-@query("q9_budget_reservations", "SELECT event_id, coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) <= 500 AS granted FROM events")
-def q9(t):
-    return queues.within_cap(t.events.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 500.0).select("event_id", "granted")
-
-
 @query("q10_blocked_refresh", "SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user') WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def q10(t):
     return t.conversations.where("role = 'user'").select("conv_id").distinct().join(t.conversations.where("role = 'system'").select("conv_id"), "conv_id", "left_anti")

@@ -87,4 +87,4 @@ def test_activation_is_compare_and_set(spark):
     heads = spark.createDataFrame([("a", 2, "p1"), ("b", 1, "p1")], "block_id string, revision int, projection_id string")
     wanted = spark.createDataFrame([("a", 2, "p2"), ("a", 2, "p3"), ("b", 0, "p2"), ("c", 0, "p9"), ("d", 1, None)], "block_id string, expected int, projection_id string")
     got = sorted(tuple(r) for r in projections.activated(heads, wanted).fillna("", "projection_id").collect())
-    assert got == [("a", "activated", "p2", 3), ("a", "conflict", "p1", 2), ("b", "conflict", "p1", 1), ("c", "activated", "p9", 1), ("d", "conflict", "", 0)]
+    assert got == [("a", "activated", "p2", 3), ("a", "conflict", "p2", 3), ("b", "conflict", "p1", 1), ("c", "activated", "p9", 1), ("d", "conflict", "", 0)]

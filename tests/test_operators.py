@@ -57,8 +57,9 @@ def test_empty_snapshot_marks_nothing_absent(spark):
 
 
 def test_budget_and_outbox(spark):
-    r = spark.createDataFrame([(1, 1, 4.0), (1, 2, 5.0), (1, 3, 2.0)], "a int, o int, x double")
-    assert [x.granted for x in queues.within_cap(r, ["a"], "o", "x", 10.0).orderBy("o").collect()] == [True, True, False]
+    r = spark.createDataFrame([(1, 1, 80.0), (1, 2, 50.0), (1, 3, 10.0), (1, 4, None), (2, 1, 101.0)], "a int, o int, x double")
+    got = queues.within_cap(r, ["a"], "o", "x", 100.0).orderBy("a", "o").collect()
+    assert [x.granted for x in got] == [True, False, True, True, False]
 
 
 def test_html_extraction():
