@@ -145,10 +145,10 @@ def fit(rows: list[tuple[str, str]], n: int, df: np.ndarray) -> Model:
 
 def sample_of(training: DataFrame, label: Column, size: int) -> list[tuple[str, str]]:
     """About `size` (text, label) rows at most, shared among the labels (one of each at least), the lowest by a hash of id and text; rows that repeat
-    count once. The counts of the labels say below which hash enough rows lie, so one pass finds them."""
+    count once, also in the counts of the labels, which say below which hash enough rows lie, so that one more pass finds them."""
     order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(FINE))
     rows = training.select(F.col("text"), label.alias("label"), order.alias("o"))
-    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    sizes = {r.label: r["count"] for r in rows.select("label", "o").distinct().groupBy("label").count().collect()}
     if not sizes:
         return []
     each = max(1, size // len(sizes))
@@ -164,7 +164,8 @@ def sample_of(training: DataFrame, label: Column, size: int) -> list[tuple[str,
 
 
 def trained(training: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from training (doc_id, text, lang). Rows with null text or lang, or without a letter, teach nothing."""
+    """A model from training (doc_id, text, lang); other columns are ignored. Rows with null text or lang, or without a letter, teach nothing; rows
+    that repeat id and text are one row of the sample; null ids are one id; of rows that tie in the sample's hash the least text is taken."""
     usable = training.where("text IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     n, df = document_frequencies(usable.select("text"))
     return fit(sample_of(usable, F.col("lang"), sample), n, df)

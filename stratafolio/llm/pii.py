@@ -79,11 +79,11 @@ def permuted_text(value: Column, key: str, kind: str, classes: tuple[str, ...] =
 
 
 def _moved(value: Column, classes: tuple[str, ...]) -> Column:
-    """value with its last character of a class moved by one within the class."""
+    """value with its last character of a class moved by one within the class; without such a character as it is."""
     every = "".join(classes)
     following = "".join(chars[1:] + chars[0] for chars in classes)
     at = lambda v: F.length(F.regexp_extract(v, f"^.*[{every}]", 0))
-    return let(value, lambda v: F.concat(F.substr(v, F.lit(1), at(v) - 1), F.translate(F.substr(v, at(v), F.lit(1)), every, following), F.substr(v, at(v) + 1, F.length(v))))
+    return let(value, lambda v: F.when(at(v) == 0, v).otherwise(F.concat(F.substr(v, F.lit(1), at(v) - 1), F.translate(F.substr(v, at(v), F.lit(1)), every, following), F.substr(v, at(v) + 1, F.length(v)))))
 
 
 def _without_fixed_points(value: Column, permuted: Callable[[Column], Column], moved: Callable[[Column], Column]) -> Column:
@@ -185,7 +185,8 @@ def _date(m: Column, key: str) -> Column:
 
 def _email(m: Column, key: str) -> Column:
     cased = lambda low, local: F.array_join(F.zip_with(F.split(low, ""), F.split(local, ""), lambda c, was: F.when(was.rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
-    return let(F.substring_index(m, "@", 1), lambda local: F.concat(cased(replaced_text(F.lower(local), key, "email"), local), F.lit("@"), F.substring_index(m, "@", -1)))
+    # an address without a letter or digit before the @ has nothing to permute and is not taken as one
+    return let(F.substring_index(m, "@", 1), lambda local: F.when(~local.rlike("[A-Za-z0-9]"), m).otherwise(F.concat(cased(replaced_text(F.lower(local), key, "email"), local), F.lit("@"), F.substring_index(m, "@", -1))))
 
 
 def _phone(m: Column, key: str) -> Column:

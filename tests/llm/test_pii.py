@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratafolio.llm import pii
@@ -86,3 +87,9 @@ def test_dates_and_numbers_are_permuted_one_to_one(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+@pytest.mark.parametrize("address", ["_@x.com", "-@y.org", "...@x.com", "__@x.com"])
+def test_addresses_with_nothing_to_permute_stay(spark, address):
+    out = pii.pseudonymised(spark.createDataFrame([(1, f"write to {address} today")], "doc_id long, text string"), "k").first()
+    assert out.text == f"write to {address} today" and out.found == []

@@ -21,3 +21,12 @@ def test_quality_model_with_repeated_ids(spark):
     once = quality_classifier.trained(docs.dropDuplicates(), labels)
     again = quality_classifier.trained(docs.unionByName(docs), labels.unionByName(labels))
     assert [t.tolist() for t in once.tables] == [t.tolist() for t in again.tables]
+
+
+def test_labels_of_repeated_rows_are_learned(spark):
+    """Rows that repeat share one hash: what counts is how many different ones a label has."""
+    english = spark.range(600).select(F.col("id").alias("doc_id"), F.format_string("the text number %d", "id").alias("text"), F.lit("en").alias("lang"))
+    french = spark.range(900).select((F.col("id") % 3 + 5000).alias("doc_id"), F.format_string("le texte %d", F.col("id") % 3).alias("text"), F.lit("fr").alias("lang"))
+    got = language_id.sample_of(english.unionByName(french), F.col("lang"), 200)
+    assert sorted(t for t, label in got if label == "fr") == ["le texte 0", "le texte 1", "le texte 2"]
+    assert sum(label == "en" for _, label in got) == 100
