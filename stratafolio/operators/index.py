@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import FOLDING, tokens
+from .storage import dropped, shared_root, written
 
 
 def line_blocks(docs: DataFrame) -> DataFrame:
@@ -49,12 +49,27 @@ def term_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+#: Digests that are gathered into one row.
+FAN = 1024
+
+
+def digest_of(rows: DataFrame, key: str, digest: str) -> str:
+    """One digest of all rows (key, digest) in no matter what order they come: rows are dealt by their key to groups of about FAN, each group's digests are joined in the
+    order of its keys, and so on up, so that no row gathers more than a group."""
+    level, n = rows.select(F.col(key).cast("string").alias("k"), F.col(digest).alias("d")), rows.count()
+    while n > FAN:
+        n = -(-n // FAN)
+        level = level.groupBy(F.pmod(F.xxhash64("k"), F.lit(n)).cast("string").alias("k2")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]), "\n"), 256).alias("d")).withColumnRenamed("k2", "k")
+    return hashlib.sha256("\n".join(d for _, d in sorted((r.k, r.d) for r in level.collect())).encode()).hexdigest()  # FAN rows at most
+
+
 def manifest_of(blocks: DataFrame) -> str:
     """Identity of a generation: of policy, folding, and the ordered digests of the blocks, combined per document first."""
     line = F.concat_ws(":", "block_id", F.sha2("text", 256))
     per_doc = blocks.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda s: s["line"]), "\n"), 256).alias("d"))
-    bucketed = per_doc.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(4096)).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "d"))), lambda s: s["d"]), "\n"), 256).alias("d"))
-    whole = bucketed.agg(F.sha2(F.concat_ws("\u0000", F.lit("1"), F.lit(FOLDING), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda s: s["d"]), "\n")), 256).alias("m")).first().m
+    per_doc = written(per_doc)
+    whole = hashlib.sha256("\0".join(["1", FOLDING, digest_of(per_doc, "doc_id", "d")]).encode()).hexdigest()
+    dropped(per_doc)
     return f"gen-{whole[:24]}"
 
 
@@ -64,13 +79,7 @@ BLOCKS_A_BUCKET, BLOCKS_A_FILE = 100_000, 4_000_000
 
 def session_store(spark: SparkSession, name: str) -> IndexStore:
     """The store of this application under a name, in the shared folder; in local mode a temporary folder will do."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.gettempdir()
-    store = IndexStore(spark, f"{root.rstrip('/')}/stratafolio-index-{context.applicationId}/{hashlib.sha256(name.encode()).hexdigest()[:16]}")
+    store = IndexStore(spark, f"{shared_root(spark)}/stratafolio-index-{spark.sparkContext.applicationId}/{hashlib.sha256(name.encode()).hexdigest()[:16]}")
     store.fs.deleteOnExit(store._path(""))
     return store
 
@@ -89,19 +98,27 @@ class IndexStore:
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def active(self) -> str | None:
+    def pointer(self) -> dict | None:
+        """The active generation, and the state of the source that it was made of."""
         if not self.fs.exists(self._path("active.json")):
             return None
-        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/active.json").collect()))["generation"]
+        return json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/active.json").collect()))
+
+    def active(self) -> str | None:
+        pointer = self.pointer()
+        return pointer and pointer["generation"]
 
-    def build(self, blocks: DataFrame, term_buckets: int | None = None) -> tuple[str, bool]:
-        """The generation of these blocks, and whether it was built now.
+    def build(self, blocks: DataFrame, term_buckets: int | None = None, source: str | None = None) -> tuple[str, bool]:
+        """The generation of these blocks, and whether it was built now. It is bound to the state of its source, if one is given.
 
         Terms are dealt to as many buckets as the blocks ask for, and each bucket, by block, to as many files, so that neither a task nor a very
         frequent term grows with the corpus. Postings carry their block's length, and the sizes of the whole are kept with them.
         """
         generation = manifest_of(blocks)
-        if self.active() == generation:
+        pointer = self.pointer() or {}
+        if pointer.get("generation") == generation:
+            if pointer.get("source") != source:
+                self.activate(generation, source)
             return generation, False
         place = f"{self.root}/{generation}"
         self.fs.delete(self._path(generation), True)  # residue of a crash
@@ -115,13 +132,13 @@ class IndexStore:
         rows = self.spark.read.parquet(f"{place}/postings").count()
         if rows != (wrote.t or 0):
             raise RuntimeError(f"{generation}: {rows} postings, {wrote.t} expected")
-        self.activate(generation)
+        self.activate(generation, source)
         return generation, True
 
-    def activate(self, generation: str) -> None:
+    def activate(self, generation: str, source: str | None = None) -> None:
         draft = self._path(f"active-{uuid.uuid4().hex}.json")
         out = self.fs.create(draft, True)
-        out.write(bytearray(json.dumps({"generation": generation}).encode()))
+        out.write(bytearray(json.dumps({"generation": generation, "source": source}).encode()))
         out.close()
         target = self._path("active.json")
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()) if draft.toUri().getScheme() else self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.spark.sparkContext._jsc.hadoopConfiguration())

@@ -14,27 +14,27 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 
 
-#: Query terms up to which they are broadcast.
-FEW_TERMS = 100_000
+#: Query terms up to which they are broadcast, and up to which only their buckets of an index are read.
+FEW_TERMS, FEW_TERMS_READ = 100_000, 500
 
 
-def bm25(index: DataFrame, blocks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, size=None) -> DataFrame:
-    """(query_id, block_id, score) for queries (query_id, term).
+def bm25(index: DataFrame, blocks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, size=None, terms: bool = False) -> DataFrame:
+    """(query_id, block_id, score) for queries (query_id, term), with the `terms` that a block was found by on request.
 
     index: term, block_id, tf; blocks: block_id, length. N, the average length and document frequencies are those of the whole
     generation (`size`, if it is known); postings may bring the length themselves; `allowed` (block_id) filters only the rows that are scored. Postings of other terms are dropped before any shuffle of them
     by the semi-join's broadcast of the query terms where those are few.
     """
     size = size or blocks.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()  # one row, kept with a generation
-    terms = queries.select("term").distinct()
+    sought = queries.select("term").distinct()
     few = queries.count() <= FEW_TERMS
-    wanted = index.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    wanted = index.join(F.broadcast(sought) if few else sought, "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     scored = wanted if allowed is None else wanted.join(allowed.select("block_id"), "block_id", "left_semi")
     measured = scored if "length" in index.columns else scored.join(blocks.select("block_id", "length"), "block_id")
     hits = measured.join(F.broadcast(df) if few else df, "term").join(F.broadcast(queries) if few else queries, "term")
     weight = numbers.idf(F.lit(size.n), F.col("df")) * numbers.term_weight(F.col("tf"), F.col("length"), F.lit(float(size.avg or 1.0)))
-    return hits.groupBy("query_id", "block_id").agg(F.sum(weight).alias("score"))
+    return hits.groupBy("query_id", "block_id").agg(F.sum(weight).alias("score"), *([F.collect_set("term").alias("terms")] if terms else []))
 
 
 def top(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:

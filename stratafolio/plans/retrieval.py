@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import index, retrieval
+from ..operators import index, retrieval, search
 from .registry import query
 
 c = F.col
@@ -21,20 +21,17 @@ def terms_of(t, where: str):
     return t.benchmark.where(where).select(c("item_id").alias("query_id"), F.explode(text.query_terms(c("text"))).alias("term"))
 
 
-#: Terms of a search up to which only their buckets are read; with more, all postings meet the terms in a join.
-FEW = 500
-
-
 def generation(t):
-    """The store of the tables and its active generation, built on first use."""
+    """The store of the tables and the generation of their present files, built where there is none."""
     store = index.session_store(t.spark, t.sf_dir)
-    return store, store.active() or store.build(index.line_blocks(t.documents))[0]
+    state = search.source_state(t.spark, f"{t.sf_dir}/documents.parquet")
+    return store, search.current_generation(store, index.line_blocks(t.documents), state)[0]
 
 
 def searched(t, where: str = "item_id = 0", visible=None):
     (store, active), queries = generation(t), terms_of(t, where)
-    terms = [r.term for r in queries.select("term").distinct().limit(FEW + 1).collect()]
-    found = store.postings_of(terms, active) if len(terms) <= FEW else store.postings(active)
+    terms = [r.term for r in queries.select("term").distinct().limit(retrieval.FEW_TERMS_READ + 1).collect()]
+    found = store.postings_of(terms, active) if len(terms) <= retrieval.FEW_TERMS_READ else store.postings(active)
     return retrieval.bm25(found, store.blocks(active), queries, visible and visible(store.blocks(active)), store.sizes(active))
 
 
@@ -106,6 +103,63 @@ def as_of_hits(t):
     return retrieval.top(scores, ["query_id"], 20, F.desc("score"), F.asc("block_id")).select("query_id", "block_id", c("rank").cast("long").alias("rank"), "score")
 
 
+_EVERY = f"q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark)"
+_NOW = "CASE doc_id % 10 WHEN 0 THEN 'gone' WHEN 5 THEN substr(line, 1, 40) ELSE line END"
+_BAD = r"(len(regexp_extract_all({0}, '[\x{{a0}}-\x{{ff}}]{{6,}}')) >= 3 OR regexp_matches({0}, '[\x{{a0}}-\x{{ff}}]{{18,}}'))"
+
+
+@query(
+    "ret2_guarded_search",
+    f"""WITH {LINES}, {POSTINGS}, {_EVERY}, {SCORES}, now AS (SELECT block_id, CASE WHEN doc_id % 10 IN (0, 5) THEN 'p' || block_id END AS projection_id, {_NOW} AS shown FROM lines),
+    terms AS (SELECT DISTINCT block_id, unnest({TERMS.format('shown')}) AS term FROM now WHERE NOT {_BAD.format('shown')}), matched AS (SELECT query_id, block_id, string_agg(term, ' ' ORDER BY term) AS matched FROM q JOIN postings USING (term) JOIN terms USING (block_id, term) GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, block_id) AS rank FROM scores JOIN matched USING (query_id, block_id) JOIN now USING (block_id)) SELECT query_id, rank, block_id, matched, coalesce(projection_id, '') AS projection_id FROM r WHERE rank <= 20""",
+)
+def guarded_search(t):
+    store, active = generation(t)
+    blocks = index.line_blocks(t.documents)
+    shown = F.when(c("doc_id") % 10 == 0, "gone").otherwise(F.substring("text", 1, 40))
+    stored = blocks.where("doc_id % 10 IN (0, 5)").select(F.concat(F.lit("p"), "block_id").alias("projection_id"), "block_id", F.sha2("text", 256).alias("text_sha256"), shown.alias("projected_text"))
+    out = search.search(store, active, terms_of(t, "true"), blocks, 20, projections=stored, heads=stored.select("block_id", "projection_id"))
+    return out.select("query_id", "rank", "block_id", F.array_join("matched", " ").alias("matched"), F.coalesce("projection_id", F.lit("")).alias("projection_id"))
+
+
+def _seen_by(mode: str) -> str:
+    at = {"system": "o_orderdate", "public": "CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate + INTERVAL 400 DAY END"}[mode]
+    return f"SELECT '{mode}' AS mode, query_id, block_id, score FROM scores JOIN lines USING (block_id) JOIN orders ON o_orderkey = doc_id WHERE {at} <= TIMESTAMP '1996-06-30 00:00:00'"
+
+
+@query("ret3_as_of_versions", f"WITH {LINES}, {POSTINGS}, {_EVERY}, {SCORES}, v AS ({_seen_by('system')} UNION ALL {_seen_by('public')}), k AS (SELECT v.*, {_BAD.format('line')} AS bad FROM v JOIN lines USING (block_id)), r AS (SELECT mode, query_id, block_id, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, block_id) AS rank FROM k WHERE NOT bad) SELECT mode, query_id, block_id, rank FROM r WHERE rank <= 10")
+def as_of_versions(t):
+    store, active = generation(t)
+    versions = t.orders.select(c("o_orderkey").alias("doc_id"), c("o_orderdate").alias("first_observed_at"), F.when(c("o_orderkey") % 4 > 0, c("o_orderdate") + F.expr("INTERVAL 400 DAYS")).alias("public_available_at"))
+    blocks, out = index.line_blocks(t.documents), None
+    for mode in ("system", "public"):
+        allowed = search.visible_blocks(store.blocks(active), versions, F.lit("1996-06-30").cast("timestamp_ntz"), mode)
+        hits = search.search(store, active, terms_of(t, "true"), blocks, 10, allowed=allowed).select(F.lit(mode).alias("mode"), "query_id", "block_id", "rank")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+@query(
+    "idx1_effective_blocks",
+    rf"""WITH {LINES}, x AS (SELECT doc_id, b.ordinal, b.line, e FROM lines b, (SELECT unnest([1, 2]) AS e)), u AS (SELECT doc_id, e, ordinal, CASE WHEN e = 2 AND doc_id % 3 = 0 THEN '' ELSE line END AS text, CASE WHEN e = 2 AND doc_id % 5 = 0 THEN 'review' ELSE 'ready' END AS state FROM x),
+    s AS (SELECT doc_id, e, bool_and(NOT {_BAD.format('text')}) FILTER (text <> '') AS whole, bool_or(NOT {_BAD.format('text')}) FILTER (text <> '') AS any_fit, bool_and(state = 'ready') FILTER (text <> '') AS ready FROM u GROUP BY 1, 2),
+    pick AS (SELECT doc_id, e, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN whole AND ready THEN 0 ELSE 1 END, e DESC) AS r FROM s WHERE any_fit)
+    SELECT doc_id, ordinal, e AS extraction, md5(text) AS text FROM u JOIN pick USING (doc_id, e) WHERE r = 1 AND doc_id % 4 > 0 AND NOT {_BAD.format('text')} AND text <> ''""",
+)
+def effective_blocks(t):
+    lines = index.line_blocks(t.documents)
+    both = lines.withColumn("e", F.explode(F.array(F.lit(1), F.lit(2))))
+    late = c("e") == 2
+    name = F.format_string("%d-e%d", "doc_id", "e")
+    blocks = both.select(name.alias("extraction_id"), F.concat(name, F.lit("-"), c("ordinal").cast("string")).alias("block_id"), "ordinal", F.when(late & (c("doc_id") % 3 == 0), "").otherwise(c("text")).alias("text"), F.lit(None).cast("int").alias("page"), F.when(late & (c("doc_id") % 5 == 0), "review").otherwise("ready").alias("block_status"))
+    docs = t.documents.select("doc_id").withColumn("e", F.explode(F.array(F.lit(1), F.lit(2))))
+    extractions = docs.select(c("doc_id").alias("version"), name.alias("extraction_id"), F.lit("ready").alias("status"), F.lit(0).alias("pages"), F.lit(0).alias("missing_pages"), c("e").cast("long").alias("ingest_seq"))
+    versions = t.documents.select(c("doc_id").alias("version"), "doc_id", (c("doc_id") % 4 > 0).alias("is_current"))
+    out = search.selected_blocks(versions, extractions, blocks).where("text <> ''")
+    return out.select("doc_id", c("ordinal").cast("long").alias("ordinal"), F.regexp_extract("block_id", "-e([12])-", 1).cast("int").alias("extraction"), F.md5("text").alias("text"))
+
+
 _COS = "cos AS (SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b)"
 
 
