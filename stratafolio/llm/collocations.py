@@ -28,10 +28,10 @@ DEPTH, BYTES_A_CELL = 2, 32
 CELLS = (1 << 16, 1 << 27)
 #: Cells that go as one row from task to task.
 STRIPE = 1 << 16
-#: Bytes of text whose n-grams make one sketch, about: so many input partitions are read by one task.
-SKETCHED = 1 << 28
-#: Different phrases of a task that are held before their counts go out.
-HELD = 400_000
+#: Bytes of text that one task counts, about: so many input partitions are read by one task, which sends each cell and each survivor about once.
+COUNTED = 1 << 28
+#: Different survivors of a task that are held before their counts go out.
+HELD = 700_000
 UND = "und"
 
 _MARK = b".,;:!?\n\x0b\x0c\r"
@@ -179,8 +179,7 @@ def sketched(texts: DataFrame, size: int, top: int) -> np.ndarray:
     while width < CELLS[1] and width * BYTES_A_CELL < size:
         width *= 2
     spark = texts.sparkSession
-    read = texts.coalesce(max(spark.sparkContext.defaultParallelism, -(-size // SKETCHED)))
-    built = read.mapInArrow(lambda it: _sketches(it, width, top), "row int, stripe int, cells binary")
+    built = few_tasks(texts, size).mapInArrow(lambda it: _sketches(it, width, top), "row int, stripe int, cells binary")
     stripe = min(STRIPE, width)
     summed = built.repartition(parts(spark, DEPTH * width // stripe, 64), "row", "stripe").sortWithinPartitions("row", "stripe").mapInArrow(lambda it: _summed(it, top), "row int, stripe int, bits binary")
     out = np.zeros((DEPTH, width // 8), np.uint8)
@@ -221,27 +220,35 @@ def survivors(grams: Grams, lang: str, bits: np.ndarray) -> Iterator[tuple[int,
 
 
 def _counted(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, int, bytes], int] = {}
+    held: dict[tuple[str, int], dict[bytes, int]] = {}
 
     def out() -> Iterator[pa.RecordBatch]:
-        rows = list(held.items())
-        for k in range(0, len(rows), 10_000):
-            keys, counts = zip(*rows[k : k + 10_000])
-            lang, n, phrase = zip(*keys)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(n, pa.int32()), pa.array(phrase, pa.binary()), pa.array(counts, pa.int64())], names=["lang", "n_words", "phrase", "f"])
+        for (lang, n), counts in held.items():
+            phrases, numbers = list(counts), list(counts.values())
+            for k in range(0, len(phrases), 10_000):
+                size = len(phrases[k : k + 10_000])
+                columns = [pa.array([lang] * size, pa.string()), pa.array([n] * size, pa.int32()), pa.array(phrases[k : k + 10_000], pa.binary()), pa.array(numbers[k : k + 10_000], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "n_words", "phrase", "f"])
 
     for lang, grams in _grams(batches):
-        held[lang, 0, b""] = held.get((lang, 0, b""), 0) + len(grams)
+        total = held.setdefault((lang, 0), {b"": 0})
+        total[b""] += len(grams)
         for n, names, counts in survivors(grams, lang, bits):
+            own = held.setdefault((lang, n), {})
             for name, c in zip(names, counts.tolist()):
                 if c:
-                    held[lang, n, name] = held.get((lang, n, name), 0) + c
-        if len(held) > HELD:
+                    own[name] = own.get(name, 0) + c
+        if sum(map(len, held.values())) > HELD:
             yield from out()
             held.clear()
     yield from out()
 
 
+def few_tasks(texts: DataFrame, size: int) -> DataFrame:
+    """texts (size bytes) in tasks of about COUNTED bytes, but for all cores."""
+    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // COUNTED)))
+
+
 def frequencies(docs: DataFrame, least: int) -> DataFrame:
     """(lang, n_words, phrase, f) of all n-grams of up to LONGEST words with f >= least in their language (null: UND), as written
     rows; with n_words 0 and no phrase, the number of all words of a language."""
@@ -249,7 +256,7 @@ def frequencies(docs: DataFrame, least: int) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UND)).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     held = spark.sparkContext.broadcast(sketched(texts, size, least))  # DEPTH * CELLS[1] bits at most
-    counted = texts.mapInArrow(lambda it: _counted(it, held.value), "lang string, n_words int, phrase binary, f long")
+    counted = few_tasks(texts, size).mapInArrow(lambda it: _counted(it, held.value), "lang string, n_words int, phrase binary, f long")
     return written(counted.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= F.when(F.col("n_words") > 0, least).otherwise(0)).withColumn("phrase", F.col("phrase").cast("string")))
 
 
