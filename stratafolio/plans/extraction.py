@@ -16,6 +16,66 @@ def html(t):
     return blocks.select("page_id", "ordinal", "block_type", "text", "dom_path", "start_char", "end_char")
 
 
+_PDF_LINES = "l AS (SELECT doc_id, unnest(range(len(x))) + 1 AS page, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))"
+
+
+def pdf_files(t):
+    """A file for each document: a page a line, strings literal where they are ASCII, else as codes of a font with a character map; every third page's objects in
+    an order of their own."""
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    plain = c("line").rlike(r"^[\x20-\x7E]*$")
+    literal = F.concat(F.lit("BT /F1 9 Tf ("), F.regexp_replace("line", r"([\\()])", r"\\$1"), F.lit(") Tj ET"))
+    coded = F.concat(F.lit("BT /F2 9 Tf [<"), F.hex(F.encode("line", "UTF-16BE")), F.lit(">] TJ ET"))
+    stream = F.when(plain, literal).otherwise(coded)
+    page = F.format_string("%d 0 obj <</Type /Page /Parent 2 0 R /Contents %d 0 R>> endobj\n", c("k") * 2 + 10, c("k") * 2 + 11)
+    body = F.concat(F.format_string("%d 0 obj <</Length %d>> stream\n", c("k") * 2 + 11, F.length(stream)), stream, F.lit("\nendstream endobj\n"))
+    both = lines.select("doc_id", "k", F.when(c("k") % 3 == 0, F.concat(body, page)).otherwise(F.concat(page, body)).alias("objects"))
+    gathered = both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "objects"))).alias("p"))  # the lines of one document
+    kids = F.array_join(F.transform("p", lambda x: F.format_string("%d 0 R", x["k"] * 2 + 10)), " ")
+    head = "%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n3 0 obj <</Type /Font /ToUnicode 4 0 R>> endobj\n4 0 obj <<>> stream\n1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange\nendstream endobj\n2 0 obj <</Type /Pages /Resources <</Font <</F2 3 0 R>>>> /Kids ["
+    return gathered.select("doc_id", F.encode(F.concat(F.lit(head), kids, F.lit("]>> endobj\n"), F.array_join("p.objects", "")), "ISO-8859-1").alias("content"))
+
+
+@query("arr3_pdf_pages", f"WITH {_PDF_LINES} SELECT doc_id, page::INT AS page, CASE WHEN trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) = '' THEN '' ELSE line END AS text FROM l")
+def pdf_pages(t):
+    return documents.pdf_pages(pdf_files(t), ["doc_id"], "content").select("doc_id", "page", "text")
+
+
+_STATES = rf"""WITH {_PDF_LINES}, s AS (SELECT doc_id, page, line, length(trim(line)) < 10 AS sparse, (len(regexp_extract_all(line, '[\x{{a0}}-\x{{ff}}]{{6,}}')) >= 3 OR regexp_matches(line, '[\x{{a0}}-\x{{ff}}]{{18,}}')) AS damaged FROM l),
+o AS (SELECT *, (sparse OR damaged) AND page % 4 > 0 AS read, CASE WHEN page % 5 = 0 THEN 0.5 ELSE 0.9 END AS sure FROM s),
+p AS (SELECT *, CASE WHEN read AND damaged THEN 'recognised text ' || page WHEN read THEN trim(line || chr(10) || 'recognised text ' || page, ' ' || chr(10)) WHEN trim(line) = '' THEN '' ELSE line END AS text, CASE WHEN read AND sure < 0.6 THEN 'ocr_low_confidence' WHEN read THEN 'ocr_applied' WHEN damaged THEN 'damaged_text_layer' WHEN sparse THEN 'needs_ocr_unmet' ELSE 'text_layer' END AS state FROM o)
+SELECT doc_id, count(*)::INT AS pages, string_agg(state, ',' ORDER BY page) AS states, string_agg(length(text)::VARCHAR, ',' ORDER BY page) AS chars, count(*) FILTER (state = 'needs_ocr_unmet') AS unmet, CASE WHEN NOT bool_or(trim(text) <> '') THEN 'failed' WHEN bool_or(state IN ('ocr_low_confidence', 'needs_ocr_unmet', 'damaged_text_layer')) THEN 'review' ELSE 'ready' END AS status FROM p GROUP BY 1"""
+
+
+@query("arr3_page_states", _STATES)
+def page_states(t):
+    from ..operators import pages
+
+    found = documents.pdf_pages(pdf_files(t), ["doc_id"], "content")
+    k = c("page")
+    read = pages.to_recognise(found, ["doc_id"]).where(k % 4 > 0).select("doc_id", "page", F.concat(F.lit("recognised text "), k.cast("string")).alias("ocr_text"), F.when(k % 5 == 0, 0.5).otherwise(0.9).alias("confidence"), F.lit(False).alias("failed"), F.lit(None).cast("string").alias("fallback_text"), F.lit(None).cast("double").alias("fallback_confidence"))
+    d = pages.document_states(pages.page_states(found, ["doc_id"], read), ["doc_id"])
+    joined = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+    return d.select("doc_id", "pages", joined("page_ocr_status").alias("states"), joined("chars_per_page").alias("chars"), c("unmet_ocr_pages").alias("unmet"), "status")
+
+
+def first_line(image: bytes) -> tuple[str, float]:
+    """An engine for images that are texts: their first line; sure by its length. An empty image is an error."""
+    if not image:
+        raise ValueError("empty image")
+    line = image.split(b"\n")[0].decode("utf-8", "replace")
+    return line, min(len(line), 100) / 100
+
+
+@query("arr4_image_blocks", "WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line, text = '' OR text IS NULL AS none FROM documents) SELECT doc_id, md5(coalesce(line, '')) AS text, CASE WHEN none THEN 'ocr_failed' WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 'ocr_no_text' WHEN length(line) < 60 THEN 'ocr_low_confidence' ELSE '' END AS issue FROM l")
+def image_blocks(t):
+    from ..sources import registries
+
+    registries.ENGINES.register("first-line", first_line)
+    out = registries.image_blocks(t.documents.withColumn("image", c("text").cast("binary")), ["doc_id"], "image", "first-line")
+    return out.select("doc_id", F.md5("text").alias("text"), F.coalesce("issue", F.lit("")).alias("issue"))
+
+
 @query("arr1_text_offsets", "SELECT conv_id, turn, 0 AS ordinal, 0 AS start_char, length(text) AS end_char FROM conversations WHERE text = trim(text) AND length(text) > 0 AND NOT regexp_matches(text, '\\n\\s*\\n')".replace("\\\\", "\\"))
 def text(t):
     plain = t.conversations.where("text = trim(text) AND length(text) > 0").where(~c("text").rlike(r"\n\s*\n"))

@@ -283,7 +283,7 @@ def normalize(t):
     return t.documents.select("doc_id", F.length(text.normalized(F.col("text"))).alias("n_chars"))
 
 
-@query("str10_html_text", r"SELECT page_id, md5(trim(regexp_replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages")
+@query("str10_html_text", r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) AS digest FROM pages")
 def html_text(t):
     from ..sources.documents import html_text as strip
 

@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pdf
+
 BLOCKS = "array<struct<ordinal:int,block_type:string,text:string,dom_path:string,page:int,start_char:int,end_char:int,table_rows:array<array<string>>>>"
 KIND = pa.list_(pa.struct([("ordinal", pa.int32()), ("block_type", pa.string()), ("text", pa.string()), ("dom_path", pa.string()), ("page", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("table_rows", pa.list_(pa.list_(pa.string())))]))
 
 
 def html_text(html: Column) -> Column:
-    """The text of a page without its tags: scripts and styles dropped, one common entity decoded, white space collapsed."""
-    bare = F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    bare = F.replace(F.regexp_replace(bare, "<[^>]+>", " "), F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """The text of a page without its tags: scripts and styles dropped, character references decoded, white space collapsed."""
+    bare = F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]+>", " ")
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([t and unescape(t) for t in batch.to_pylist()], pa.string())
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.regexp_replace(F.regexp_replace(F.arrow_udf(run, "string")(bare), r"(?U)\s+", " "), "^ | $", "")
 
 
 def text_blocks(raw: bytes) -> list[dict]:
@@ -76,10 +83,16 @@ class _Blocks(HTMLParser):
         elif self.tables and tag == "tr":
             self.tables[-1]["row"] = []
         elif self.tables and tag in ("td", "th") and self.tables[-1]["row"] is not None:
-            if self.tables[-1]["cell"] is not None:  # its end tag was left out
-                self.closed(tag)
             self.tables[-1]["cell"] = []
 
+    def implied(self, tag: str) -> None:
+        """A row or cell ends the open one of its table whose end tag was left out."""
+        names = [p.split("[")[0] for p in self.path]
+        inner = names[len(names) - names[::-1].index("table") :] if "table" in names else []
+        for ended in ("tr",) if tag == "tr" else ("td", "th") if tag in ("td", "th") else ():
+            if ended in inner:
+                self.handle_endtag(ended)
+
     def closed(self, tag: str) -> None:
         """Cells join their row, rows their table; a table with rows is a block after those of its cells."""
         if not self.tables:
@@ -93,6 +106,8 @@ class _Blocks(HTMLParser):
                 table["rows"].append(table["row"])
             table["row"] = None
         elif tag == "table":
+            self.closed("td")
+            self.closed("tr")
             self.tables.pop()
             shown = table_projection(table["rows"])
             if shown:
@@ -105,6 +120,8 @@ class _Blocks(HTMLParser):
         if tag in self.VOID:
             self.text += " "
             return
+        if self.whole:
+            self.implied(tag)
         if tag in self.BLOCK or (self.whole and tag == "table"):
             self.flush()
         n = self.seen[-1][tag] = self.seen[-1].get(tag, 0) + 1
@@ -158,68 +175,23 @@ def html_blocks(raw: bytes, skip: frozenset[str] | set[str] = _Blocks.SKIP, tabl
 
 
 def pdf_blocks(raw: bytes) -> list[dict]:
-    """A block a page from the literal and hexadecimal strings of its content streams, in the order of the page tree."""
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)(\d+)\s+\d+\s+obj\b(.*?)endobj", raw)}
-    refs = lambda body, key: [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", (re.search(rb"/" + key + rb"\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body) or [b"", b""])[1])]
+    """A block a page, in the order of the page tree; a page without text is an empty block."""
+    return [{"block_type": "page", "text": (p.text or "").strip(), "page": k} for k, p in enumerate(pdf.pages_of(raw), 1)]
 
-    def pages(number: int, above: frozenset = frozenset()) -> Iterator[bytes]:
-        body = objects.get(number, b"")
-        if number in above:
-            return
-        if re.search(rb"/Type\s*/Page\b", body):
-            yield body
-        for kid in refs(body, b"Kids"):
-            yield from pages(kid, above | {number})
-
-    roots = [n for n, b in objects.items() if re.search(rb"/Type\s*/Pages\b", b) and not re.search(rb"/Parent\b", b)]
-    found = [p for r in roots for p in pages(r)] or [b for b in objects.values() if re.search(rb"/Type\s*/Page\b", b)]
-    out = []
-    for number, body in enumerate(found, 1):
-        text = "\n".join(t for ref in refs(body, b"Contents") for t in _strings(_stream(objects.get(ref, b""))))
-        out.append({"block_type": "page", "text": text.strip(), "page": number})
-    return out
 
+PAGES = "array<struct<page:int,text:string,unmapped:boolean>>"
 
-def _stream(body: bytes) -> bytes:
-    m = re.search(rb"(?s)stream\r?\n(.*?)\r?\n?endstream", body)
-    if not m:
-        return b""
-    if b"/FlateDecode" in body:
-        try:
-            return zlib.decompressobj().decompress(m[1])
-        except zlib.error:
-            return b""
-    return m[1]
 
+def pdf_pages(df: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """keys, page, text (null: no content) and unmapped of the pages of each row's bytes, for operators.pages. A row is one file, whose size bounds the task."""
+    kind = pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string()), ("unmapped", pa.bool_())]))
 
-def _strings(content: bytes) -> Iterator[str]:
-    """Literal strings, whose parentheses may nest, and hexadecimal ones."""
-    at = 0
-    while m := _STRING.search(content, at):
-        at = m.end()
-        if m[1] is not None:
-            digits = re.sub(rb"\s", b"", m[1])
-            yield bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("latin-1")
-            continue
-        depth, out = 1, []
-        while depth and (p := _PART.match(content, at)):
-            at, part = p.end(), p[0]
-            depth += (part == b"(") - (part == b")")
-            if depth:
-                out.append(_unescaped(part) if part[:1] == b"\\" else part)
-        yield b"".join(out).decode("latin-1")
-
-
-_STRING = re.compile(rb"\(|<([0-9A-Fa-f\s]+)>")
-_PART = re.compile(rb"(?s)\\[0-7]{1,3}|\\\r\n|\\.|[()]|[^\\()]+|\\")
-
-
-def _unescaped(part: bytes) -> bytes:
-    """An octal code, an escaped line end (nothing), a named control character, or the character itself."""
-    if part[1:2] and part[1:2] in b"01234567":
-        return bytes([int(part[1:], 8) & 255])
-    named = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
-    return named.get(part[1:], part[1:])
+    def run(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in contents:
+            yield pa.array([[{"page": k, "text": p.text, "unmapped": p.unmapped} for k, p in enumerate(pdf.pages_of(raw.as_py() or b""), 1)] for raw in batch], kind)
+
+    run.__annotations__ = {"contents": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.select(*keys, F.inline(F.arrow_udf(run, PAGES)(F.col(content).cast("binary"))))
 
 
 EXTRACTORS: dict[str, Callable[[bytes], list[dict]]] = {"txt": text_blocks, "html": lambda raw: html_blocks(raw, NEVER_SHOWN, tables=True), "pdf": pdf_blocks}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ class Registry:
 
 
 ADAPTERS = Registry("adapter", reports_archive=read_archive, jsonl_export=read_export)
-#: Column factories: content to (text, confidence).
+#: Functions of an image's bytes to (text, confidence); they run in the tasks.
 ENGINES = Registry("OCR engine")
 #: Column factories: text to a vector.
 EMBEDDERS = Registry("embedding provider", mock=hashed_vector)
@@ -35,6 +36,47 @@ EMBEDDERS = Registry("embedding provider", mock=hashed_vector)
 RETRIEVERS = Registry("retriever")
 
 
+READ = "struct<ocr_text:string,confidence:double,failed:boolean>"
+
+
+def _read_by(engine: Callable[[bytes], tuple[str, float]]) -> Callable[[Column], Column]:
+    kind = pa.struct([("ocr_text", pa.string()), ("confidence", pa.float64()), ("failed", pa.bool_())])
+
+    def one(image: bytes | None) -> dict:
+        try:
+            text, confidence = engine(image or b"")
+            return {"ocr_text": text, "confidence": confidence, "failed": False}
+        except Exception:  # an engine's error is the page's state
+            return {"ocr_text": None, "confidence": None, "failed": True}
+
+    def run(images: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in images:
+            yield pa.array([one(x.as_py()) for x in batch], kind)
+
+    run.__annotations__ = {"images": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return lambda image: F.arrow_udf(run, READ)(image)
+
+
+def recognised(images: DataFrame, keys: list[str], image: str, engine: str, fallback: str | None = None, fallback_below: float = 0.0) -> DataFrame:
+    """keys, ocr_text, confidence, failed, fallback_text and fallback_confidence of images by registered engines; the fallback is asked only
+    where the first found nothing or was less sure than `fallback_below`, and where it fails there is none."""
+    read = images.select(*keys, image, _read_by(ENGINES[engine])(F.col(image)).alias("r")).select(*keys, image, "r.*")
+    if fallback is None:
+        return read.select(*keys, "ocr_text", "confidence", "failed", F.lit(None).cast("string").alias("fallback_text"), F.lit(None).cast("double").alias("fallback_confidence"))
+    unsure = ~F.col("failed") & (F.coalesce(~F.col("ocr_text").rlike(r"(?U)\S"), F.lit(True)) | (F.col("confidence") < fallback_below))
+    asked = read.where(unsure).withColumn("f", _read_by(ENGINES[fallback])(F.col(image)))
+    both = asked.unionByName(read.where(~unsure | unsure.isNull()), allowMissingColumns=True)
+    return both.select(*keys, "ocr_text", "confidence", "failed", F.col("f.ocr_text").alias("fallback_text"), F.col("f.confidence").alias("fallback_confidence"))
+
+
+def image_blocks(images: DataFrame, keys: list[str], image: str, engine: str, least_confidence: float = 0.6) -> DataFrame:
+    """keys, text, confidence, status and issue of images as one block each: ready, or review where the engine failed, found nothing or was not sure."""
+    read = recognised(images, keys, image, engine)
+    blank = F.coalesce(~F.col("ocr_text").rlike(r"(?U)\S"), F.lit(True))
+    issue = F.when(F.col("failed"), "ocr_failed").when(blank, "ocr_no_text").when(F.col("confidence") < least_confidence, "ocr_low_confidence")
+    return read.select(*keys, F.coalesce("ocr_text", F.lit("")).alias("text"), "confidence", F.when(issue.isNull(), "ready").otherwise("review").alias("status"), issue.alias("issue"))
+
+
 def build_adapter(spark: SparkSession, config: dict) -> Callable[[], DataFrame]:
     """The reader of a source by its configured type; what else is configured goes to it."""
     adapter = ADAPTERS[config["type"]]
