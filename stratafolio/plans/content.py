@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import content, dates
-from ..operators import projections
+from ..operators import projections, spatial
 from ..sources.registries import filled_embeddings
 from .registry import query
 
@@ -74,10 +74,10 @@ def activate(t):
 
 @query("jn24_owned_characters", "WITH r AS (SELECT l_orderkey, l_linenumber, (l_linenumber - 1) * 0.1::DOUBLE AS x0, (l_linenumber - 1) * 0.1::DOUBLE + 0.1::DOUBLE + l_discount AS x1 FROM lineitem), h AS (SELECT o_orderkey, count(l_linenumber) AS n, min(l_linenumber) AS region FROM (SELECT o_orderkey, (o_custkey % 97) / 100::DOUBLE AS x FROM orders) LEFT JOIN r ON l_orderkey = o_orderkey AND x >= x0 AND x < x1 GROUP BY 1) SELECT o_orderkey, CASE WHEN n = 1 THEN region END AS region, n > 1 AS overlapping FROM h")
 def owned_characters(t):
-    chars = t.orders.select(c("o_orderkey").alias("page"), F.lit(0).alias("offset"), ((c("o_custkey") % 97) / 100).alias("x"), F.lit(0.5).alias("y"))
+    chars = t.orders.select(c("o_orderkey").alias("page"), F.lit(0).alias("id"), ((c("o_custkey") % 97) / 100).alias("x"), F.lit(0.5).alias("y"))
     left = (c("l_linenumber") - 1) * F.lit(0.1)
     regions = t.lineitem.select(c("l_orderkey").alias("page"), c("l_linenumber").alias("region"), left.alias("x0"), F.lit(0.0).alias("y0"), (left + 0.1 + c("l_discount")).alias("x1"), F.lit(1.0).alias("y1"))
-    return projections.owned(chars, regions, ["page"]).select(c("page").alias("o_orderkey"), "region", "overlapping")
+    return spatial.owners(chars, regions, ["page"]).select(c("page").alias("o_orderkey"), "region", "overlapping")
 
 
 _PILOT = """WITH i AS (SELECT doc_id, source, CASE lang WHEN 'en' THEN 'native' WHEN 'fr' THEN 'ocr' ELSE 'unknown' END AS category, lang = 'es' AND lang NOT IN ('en', 'fr') AS image, sha256('7:' || doc_id) AS o FROM documents),

@@ -236,11 +236,12 @@ def jn19(t):
 
 @query("jn20_box_overlap", "WITH b AS (SELECT l_orderkey AS page, l_linenumber AS id, l_discount * 5 AS x0, l_tax * 5 AS y0 FROM lineitem) SELECT a.page, a.id AS a, b.id AS b, round(i / (0.32 - i), 6) AS iou FROM b a JOIN b ON a.page = b.page AND a.id < b.id, LATERAL (SELECT greatest(0, 0.4 - abs(a.x0 - b.x0)) * greatest(0, 0.4 - abs(a.y0 - b.y0)) AS i) WHERE round(i / (0.32 - i), 6) >= 0.5")
 def jn20(t):
-    b = t.lineitem.select(c("l_orderkey").alias("page"), c("l_linenumber").alias("id"), (c("l_discount") * 5).alias("x0"), (c("l_tax") * 5).alias("y0"))
-    one, two = b.select("page", c("id").alias("a"), c("x0").alias("ax"), c("y0").alias("ay")), b.select("page", c("id").alias("b"), c("x0").alias("bx"), c("y0").alias("by"))
-    pairs = one.join(two, "page").where("a < b")
-    value = F.round(numbers.iou([c("ax"), c("ay"), c("ax") + 0.4, c("ay") + 0.4], [c("bx"), c("by"), c("bx") + 0.4, c("by") + 0.4]), 6)
-    return pairs.select("page", "a", "b", value.alias("iou")).where("iou >= 0.5")
+    from ..operators.spatial import overlapping
+
+    x, y = c("l_discount") * 5, c("l_tax") * 5
+    boxes = t.lineitem.select(c("l_orderkey").alias("page"), c("l_linenumber").alias("id"), x.alias("x0"), y.alias("y0"), (x + 0.4).alias("x1"), (y + 0.4).alias("y1"))
+    pairs = overlapping(boxes, boxes, ["page"]).where("a < b")
+    return pairs.select("page", "a", "b", F.round("iou", 6).alias("iou")).where("iou >= 0.5")
 
 
 @query("jn23_snapshot_diff", "WITH a AS (SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 10 <> 0), b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN 'CHANGED' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 11 <> 0) SELECT coalesce(a.k, b.k) AS doc_id, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'absent' WHEN a.v IS DISTINCT FROM b.v THEN 'changed' ELSE 'same' END AS change FROM a FULL JOIN b ON a.k = b.k")
@@ -465,6 +466,28 @@ def win15(t):
     return picked.join(F.broadcast(quota), "stratum").where("pick <= quota").select("stratum", "doc_id")
 
 
+@query("win15_seeded_sample")
+def win15_seeded(t):
+    from ..operators.sampling import seeded_sample
+
+    rows = t.documents.select(F.concat_ws("|", "source", "lang").alias("stratum"), "source", "doc_id")
+    return seeded_sample(rows, "stratum", ["source", "doc_id"], 120, 80, 20261001).select("stratum", "doc_id", "split")
+
+
+@query(
+    "win14_layered_pick",
+    """WITH d AS (SELECT doc_id, n_chars, source, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)), a AS (SELECT 'toxic' AS layer, doc_id FROM d WHERE toxic = 1 ORDER BY source, doc_id LIMIT 4),
+    b AS (SELECT 'foreign' AS layer, doc_id FROM d WHERE lang <> 'en' AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY source, doc_id LIMIT 5), e AS (SELECT 'poor' AS layer, doc_id FROM d WHERE quality = 0 AND doc_id NOT IN (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) ORDER BY source, doc_id LIMIT 5),
+    f AS (SELECT 'longest' AS layer, doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b UNION ALL SELECT doc_id FROM e) ORDER BY n_chars DESC, doc_id LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f""",
+)
+def win14_layered(t):
+    from ..operators.sampling import layered_sample
+
+    d = t.documents.select("doc_id", "n_chars", "source", "lang").join(t.labels, "doc_id", "left")
+    layers = [("toxic", c("toxic") == 1, 4), ("foreign", c("lang") != "en", 8), ("poor", c("quality") == 0, 5), ("longest", F.lit(True), 1, [F.desc("n_chars"), c("doc_id")])]
+    return layered_sample(d, layers, ["doc_id"], [c("source"), c("doc_id")], 5).select("layer", "doc_id")
+
+
 @query("top1_total_order", "SELECT o_orderkey, round(o_totalprice, 2) AS score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def top1(t):
     return t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", F.round("o_totalprice", 2).alias("score"))
@@ -532,6 +555,21 @@ def set4(t):
     return a.unionByName(b).distinct().groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+@query(
+    "set4_bundle_conflicts",
+    """WITH m AS (SELECT l_suppkey % 3 AS batch, 'block-' || l_partkey || '-' || l_linenumber || '.json' AS name, l_returnflag AS source, l_orderkey AS doc_id, l_linestatus AS version_id, (l_linenumber % 2)::VARCHAR AS extraction_id, l_linenumber AS page, l_partkey || '/' || l_suppkey AS block_id FROM lineitem WHERE l_suppkey % 3 < 2),
+    s AS (SELECT 0 AS rule, source || '/' || doc_id AS subject, count(DISTINCT version_id) AS n FROM m GROUP BY 2 UNION ALL SELECT 1, source || '/' || doc_id || '/' || version_id, count(DISTINCT extraction_id) FROM m GROUP BY 2 UNION ALL SELECT 2, source || '/' || doc_id || '/' || version_id || '/' || page, count(*) FROM m GROUP BY 2
+    UNION ALL SELECT 3, block_id, count(*) FROM m GROUP BY 2 UNION ALL SELECT 4, name, count(*) FROM m GROUP BY 2 UNION ALL SELECT 5, p_brand, count(DISTINCT sha256(p_type)) FROM part GROUP BY 2) SELECT rule, subject, n FROM s WHERE n > 1""",
+)
+def set4_conflicts(t):
+    from ..operators.batches import bundle_conflicts
+
+    text = lambda *parts: F.concat(*(F.lit(p) if p in ("block-", "-", ".json", "/") else c(p).cast("string") for p in parts))
+    m = t.lineitem.where("l_suppkey % 3 < 2").select((c("l_suppkey") % 3).alias("batch"), text("block-", "l_partkey", "-", "l_linenumber", ".json").alias("name"), c("l_returnflag").alias("source"), c("l_orderkey").alias("doc_id"), c("l_linestatus").alias("version_id"), (c("l_linenumber") % 2).cast("string").alias("extraction_id"), F.lit("s").alias("snapshot_sha256"), c("l_linenumber").alias("page"), text("l_partkey", "/", "l_suppkey").alias("block_id"))
+    assets = t.part.select((c("p_partkey") % 3).alias("batch"), c("p_brand").alias("name"), F.sha2("p_type", 256).alias("sha256"))
+    return bundle_conflicts(m, assets).select("rule", "subject", "n")
+
+
 @query("set5_issue_union", "SELECT l_orderkey, string_agg(DISTINCT x, ',' ORDER BY x) AS issues FROM (SELECT l_orderkey, unnest([l_returnflag, l_linestatus]) AS x FROM lineitem) GROUP BY 1")
 def set5(t):
     issues = F.array_sort(F.array_union(F.collect_set("l_returnflag"), F.collect_set("l_linestatus")))
