@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
 
 
@@ -21,21 +21,22 @@ def deduplicated(events: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def once_sink(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer: a batch goes to its own directory, which a replay overwrites, and rows seen in earlier batches are dropped."""
+def batch_sink(target: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer: each batch has its own directory, which a replay of the batch overwrites. Nothing that was written is read again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-        new = batch.dropDuplicates(keys)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            earlier = spark.read.schema(StructType([*batch.schema, *spark.createDataFrame([], "batch long").schema])).parquet(target).where(F.col("batch") != number)
-            new = new.join(earlier.select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return write
 
 
+def once(events: DataFrame, keys: list[str], at: str, delay: str, target: str, checkpoint: str) -> StreamingQuery:
+    """A started query that writes each key of a stream once: what was seen is kept in the stream's state for as long as a repeat may come
+    (`delay` behind the newest event time), and a batch that is run again after a crash replaces what it wrote. Events with a null time are never late."""
+    fresh = events.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    return fresh.writeStream.foreachBatch(batch_sink(target)).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
 def tumbling(events: DataFrame, at: str, size: str, *keys: str) -> DataFrame:
     return _windowed(events, F.window(at, size), *keys)
 
@@ -56,34 +57,41 @@ def _windowed(events: DataFrame, window, *keys: str) -> DataFrame:
 class LeaseKeeper(StatefulProcessor):
     """Leases keyed by job: a claim starts one, done or failed ends it, and a timer gives it back when it expires.
 
-    Rows are (job_id, action, at_ms, lease_ms); results (job_id, status, attempts). Use with transformWithStateInPandas in processing time.
+    Rows are (job_id, action, at_ms, lease_ms); results (job_id, status, attempts). A timer of an earlier lease leaves a later one alone.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("lease", "status string, attempts int, until long")
+        self.state = handle.getValueState("lease", "status string, attempts int, until long, expires long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, attempts, until = self.state.get() if self.state.exists() else ("pending", 0, 0)
+        status, attempts, until, expires = self.state.get() if self.state.exists() else ("pending", 0, 0, 0)
         for r in (r for frame in rows for r in frame.sort_values("at_ms").itertuples()):
             if r.action == "claim" and (status == "pending" or (status == "running" and until <= r.at_ms)):
                 status, attempts, until = "running", attempts + 1, int(r.at_ms + r.lease_ms)
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(r.lease_ms))
+                expires = timerValues.getCurrentProcessingTimeInMs() + int(r.lease_ms)
+                self.handle.registerTimer(expires)
             elif r.action in ("done", "failed") and status == "running":
                 status = r.action
-        self.state.update((status, attempts, until))
+        self.state.update((status, attempts, until, expires))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts, until = self.state.get()
-        if status == "running":
-            self.state.update(("pending", attempts, until))
+        status, attempts, until, expires = self.state.get()
+        if status == "running" and expires <= timerValues.getCurrentProcessingTimeInMs():
+            self.state.update(("pending", attempts, until, expires))
             yield pd.DataFrame({"job_id": [key[0]], "status": ["pending"], "attempts": [attempts]})
 
     def close(self) -> None:
         pass
 
 
+def leases(events: DataFrame) -> DataFrame:
+    """(job_id, status, attempts) of a stream of (job_id, action, at_ms, lease_ms): a row for each change, also when a lease expires without an event. The stream needs
+    the RocksDB state store."""
+    return events.groupBy("job_id").transformWithStateInPandas(LeaseKeeper(), "job_id long, status string, attempts int", "append", "processingTime")
+
+
 def budget_granted(events: DataFrame, cap: float) -> DataFrame:
     """(request_id, granted) for a stream of (account, request_id, amount): requests of an account, in order, while its total stays within the cap."""
 
