@@ -152,3 +152,25 @@ def analysis_pages(t):
 def store_contents(t):
     counted = [publish.contents(getattr(t, name)).select(F.lit(name).alias("table"), "rows") for name in ("orders", "lineitem", "documents", "events")]
     return reduce(lambda a, b: a.unionByName(b), counted)
+
+
+_SECTIONS = """WITH l AS (SELECT doc_id, unnest(range(len(x))) AS o, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS n FROM l WHERE length(trim(line)) > 0),
+p AS (SELECT doc_id, (n - 1) // 3 AS section, 'lang ' || lang || chr(10) || chr(10) || string_agg('[' || n || '] ' || line, chr(10) ORDER BY n) AS prompt FROM b JOIN documents USING (doc_id) GROUP BY doc_id, lang, section),
+d AS (SELECT doc_id, section, 'read ' || md5(prompt) || ' [' || (section * 3 + 1) || ']' AS draft FROM p), w AS (SELECT doc_id, count(*) AS n, 'lang ' || any_value(lang) || chr(10) || chr(10) || string_agg('== section ' || (section + 1) || ' ==' || chr(10) || draft, chr(10) || chr(10) ORDER BY section) AS prompt, any_value(draft) AS single FROM d JOIN documents USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS sections, CASE WHEN n = 1 THEN single ELSE 'read ' || md5(prompt) || ' [1]' END AS draft FROM w"""
+
+
+@query("q6_section_run", _SECTIONS)
+def section_run(t):
+    """Every document, a line a block, three blocks a section; the model is a digest of its prompt that names the first evidence number it sees."""
+    import uuid
+
+    from ..operators import index, storage, tasks
+
+    first = F.coalesce(F.nullif(F.regexp_extract(c("prompt"), r"(?s)^[^\n]*\n\n\[(\d+)\]", 1), F.lit("")), F.lit("1"))
+    answer = lambda prompt: F.concat(F.lit("read "), F.md5(prompt), F.lit(" ["), first, F.lit("]"))
+    blocks = index.line_blocks(t.documents).select(c("doc_id").cast("string").alias("task_key"), "ordinal", "block_id", "text")
+    wanted = t.documents.select(c("doc_id").cast("string").alias("task_key"), F.concat(F.lit("lang "), "lang").alias("query"))
+    run = tasks.SectionRun(t.spark, f"{storage.shared_root(t.spark)}/stratafolio-sections-{uuid.uuid4().hex}")
+    out = run.run(wanted, lambda: blocks, answer, size=3, wave=1000)
+    return out.where("sections > 0").select(c("task_key").cast("long").alias("doc_id"), "sections", "draft")
