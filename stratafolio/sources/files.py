@@ -43,7 +43,7 @@ def read_export(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
     """One ordered export with \\n line ends; range-partitioned files in order."""
-    df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
+    df.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("lineSep", "\n").option("escape", "\"").option("emptyValue", "").csv(path)
 
 
 def markdown_cards(docs: DataFrame, title: str, body: str, key: str) -> DataFrame:
