@@ -16,6 +16,12 @@ def instant_of(text: Column) -> Column:
     return F.when(F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(F.trim(text)))
 
 
+def cutoff_of(text: Column) -> Column:
+    """The instant of a cutoff; null stays null, anything malformed is an error: a cutoff that can't be read must not become none."""
+    at = instant_of(text)
+    return F.when(text.isNull() | at.isNotNull(), at).otherwise(F.raise_error(F.concat(F.lit("malformed cutoff: "), text)).cast("timestamp"))
+
+
 def iso_day(text: Column) -> Column:
     """The leading day of a text, null where absent or not in the calendar."""
     trimmed = F.trim(text)

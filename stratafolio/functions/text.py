@@ -108,6 +108,24 @@ def safe_filename(name: Column, longest: int = 120) -> Column:
     return F.substring(F.when(cleaned == "", "unnamed").otherwise(cleaned), 1, longest)
 
 
+def safe_component(value: Column) -> Column:
+    """An identifier as a path component: a valid one as it is, another cleaned and with a short digest, so that no two meet."""
+    cleaned = F.substring(F.regexp_replace(value, r"[^\p{L}\p{N}._-]", "_"), 1, 96)
+    bare = F.regexp_replace(cleaned, r"^[._]+|[._]+$", "")
+    return F.when(valid_id(value), value).otherwise(F.concat(F.when(bare == "", "id").otherwise(bare), F.lit("-"), F.substring(F.sha2(value, 256), 1, 12)))
+
+
+def ascii_folded(value: Column) -> Column:
+    """The ASCII letters of a text once marks are taken off (NFKD); what has none is dropped."""
+
+    def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in values:
+            yield pa.array([v if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii") for v in batch.to_pylist()], pa.string())
+
+    run.__annotations__ = {"values": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")(value)
+
+
 def safe_url(url: Column) -> Column:
     trimmed = F.trim(url)
     return F.when(F.lower(trimmed).rlike("^https?://"), trimmed)
@@ -149,8 +167,10 @@ def reserved_tokens(text: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """Numbers cited as [n], distinct and ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d{1,9})\]"), 1), lambda n: n.cast("int"))))
+    """Numbers cited as [n], distinct and ascending; none is too long (up to 38 digits are told apart, longer ones are the greatest)."""
+    most = "9" * 38
+    digits = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), 1), lambda n: F.regexp_replace(n, "^0+(?=.)", ""))
+    return F.array_sort(F.array_distinct(F.transform(digits, lambda n: F.when(F.length(n) > 38, F.lit(most)).otherwise(n).cast("decimal(38,0)"))))
 
 
 def valid_citations(text: Column, sources: Column) -> Column:

@@ -91,13 +91,13 @@ def misbound_public_times(versions: DataFrame) -> DataFrame:
 
 
 # The status that each review action leads to.
-ACTIONS = {"confirm": "confirmed", "reject": "rejected", "dispute": "disputed", "revise": "draft", "supersede": "superseded"}
+ACTIONS = {"accept": "accepted", "reject": "rejected", "challenge": "challenged", "revise": "proposed", "supersede": "superseded"}
 
 
 def claim_states(revisions: DataFrame) -> DataFrame:
-    """(claim_id, revision, status): the newest of revisions (claim_id, revision, action); an unknown action keeps the claim a draft."""
+    """(claim_id, revision, status): the newest of revisions (claim_id, revision, action); an unknown action leaves it proposed."""
     newest = revisions.groupBy("claim_id").agg(F.max(F.struct("revision", "action")).alias("r"))
-    status = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv)), F.col("r.action")), F.lit("draft"))
+    status = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in ACTIONS.items() for x in kv)), F.col("r.action")), F.lit("proposed"))
     return newest.select("claim_id", "r.revision", status.alias("status"))
 
 

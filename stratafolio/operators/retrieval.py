@@ -42,40 +42,45 @@ def top(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, block: int = 1000) -> DataFrame:
+#: Vectors and queries that meet as one block.
+VECTORS, QUERIES = 4096, 1000
+BLOCK = "ids binary, matrix binary"
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, embedding) as blocks of unit vectors; a zero vector stays zero."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            e = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+            length = np.sqrt((e * e).sum(axis=1, keepdims=True))
+            unit = e / np.where(length == 0, 1.0, length)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+
+def _met(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The best n of a block of vectors for each query of a block."""
+    for batch in batches:
+        for ids, matrix, query_ids, query_matrix in zip(*(batch.column(c) for c in ("ids", "matrix", "query_ids", "query_matrix"))):
+            own, asked = np.frombuffer(ids.as_py(), np.int64), np.frombuffer(query_ids.as_py(), np.int64)
+            s = np.frombuffer(query_matrix.as_py(), np.float64).reshape(len(asked), -1) @ np.frombuffer(matrix.as_py(), np.float64).reshape(len(own), -1).T
+            order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "id", "similarity"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id, similarity, rank): the n most similar vectors (id, embedding) of each query (query_id, embedding).
 
-    Queries are a stated set of any size that fits the driver; they go to the tasks in blocks, and each task keeps the best n of each query before anything
-    is shuffled. Ties go to the smaller id; a zero vector is similar to nothing.
+    A stated set of queries meets all vectors, block against block: queries are dealt to numbered blocks, each block of vectors goes to each of them by a join, and only the best
+    n of a pair of blocks go on. Nothing passes the driver but the number of queries. Ties go to the smaller id; a zero vector is similar to nothing.
     """
-    rows = [(r.query_id, r.embedding) for r in queries.collect()]
-    out = None
-    for k in range(0, max(len(rows), 1), block):
-        ids = np.array([i for i, _ in rows[k : k + block]], np.int64)
-        q = np.array([e for _, e in rows[k : k + block]], np.float64).reshape(len(ids), -1)
-        found = vectors.select("id", "embedding").mapInArrow(_best(ids, q, n), "query_id long, id long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    return top(out, ["query_id"], n, F.desc("similarity"), F.asc("id"))
-
-
-def _best(ids: np.ndarray, q: np.ndarray, n: int):
-    def length(a: np.ndarray) -> np.ndarray:
-        x = np.sqrt((a * a).sum(axis=1, keepdims=True))
-        return np.where(x == 0, 1.0, x)
-
-    unit = q / length(q) if len(ids) else q
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches if len(ids) else ():
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                e = np.array(part.column("embedding").to_pylist(), np.float64)
-                own = part.column("id").to_numpy()
-                s = unit @ (e / length(e)).T
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "id", "similarity"])
-
-    return run
+    blocks = max(1, -(-queries.count() // QUERIES))
+    dealt = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").repartition(blocks, "query_id")
+    asked = dealt.mapInArrow(lambda it: _blocked(it, QUERIES), BLOCK).select(F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"), F.pmod(F.xxhash64("ids"), F.lit(blocks)).alias("block"))
+    held = vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(lambda it: _blocked(it, VECTORS), BLOCK)
+    met = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block")
+    found = met.select("ids", "matrix", "query_ids", "query_matrix").mapInArrow(lambda it: _met(it, n), "query_id long, id long, similarity double")
+    return top(found, ["query_id"], n, F.desc("similarity"), F.asc("id"))
 
 
 def fused(*rankings: DataFrame) -> DataFrame:

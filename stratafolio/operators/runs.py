@@ -116,7 +116,7 @@ def verified_runs(runs: DataFrame, evidence: DataFrame, answer: Callable[[Column
     asked = rated.where("error IS NULL").withColumn("draft", answer(F.col("prompt"))).withColumn("error", F.when(F.col("draft").isNull(), "provider_call_failed"))
     both = refused.unionByName(asked).withColumn("numbers", citations(F.col("draft")))
     known = lambda n: (n >= 1) & (n <= F.size("blocks"))
-    cited = F.transform(F.filter("numbers", known), lambda n: F.element_at(F.col("blocks"), n)["block_id"])
+    cited = F.transform(F.filter("numbers", known), lambda n: F.element_at(F.col("blocks"), n.cast("int"))["block_id"])
     return both.select("run_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), "error", "prompt_tokens", "draft", cited.alias("cited"), F.filter("numbers", lambda n: ~known(n)).alias("invalid"))
 
 

@@ -78,7 +78,7 @@ def search(store: index.IndexStore, generation: str, queries: DataFrame, authori
     """
     limit = max(1, min(int(limit), MOST_HITS))
     few = [r.term for r in queries.select("term").distinct().limit(retrieval.FEW_TERMS_READ + 1).collect()]
-    found = store.postings_of(few, generation) if len(few) <= retrieval.FEW_TERMS_READ else store.postings(generation)
+    found = store.postings_of(few, generation) if len(few) <= retrieval.FEW_TERMS_READ else store.postings_with(queries, generation)
     scores = written(retrieval.bm25(found, store.blocks(generation), queries, allowed, store.sizes(generation), terms=True).withColumn("score", F.round("score", 9)))
     most = scores.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     taken = CANDIDATES_A_HIT * limit

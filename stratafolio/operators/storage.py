@@ -50,3 +50,13 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
         f = found.next()
         out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
     return sorted(out)
+
+
+def stored(df: DataFrame, format: str = "parquet", **options) -> str:
+    """The place of df's files in the shared folder, in a format of Spark's; they go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/stratafolio-files-{uuid.uuid4().hex}"
+    df.write.options(**options).format(format).save(path)
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+    return path

@@ -76,10 +76,17 @@ def image_blocks(t):
     return out.select("doc_id", F.md5("text").alias("text"), F.coalesce("issue", F.lit("")).alias("issue"))
 
 
-@query("arr1_text_offsets", "SELECT conv_id, turn, 0 AS ordinal, 0 AS start_char, length(text) AS end_char FROM conversations WHERE text = trim(text) AND length(text) > 0 AND NOT regexp_matches(text, '\\n\\s*\\n')".replace("\\\\", "\\"))
+@query(
+    "arr1_text_offsets",
+    r"""WITH p AS (SELECT doc_id, unnest(range(len(x))) AS k, unnest(x) AS piece, unnest(s) AS gap FROM (SELECT doc_id, regexp_split_to_array(t, '\n\s*\n') AS x, list_prepend('', regexp_extract_all(t, '\n\s*\n')) AS s FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '\. ', chr(10) || ' ' || chr(10) || '  ', 'g') ELSE text END AS t FROM documents))),
+    o AS (SELECT *, sum(length(gap) + length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS begin FROM p), w AS (SELECT *, length(piece) - length(ltrim(piece, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS lead, length(trim(piece, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))) AS n FROM o)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS ordinal, (begin + lead)::BIGINT AS start_char, (begin + lead + n)::BIGINT AS end_char FROM w WHERE n > 0""",
+)
 def text(t):
-    plain = t.conversations.where("text = trim(text) AND length(text) > 0").where(~c("text").rlike(r"\n\s*\n"))
-    return documents.extracted(plain, ["conv_id", "turn"], "text", F.lit("txt")).select("conv_id", "turn", "ordinal", "start_char", c("end_char").cast("long").alias("end_char"))
+    """Whole documents; in half of them sentences become paragraphs of their own."""
+    many = F.when(c("doc_id") % 2 == 0, F.regexp_replace("text", r"\. ", "\n \n  ")).otherwise(c("text"))
+    found = documents.extracted(t.documents.select("doc_id", many.alias("text")), ["doc_id"], "text", F.lit("txt"))
+    return found.select("doc_id", "ordinal", c("start_char").cast("long").alias("start_char"), c("end_char").cast("long").alias("end_char"))
 
 
 @query("snk3_vault_cards", "SELECT c_custkey || '.md' AS path, '---' || chr(10) || 'title: \"' || c_name || '\"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || replace(c_name, '#', '\\#') || chr(10) || chr(10) || c_mktsegment || chr(10) AS content FROM customer")

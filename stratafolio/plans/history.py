@@ -108,9 +108,9 @@ def aud10(t):
     return d.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query("mem1_claim_states", "SELECT conv_id AS claim_id, max(turn) AS revision, CASE arg_max(role, turn) WHEN 'assistant' THEN 'confirmed' WHEN 'system' THEN 'rejected' ELSE 'draft' END AS status FROM conversations GROUP BY 1")
+@query("mem1_claim_states", "SELECT conv_id AS claim_id, max(turn) AS revision, CASE arg_max(role, turn) WHEN 'assistant' THEN 'accepted' WHEN 'system' THEN 'rejected' ELSE 'proposed' END AS status FROM conversations GROUP BY 1")
 def mem1(t):
-    action = F.when(c("role") == "assistant", "confirm").when(c("role") == "system", "reject").otherwise("comment")
+    action = F.when(c("role") == "assistant", "accept").when(c("role") == "system", "reject").otherwise("comment")
     return history.claim_states(t.conversations.select(c("conv_id").alias("claim_id"), c("turn").alias("revision"), action.alias("action")))
 
 

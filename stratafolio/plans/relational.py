@@ -22,12 +22,26 @@ def ymd(col):
     return F.date_format(col, "yyyy-MM-dd")
 
 
-@query("src1_archive_scan", "SELECT o.o_orderkey, count(l.l_linenumber) AS artifacts, CASE WHEN count(l.l_linenumber) = 0 THEN 'missing' WHEN count(DISTINCT l.l_returnflag) > 1 THEN 'conflict' ELSE 'ready' END AS state, any_value(o.o_orderstatus) = 'F' AND count(l.l_linenumber) > 0 AND count(DISTINCT l.l_returnflag) = 1 AS available FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linestatus = 'F' GROUP BY 1")
+@query("src1_archive_scan", "WITH a AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_linenumber = 1) AS current FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) SELECT o_orderkey, coalesce(n, 0) AS artifacts, CASE WHEN n IS NULL THEN 'missing' WHEN current > 1 THEN 'conflict' ELSE 'ready' END AS state, o_orderstatus = 'F' AND coalesce(current, 0) = 1 AS available FROM orders LEFT JOIN a ON l_orderkey = o_orderkey")
 def archive_scan(t):
-    artifacts = t.lineitem.where("l_linestatus = 'F'").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.collect_set("l_returnflag").alias("flags"))
-    d = t.orders.join(artifacts, c("l_orderkey") == c("o_orderkey"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    state = F.when(c("n") == 0, "missing").when(F.size("flags") > 1, "conflict").otherwise("ready")
-    return d.select("o_orderkey", c("n").alias("artifacts"), state.alias("state"), ((c("o_orderstatus") == "F") & (state == "ready")).alias("available"))
+    """An archive of Parquet files, read as one snapshot."""
+    from ..operators.storage import stored
+    from ..sources.files import read_archive
+
+    manifest = t.orders.select(c("o_orderkey").cast("string").alias("report_id"), F.when(c("o_orderstatus") == "F", "done").otherwise("open").alias("status"), F.lit("a1").alias("current_artifact_id"))
+    artifacts = t.lineitem.select(c("l_orderkey").cast("string").alias("report_id"), F.concat(F.lit("a"), "l_linenumber").alias("artifact_id"), F.md5(c("l_partkey").cast("string")).alias("sha256"), c("l_partkey").alias("bytes"), F.lit("pdf").alias("media_type"), F.when(c("l_linestatus") == "F", "ready").otherwise("failed").alias("state"))
+    d = read_archive(t.spark, stored(manifest), stored(artifacts))
+    return d.select(c("report_id").cast("long").alias("o_orderkey"), F.coalesce(F.size("artifacts"), F.lit(0)).cast("long").alias("artifacts"), c("archive_state").alias("state"), "available")
+
+
+@query("src2_export_scan", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS text, n_chars FROM documents")
+def export_scan_lines(t):
+    """An export of JSON lines, where a bad line or a repeated document is an error."""
+    from ..operators.storage import stored
+    from ..sources.files import read_export
+
+    path = stored(t.documents.select(c("doc_id").cast("string").alias("doc_id"), "text", "n_chars"), "json")
+    return read_export(t.spark, path, "doc_id string, text string, n_chars long").select("doc_id", F.md5("text").alias("text"), "n_chars")
 
 
 @query("src2_export_duplicates", "SELECT source, count(*) - count(DISTINCT md5(text)) AS duplicates, count(*) AS rows FROM documents GROUP BY 1")
@@ -45,11 +59,27 @@ def catalog_csv(t):
     return t.customer.where("c_acctbal > 0").select(F.concat_ws(",", "c_custkey", "c_name", "c_mktsegment").alias("line"))
 
 
-@query("snk8_unpublished", "SELECT conv_id, max(turn) AS revision FROM conversations GROUP BY 1 HAVING max(turn) NOT IN (SELECT max(turn) FROM conversations WHERE role = 'system')")
+@query("snk2_catalog_export", "SELECT c_custkey || ',' || CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN chr(34) || c_name || ', a ' || chr(34) || chr(34) || 'b' || chr(34) || chr(34) || chr(34) ELSE '' END || ',' || c_mktsegment AS line FROM customer")
+def catalog_export(t):
+    """Ordered files with quoting as a reader of CSV expects it, read back as lines."""
+    import uuid
+
+    from ..operators.storage import shared_root
+    from ..sources.files import write_csv
+
+    k = c("c_custkey") % 3
+    title = F.when(k == 0, c("c_name")).when(k == 1, F.concat("c_name", F.lit(', a "b"')))
+    path = f"{shared_root(t.spark)}/stratafolio-csv-{uuid.uuid4().hex}"
+    write_csv(t.customer.select("c_custkey", title.alias("title"), "c_mktsegment"), path, ["c_custkey", "title", "c_mktsegment"], ["c_custkey"])
+    return t.spark.read.text(path).where("value <> 'c_custkey,title,c_mktsegment'").select(c("value").alias("line"))
+
+
+@query("snk8_unpublished", "WITH n AS (SELECT conv_id, max(turn) AS revision FROM conversations GROUP BY 1) SELECT conv_id, revision FROM n WHERE NOT EXISTS (SELECT 1 FROM conversations l WHERE l.conv_id = n.conv_id AND l.turn = n.revision AND l.role = 'assistant')")
 def unpublished(t):
-    newest = t.conversations.groupBy("conv_id").agg(F.max("turn").alias("revision"))
-    log = t.conversations.where("role = 'system'").agg(F.max("turn").alias("revision"))
-    return newest.join(log, "revision", "left_anti").select("conv_id", "revision")
+    from ..operators.reports import unpublished as of
+
+    rows = t.conversations.select(c("conv_id").alias("entity"), c("turn").alias("revision"), "role")
+    return of(rows, rows.where("role = 'assistant'")).select(c("entity").alias("conv_id"), "revision")
 
 
 @query("flt1_search_filter", f"SELECT o_orderkey, strftime(o_orderdate, '{DAY}') AS day FROM orders WHERE o_orderstatus IN ('F', 'O') AND upper(o_orderpriority) IN ('1-URGENT', '2-HIGH') AND strftime(o_orderdate, '{DAY}') BETWEEN '1995-01-01' AND '1996-12-31'")
@@ -81,6 +111,17 @@ def directory(t):
     return listed.join(v, c("o_custkey") == c("c_custkey"), "left").select("c_custkey", "c_name", F.coalesce("version_count", F.lit(0)).alias("version_count"), "current_version")
 
 
+@query("flt4_directory_flags", "WITH v AS (SELECT o_custkey, count(*) AS version_count, max(o_orderkey) FILTER (o_orderstatus = 'O') AS current_version_id FROM orders GROUP BY 1) SELECT c_custkey, coalesce(version_count, 0) AS version_count, current_version_id, CASE WHEN c_acctbal < 0 THEN 'negative' ELSE '' END || CASE WHEN c_nationkey = 3 THEN ',third' ELSE '' END AS flags, (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS total FROM customer LEFT JOIN v ON o_custkey = c_custkey WHERE c_mktsegment <> 'BUILDING' ORDER BY c_name DESC, c_custkey LIMIT 20 OFFSET 30")
+def directory_flags(t):
+    from ..operators import reports
+
+    docs = t.customer.where("c_mktsegment <> 'BUILDING'").select(c("c_custkey").alias("key"), "c_name", "c_acctbal", "c_nationkey")
+    versions = t.orders.select(c("o_custkey").alias("key"), c("o_orderkey").alias("version_id"), (c("o_orderstatus") == "O").alias("is_current"))
+    flags = F.concat(F.when(c("c_acctbal") < 0, "negative").otherwise(""), F.when(c("c_nationkey") == 3, ",third").otherwise(""))
+    page, total = reports.directory(docs, versions, flags, [F.desc("c_name"), c("key")], 20, 30)
+    return page.select(c("key").alias("c_custkey"), "version_count", "current_version_id", "flags", F.lit(total).cast("long").alias("total"))
+
+
 @query("flt5_document_detail", f"SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '{DAY}') AS observed, max(l_linenumber) AS latest FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = 7 GROUP BY ALL")
 def detail(t):
     versions = t.orders.where("o_custkey = 7")
@@ -222,9 +263,11 @@ def jn16(t):
 
 @query("jn17_referencing_claims", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 10)")
 def jn17(t):
-    claims = t.lineitem.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("evidence"))
-    cited = t.part.where("p_size = 10").select(c("p_partkey").alias("ref"))
-    return claims.select("l_orderkey", F.explode("evidence").alias("ref")).join(cited, "ref", "left_semi").select("l_orderkey").distinct()
+    from ..operators.reports import claims_citing
+
+    ref = F.struct(F.struct(c("l_partkey").cast("string").alias("doc_id"), c("l_linenumber").alias("n")).alias("source"))
+    claims = t.lineitem.groupBy(c("l_orderkey").alias("claim_id")).agg(F.to_json(F.collect_list(ref)).alias("evidence"))  # the lines of one order
+    return claims_citing(claims, t.part.where("p_size = 10").select(c("p_partkey").alias("doc_id"))).select(c("claim_id").alias("l_orderkey")).distinct()
 
 
 @query("jn19_invalidation_fan_out", "WITH hit AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_partkey IN (1, 2, 3)) SELECT 'claim' AS kind, l_orderkey AS id FROM hit UNION SELECT 'summary', o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM hit)")
@@ -317,6 +360,35 @@ def agg13(t):
     return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(c("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")).alias("recent"))
 
 
+@query(
+    "agg13_operations",
+    """SELECT 'jobs' AS part, event_type || '/' || CASE user_id % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'done' ELSE 'pending' END AS name, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'failed', '48h', count(*) FROM events WHERE user_id % 3 = 0 AND ts BETWEEN TIMESTAMP '2024-01-18 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'
+    UNION ALL SELECT 'outbox', role || '/' || CASE WHEN turn > 2 THEN 'done' ELSE 'pending' END, count(*) FROM conversations GROUP BY 2 UNION ALL SELECT 'generation', 'gen-1', 1""",
+)
+def operations(t):
+    from ..operators import reports
+
+    k = c("user_id") % 3
+    jobs = t.events.select(c("event_type").alias("stage"), F.when(k == 0, "failed").when(k == 1, "done").otherwise("pending").alias("status"), c("ts").cast("timestamp_ntz").alias("updated_at"))
+    boxes = t.conversations.select(c("role").alias("box"), F.when(c("turn") > 2, "done").otherwise("pending").alias("status"))
+    return reports.operations(jobs, boxes, "gen-1", F.lit("2024-01-20").cast("timestamp_ntz"), 48)
+
+
+@query(
+    "agg14_page_damage",
+    r"""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS o, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), b AS (SELECT doc_id, CASE WHEN o // 3 = 0 THEN 1 ELSE o // 3 END AS page, length(line) AS n, (len(regexp_extract_all(line, '[\x{a0}-\x{ff}]{6,}')) >= 3 OR regexp_matches(line, '[\x{a0}-\x{ff}]{18,}')) AS glyphs, o % 7 = 3 AS marked FROM l)
+    SELECT doc_id, page, sum(n)::BIGINT AS chars, concat_ws(',', CASE WHEN bool_or(glyphs) THEN 'cid_style_glyph_runs' END, CASE WHEN bool_or(marked) THEN 'damaged_text_layer' END) AS damage, coalesce(['text_layer', 'ocr_applied'][page], '') AS recorded FROM b GROUP BY 1, 2""".replace("\\\\", "\\"),
+)
+def page_damage(t):
+    from ..operators import reports
+
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("o", "text"))
+    blocks = lines.select("doc_id", F.floor(c("o") / 3).cast("int").alias("page"), "text", F.when(c("o") % 7 == 3, F.array(F.lit("damaged_text_layer"), F.lit("other"))).alias("issues"))
+    statuses = t.documents.select("doc_id", F.array(F.lit("text_layer"), F.lit("ocr_applied")).alias("page_ocr_status"))
+    out = reports.page_classes(blocks, statuses, "doc_id")
+    return out.select("doc_id", c("page").cast("long").alias("page"), "chars", F.array_join("damage", ",").alias("damage"), F.coalesce("recorded_status", F.lit("")).alias("recorded"))
+
+
 @query("agg14_page_classes", "SELECT l_orderkey, sum(l_quantity) AS chars, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS tags FROM lineitem GROUP BY 1")
 def agg14(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("chars"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("tags"))

@@ -31,7 +31,7 @@ def generation(t):
 def searched(t, where: str = "item_id = 0", visible=None):
     (store, active), queries = generation(t), terms_of(t, where)
     terms = [r.term for r in queries.select("term").distinct().limit(retrieval.FEW_TERMS_READ + 1).collect()]
-    found = store.postings_of(terms, active) if len(terms) <= retrieval.FEW_TERMS_READ else store.postings(active)
+    found = store.postings_of(terms, active) if len(terms) <= retrieval.FEW_TERMS_READ else store.postings_with(queries, active)
     return retrieval.bm25(found, store.blocks(active), queries, visible and visible(store.blocks(active)), store.sizes(active))
 
 

@@ -75,20 +75,36 @@ def single_spaced(t):
     return t.documents.select("doc_id", F.md5(text.single_spaced(F.col("text"))).alias("digest"))
 
 
-@query("str12_display_title", "SELECT page_id, url AS display FROM pages WHERE url NOT LIKE '%\\%%' ESCAPE '\\'")
+@query("str12_display_title", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN trim(url) || ' 100%' ELSE trim(url) END AS display FROM pages")
 def titles(t):
-    return t.pages.where(~F.contains("url", F.lit("%"))).select("page_id", text.display_title(F.regexp_replace(F.col("url"), "/", "%2F")).alias("display"))
+    """A third can't be decoded whole and stays as it is; another third has its marks decoded, non-ASCII ones too."""
+    coded = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(" 100%"))).when(F.col("page_id") % 3 == 1, F.regexp_replace(F.col("url"), "/", "%2F")).otherwise(F.concat(F.lit(" "), "url"))
+    return t.pages.select("page_id", text.display_title(coded).alias("display"))
 
 
 @query(
     "str13_escapes",
-    r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html,
-    md5('"' || replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') || '"') AS yaml,
-    md5(replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]()#+.!|<>&~])', '\\\1', 'g'), chr(10), ' ')) AS markdown FROM documents WHERE text NOT LIKE '%' || chr(13) || '%'""",
+    r"""SELECT doc_id, md5(replace(replace(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html,
+    md5('"' || replace(replace(replace(replace(line, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(9), '\t') || '"') AS yaml,
+    md5(replace(regexp_replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]()#+.!|<>&~])', '\\\1', 'g'), chr(10), ' ')) AS markdown,
+    md5(regexp_replace(line, '([\\`*_{}\[\]()<>#!|$~])', '\\\1', 'g')) AS literal FROM (SELECT doc_id, raw, replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS line FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(13) || chr(10)) ELSE text END AS raw FROM documents))""",
 )
 def escapes(t):
-    d = t.documents.where(~F.contains("text", F.lit("\r")))
-    return d.select("doc_id", F.md5(text.html_escape(F.col("text"))).alias("html"), F.md5(text.yaml_scalar(F.col("text"))).alias("yaml"), F.md5(text.markdown_text(F.col("text"))).alias("markdown"))
+    from ..sources.publish import literal
+
+    raw = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    d = t.documents.select("doc_id", raw.alias("raw"))
+    return d.select("doc_id", F.md5(text.html_escape(F.col("raw"))).alias("html"), F.md5(text.yaml_scalar(F.col("raw"))).alias("yaml"), F.md5(text.markdown_text(F.col("raw"))).alias("markdown"), F.md5(literal(F.col("raw"))).alias("literal"))
+
+
+@query(
+    "str14_components",
+    r"""SELECT page_id, CASE WHEN regexp_full_match(v, '[A-Za-z0-9][A-Za-z0-9._:-]{0,199}') THEN v ELSE CASE WHEN k = '' THEN 'id' ELSE k END || '-' || substr(sha256(v), 1, 12) END AS component, strip_accents(v) AS folded FROM (SELECT *, trim(substr(regexp_replace(v, '[^A-Za-z0-9._\-é]', '_', 'g'), 1, 96), '._') AS k FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'page-' || page_id WHEN 1 THEN '../' || url WHEN 2 THEN 'é ' || url ELSE '..' END AS v FROM pages))""",
+)
+def components(t):
+    k, url = F.col("page_id") % 4, F.col("url")
+    v = F.when(k == 0, F.concat(F.lit("page-"), "page_id")).when(k == 1, F.concat(F.lit("../"), url)).when(k == 2, F.concat(F.lit("é "), url)).otherwise("..")
+    return t.pages.select("page_id", text.safe_component(v).alias("component"), text.ascii_folded(v).alias("folded"))
 
 
 @query(
@@ -111,9 +127,9 @@ def estimates(t):
     return t.documents.select("doc_id", text.estimated_tokens(F.col("text")).alias("estimated"), text.reserved_tokens(F.col("text")).alias("reserved"))
 
 
-@query("str17_citations", r"SELECT doc_id, array_to_string(list_filter(c, lambda n: n >= 1 AND n <= 50), ',') AS valid, array_to_string(c, ',') AS cited FROM (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all('[' || doc_id || '] see [' || (n_chars % 100) || '], [' || (doc_id % 7) || ']', '\[(\d+)\]', 1), lambda x: CAST(x AS INT)))) AS c FROM documents)")
+@query("str17_citations", r"SELECT doc_id, array_to_string(list_filter(c, lambda n: n >= 1 AND n <= 50), ',') AS valid, array_to_string(c, ',') AS cited FROM (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all('[' || doc_id || '] see [' || (n_chars % 100) || '], [' || (doc_id % 7) || '] and [00012345678901234567890' || doc_id || ']', '\[(\d+)\]', 1), lambda x: CAST(x AS HUGEINT)))) AS c FROM documents)")
 def cited(t):
-    said = F.concat(F.lit("["), F.col("doc_id"), F.lit("] see ["), F.col("n_chars") % 100, F.lit("], ["), F.col("doc_id") % 7, F.lit("]"))
+    said = F.concat(F.lit("["), F.col("doc_id"), F.lit("] see ["), F.col("n_chars") % 100, F.lit("], ["), F.col("doc_id") % 7, F.lit("] and [00012345678901234567890"), F.col("doc_id"), F.lit("]"))
     return t.documents.select("doc_id", F.array_join(text.valid_citations(said, F.lit(50)).cast("array<string>"), ",").alias("valid"), F.array_join(text.citations(said).cast("array<string>"), ",").alias("cited"))
 
 
@@ -295,8 +311,22 @@ def redact(t):
     return t.pages.select("page_id", text.redacted(F.concat(F.lit("token=abc"), F.col("page_id"), F.lit(" "), F.col("url"))).alias("said"))
 
 
-@query("str11_decoded", "SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || '.' ELSE '' END) AS text, CASE WHEN doc_id % 3 = 0 THEN 'utf-8-replaced' ELSE 'utf-8' END AS encoding FROM documents WHERE text IS NOT NULL")
+@query("str11_decoded", "SELECT doc_id, md5(text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || '.' ELSE '' END) AS text, CASE WHEN doc_id % 3 = 0 THEN 'utf-8-replaced' ELSE 'utf-8' END AS encoding FROM documents")
 def decoded_bytes(t):
     raw = F.concat(F.col("text").cast("binary"), F.when(F.col("doc_id") % 3 == 0, F.lit(b"\xff.")).otherwise(F.lit(b"")))
-    d = t.documents.where("text IS NOT NULL").select("doc_id", text.decoded(raw).alias("d"))
+    d = t.documents.select("doc_id", text.decoded(raw).alias("d"))
     return d.select("doc_id", F.md5("d.text").alias("text"), "d.encoding")
+
+
+@query("mth7_half_even", "SELECT l_orderkey, l_linenumber, round_even((l_partkey * 7 + l_linenumber) / 32.0::DOUBLE, 4) AS score, round_even(1 / (60 + l_suppkey)::DOUBLE, 6) AS fused FROM lineitem")
+def half_even(t):
+    """Sums of thirty-seconds end in ties at the fifth place, which both go to the even side."""
+    score = (F.col("l_partkey") * 7 + F.col("l_linenumber")) / F.lit(32.0)
+    return t.lineitem.select("l_orderkey", "l_linenumber", numbers.half_even(score, 4).alias("score"), numbers.half_even(F.lit(1.0) / (F.lit(60) + F.col("l_suppkey")), 6).alias("fused"))
+
+
+@query("dt2_cutoff", "SELECT event_id, strftime(CASE event_id % 3 WHEN 2 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END - CASE event_id % 3 WHEN 1 THEN INTERVAL 8 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS cutoff FROM events")
+def cutoffs(t):
+    k, ts = F.col("event_id") % 3, F.col("ts")
+    said = F.when(k == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+08:00"))).otherwise(F.date_format(ts, "yyyy-MM-dd"))
+    return t.events.select("event_id", F.date_format(dates.cutoff_of(said), "yyyy-MM-dd HH:mm:ss").alias("cutoff"))

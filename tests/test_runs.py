@@ -4,19 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratafolio.operators import runs
-from stratafolio.plans import ORACLES
 from stratafolio.sources import publish
 
-from . import test_queries
-
-OURS = sorted(n for n in ORACLES if n.split("_")[0] in ("scd6", "q5", "q6", "q11", "udf6", "snk5", "snk6", "snk7", "snk11"))
-
-
-@pytest.mark.parametrize("name", OURS)
-def test_runs_and_pages(spark, sf, name):
-    test_queries.test_oracle(spark, sf, name)
-
-
 def test_second_sync_adds_nothing(spark):
     none = "source string, doc_id string, version_id string, stage string, recipe string"
     catalog = spark.createDataFrame([("a", "1", "v1", "s", "ready"), ("a", "1", "v1", "s", "ready"), ("a", "2", None, None, None), ("b", "1", "v1", "s", "conflict")], "source string, doc_id string, version_id string, sha256 string, state string")
