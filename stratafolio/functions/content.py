@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import estimated_tokens
 
-# Page states and their categories, roles of excluded fragments, marks of page objects and of object streams.
+# Page states and their categories, roles of excluded fragments, marks of page objects and of object streams. The texts of errors below are fixed, too.
 CATEGORIES = {"text_layer": "native", "ocr_applied": "ocr"}
 ROLES = ("axis", "legend", "unassigned_value")
 PAGE_OBJECT = r"/Type\s*/Page[^s]"
@@ -122,6 +122,52 @@ def projected(text: Column, spans: Column, captions: Column) -> Column:
     return F.struct(error.alias("error"), F.when(error.isNull(), whole).alias("text"), F.when(error.isNull(), size).alias("excluded_characters"))
 
 
+# The policy of projections, how their text was mapped, their coordinates, and kinds of regions.
+POLICY, COORDINATES = "chart-content-v1", "normalized-top-left"
+MAPPINGS = ("reviewed-exact-spans", "visually-reviewed-exact-spans", "pdf-character-bbox-exact-whitespace-normalized")
+REGIONS = ("chart", "table", "narrative", "navigation", "unknown")
+IDENTITY = ("source", "doc_id", "version_id", "extraction_id", "snapshot_sha256")
+
+
+def manifest_error(manifest: Column, block: Column) -> Column:
+    """The first rule of a projection's manifest that is broken, or null: what must hold before its spans are looked at (projected()).
+
+    manifest: policy, review_state, reviewer, the identity, block_id, text_sha256, page, mapping_method, coordinate_system, regions (id, kind, bbox, asset: name and sha256, caption); block: the same identity,
+    page and text, or null where there is no such block.
+    """
+    m, regions = manifest, manifest["regions"]
+    some = lambda f: F.coalesce(F.exists(regions, f), F.lit(False))
+    ids = F.transform(regions, lambda r: r["id"])
+    box = lambda r: r["bbox"]
+    at = lambda r, k: F.get(box(r), F.lit(k))
+    finite = lambda r: F.forall(box(r), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    inside = lambda r: (at(r, 0) >= 0) & (at(r, 0) < at(r, 2)) & (at(r, 2) <= 1) & (at(r, 1) >= 0) & (at(r, 1) < at(r, 3)) & (at(r, 3) <= 1)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    chart = lambda r: r["kind"] == "chart"
+    image = lambda r: r["asset"]["sha256"].rlike("^[0-9a-f]{64}$")
+    rules = [
+        (no((m["policy"] == POLICY) & (m["review_state"] == "confirmed") & (m["reviewer"] != "")), "projection requires confirmed reviewer and policy"),
+        (block.isNull(), "unknown block"),
+        *((no(m[k] == block[k]), f"source identity mismatch: {k}") for k in IDENTITY),
+        (no(m["text_sha256"] == F.sha2(block["text"], 256)), "stale block text"),
+        (no((m["page"] >= 1) & (m["page"] == block["page"])), "physical page mismatch"),
+        (no(m["mapping_method"].isin(*MAPPINGS)), "reviewed text mapping method required"),
+        (no(m["coordinate_system"] == COORDINATES), "unknown coordinate system"),
+        (no(F.size(regions) > 0), "regions required"),
+        (some(lambda r: no(r["id"] != "")) | (F.size(F.array_distinct(ids)) < F.size(ids)), "duplicate or missing region id"),
+        (some(lambda r: no(r["kind"].isin(*REGIONS))), "invalid region kind"),
+        (some(lambda r: no((F.size(box(r)) == 4) & finite(r))), "invalid bbox"),
+        (some(lambda r: no(inside(r))), "bbox outside page"),
+        (some(lambda r: chart(r) & no(image(r))), "chart image required"),
+        (some(lambda r: chart(r) & no(r["asset"]["name"] == F.concat(r["asset"]["sha256"], F.lit(".png")))), "asset must use content-addressed PNG name"),
+        (some(lambda r: chart(r) & no((r["caption"] != "") & F.contains(block["text"], r["caption"]))), "caption must be an exact source-text excerpt"),
+    ]
+    error = F.lit(None).cast("string")
+    for broken, message in reversed(rules):
+        error = F.when(broken, message).otherwise(error)
+    return error
+
+
 COUNTERS: dict[str, Callable[[Column], Column]] = {"heuristic": estimated_tokens}
 
 

@@ -96,16 +96,16 @@ def activated(heads: DataFrame, requests: DataFrame) -> DataFrame:
     return out.where("outcome <> 'head'").withColumn("revision", F.col("revision").cast("int"))
 
 
-def projected_blocks(blocks: DataFrame, projections: DataFrame, heads: DataFrame) -> DataFrame:
+def projected_blocks(blocks: DataFrame, projections: DataFrame, heads: DataFrame, keys: tuple[str, ...] = ("block_id",)) -> DataFrame:
     """blocks (block_id, text, and their own columns) as their consumers see them, with projection_id, raw_text_sha256 and error.
 
     heads (block_id, projection_id) choose the projection of a block, be it the current head, the one visible at an instant
     (visible_projection) or one asked for by its id; a block without one, or with a null, keeps its raw text. projections: projection_id, block_id,
     text_sha256 (of the raw text), projected_text. A projection of another block, an unknown one, and one made of another text are errors, and then
-    there is no text.
+    there is no text. Where a block is asked for in several ways, `keys` name what tells its rows apart on both sides.
     """
-    own = heads.select("block_id", F.col("projection_id").alias("_chosen")).where("_chosen IS NOT NULL").join(projections.select(F.col("projection_id").alias("_chosen"), F.struct(F.col("block_id").alias("b"), F.col("text_sha256").alias("sha"), F.col("projected_text").alias("text")).alias("_p")), "_chosen", "left")
-    seen = blocks.join(own, "block_id", "left")
+    own = heads.select(*keys, F.col("projection_id").alias("_chosen")).where("_chosen IS NOT NULL").join(projections.select(F.col("projection_id").alias("_chosen"), F.struct(F.col("block_id").alias("b"), F.col("text_sha256").alias("sha"), F.col("projected_text").alias("text")).alias("_p")), "_chosen", "left")
+    seen = blocks.join(own, list(keys), "left")
     chosen, p = F.col("_chosen").isNotNull(), F.col("_p")
     error = F.when(chosen & ~F.coalesce(p["b"] == F.col("block_id"), F.lit(False)), "projection does not belong to this block").when(chosen & (F.sha2("text", 256) != p["sha"]), "projection source changed")
     rest = [c for c in blocks.columns if c != "text"]

@@ -101,6 +101,33 @@ def analysis_pages(runs: DataFrame, cited: DataFrame) -> DataFrame:
     return d.select(F.concat(F.col("run_id").cast("string"), F.lit(".md")).alias("name"), content.alias("content"), F.lit(None).cast("string").alias("stable_id"))
 
 
+def analysis_index(tasks: DataFrame, written: DataFrame, stale: DataFrame) -> DataFrame:
+    """(task_key, state, line) of tasks (task_key, doc_id, title, url, status, error, run_id, publish_path, model_identity, prompt_version, template_version), for an index in order of created_at: a page is
+    linked only if it is among the written names; an analysis whose evidence has changed (stale: run_id) waits for another; what is done without a page waits to be published."""
+    d = tasks.join(written.select(F.col("name").alias("publish_path"), F.lit(True).alias("there")).distinct(), "publish_path", "left").join(stale.select("run_id", F.lit(True).alias("old")).distinct(), "run_id", "left")
+    ended = F.col("status").isin("done", "partial")
+    state = F.when(F.col("old"), "stale").when(ended & F.col("there"), F.col("status")).when(ended, "unpublished").otherwise(F.coalesce("status", F.lit("pending")))
+    title, origin = literal(F.coalesce("title", F.col("doc_id").cast("string"))), F.concat(F.lit("; [original]("), F.coalesce("url", F.lit("")), F.lit(")"))
+    linked = F.concat(F.lit("- ["), title, F.lit("]("), F.col("publish_path"), F.lit(") — "))
+    by = F.concat("model_identity", F.lit(" ("), "prompt_version", F.lit(" / "), "template_version", F.lit(")"))
+    said = F.when(F.col("state") == "failed", F.concat(F.lit("failed ("), F.substring(F.coalesce("error", F.lit("")), 1, 60), F.lit(")"))).otherwise(F.col("state"))
+    line = F.when(F.col("state") == "done", F.concat(linked, by)).when(F.col("state") == "partial", F.concat(linked, F.lit("partial"))).otherwise(F.concat(F.lit("- "), title, F.lit(" — "), said, origin))
+    return d.withColumn("state", state).select("task_key", "state", line.alias("line"))
+
+
+def notes_to_write(outbox: DataFrame, notes: DataFrame) -> DataFrame:
+    """notes (name, content, extraction_id) that an outbox (extraction_id, status) has pending, each once: what a publisher writes before it marks the entries consumed."""
+    due = outbox.where("status = 'pending'").select("extraction_id").distinct()
+    return notes.join(due, "extraction_id", "left_semi")
+
+
+def consumed(outbox: DataFrame, delivered: DataFrame) -> DataFrame:
+    """The outbox with its pending entries done where their note (delivered: extraction_id) was written or is there unchanged; the others stay pending, so that a run that was cut writes them again."""
+    there = delivered.select("extraction_id", F.lit(True).alias("_done")).distinct()
+    status = F.when((F.col("status") == "pending") & F.col("_done"), "consumed").otherwise(F.col("status"))
+    return outbox.join(there, "extraction_id", "left").withColumn("status", status).select(*outbox.columns)
+
+
 def _hash(content: bytes) -> str:
     import hashlib
 
