@@ -92,3 +92,59 @@ def paired(regions: DataFrame, key: str, least: float = 0.5, optimal: bool = Tru
 
     pages = regions.groupBy(F.col(key).cast("long").alias(key)).agg(F.sort_array(F.collect_list(F.struct("region_id", "reading", *BOX))).alias("found"))
     return pages.mapInArrow(run, f"{key} long, first long, second long, iou double")
+
+
+# What two readings of a page may differ in.
+COUNT, CATEGORY, CONFLICT = "region_count_difference", "region_category_difference", "chart_table_conflict"
+PLACE, CHART_PLACE, CHART_COUNT = "region_location_difference", "chart_location_difference", "chart_count_difference"
+OTHERS, NO_CHART = "chart_consistent_other_region_difference", "no_chart_table_or_body_only"
+#: A pair of one kind with half its area shared outweighs any sum of overlaps.
+VALID = 1_000_000_000
+
+
+def differences(one: list[dict], two: list[dict]) -> tuple[list[str], bool, int]:
+    """Reasons, whether the charts agree, and pairs of charts, of two readings' regions (kind and box) under the best assignment: pairs of one kind that share
+    half come first, then the overlap of all."""
+    a, b = (np.array([[r[x] for x in BOX] for r in side], float).reshape(-1, 4) for side in (one, two))
+    shared = overlaps(a, b)
+    kinds = [[r["kind"] for r in side] for side in (one, two)]
+    charts = [{k for k, kind in enumerate(side) if kind == "chart"} for side in kinds]
+    same = np.array([[x == y for y in kinds[1]] for x in kinds[0]], bool).reshape(shared.shape)
+    pairs = best_assignment(np.where(same & (shared >= 0.5), VALID, 0) + np.round(shared * 10000)) if shared.size else []
+    out = {COUNT} if len(one) != len(two) else set()
+    met = [(i, j) for i, j in pairs if kinds[0][i] == kinds[1][j] == "chart" and shared[i, j] >= 0.5]
+    for i, j in pairs:
+        if kinds[0][i] != kinds[1][j]:
+            out.add(CATEGORY)
+        elif shared[i, j] < 0.5:
+            out.add(CHART_PLACE if kinds[0][i] == "chart" else PLACE)
+    tables = [np.array([kind == "table" for kind in side], bool) for side in kinds]
+    if shared.size and any((shared[i, tables[1]] >= 0.25).any() for i in charts[0]) or any((shared[tables[0], j] >= 0.25).any() for j in charts[1]):
+        out.add(CONFLICT)
+    agree = len(met) == len(charts[0]) == len(charts[1])
+    if not agree and (charts[0] or charts[1]):
+        out.add(CHART_PLACE if len(charts[0]) == len(charts[1]) else CHART_COUNT)
+    if agree and (len(one) != len(two) or any(kinds[0][i] != kinds[1][j] or shared[i, j] < 0.5 for i, j in pairs)):
+        out.add(OTHERS)
+    if one and two and not charts[0] and not charts[1] and {*kinds[0], *kinds[1]} <= {"table", "narrative", "navigation"}:
+        out.add(NO_CHART)
+    return sorted(out), agree, len(met)
+
+
+def compared(regions: DataFrame, key: str) -> DataFrame:
+    """(key, reasons, charts_agree, chart_pairs) of pages by their regions (key, reading 1 or 2, region_id, kind, x0, y0, x1, y1). Regions count in the order of their ids; a page with more than MOST_REGIONS in a reading
+    is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for page, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                one, two = ([r for r in found if r["reading"] == k] for k in (1, 2))
+                if max(len(one), len(two)) > MOST_REGIONS:
+                    raise ValueError(f"more than {MOST_REGIONS} regions on a page")
+                rows.append((page, *differences(one, two)))
+            columns = zip(*rows) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int64()))], names=[key, "reasons", "charts_agree", "chart_pairs"])
+
+    pages = regions.groupBy(F.col(key).cast("long").alias(key)).agg(F.sort_array(F.collect_list(F.struct("region_id", "reading", "kind", *BOX))).alias("found"))
+    return pages.mapInArrow(run, f"{key} long, reasons array<string>, charts_agree boolean, chart_pairs long")

@@ -109,3 +109,51 @@ def analysis_index(t):
     tasks = t.orders.select(k.alias("task_key"), k.alias("doc_id"), F.concat(F.lit("No. "), k).alias("title"), F.concat(F.lit("u/"), k).alias("url"), status.alias("status"), F.lit("broke").alias("error"), k.alias("run_id"), F.concat(F.lit("a"), k, F.lit(".md")).alias("publish_path"), F.lit("m").alias("model_identity"), F.lit("p").alias("prompt_version"), F.lit("t").alias("template_version"))
     written = tasks.where("task_key % 5 > 0").select(c("publish_path").alias("name"))
     return publish.analysis_index(tasks, written, tasks.where("task_key % 3 = 0").select("run_id"))
+
+
+_GOVERNED = """CASE WHEN k % 2 = 0 AND k % 14 = 0 THEN 'conflict-human-edit' WHEN k % 11 = 0 OR k % 5 = 0 OR k % 13 = 0 OR k = 1 OR k % 7 = 3 THEN 'keep' WHEN k % 2 > 0 THEN 'unknown-owner' WHEN k % 6 > 0 THEN 'archive-candidate' ELSE 'keep' END"""
+
+
+def governed(t):
+    """Customers as the files of a folder."""
+    from ..operators import governance
+
+    k = c("c_custkey")
+    name = F.concat(F.lit("f"), k).alias("name")
+    files = t.customer.select(name, k.alias("k"), F.md5("c_name").alias("sha256"))
+    manifest = files.where("k % 2 = 0").select("name", F.when(c("k") % 6 == 0, "someone").when(c("k") % 4 == 0, "reading-publisher").otherwise("existing-text-export").alias("owner"), F.when(c("k") % 14 == 0, "edited").otherwise(c("sha256")).alias("last_hash"))
+    of = lambda condition: files.where(condition).select("name")
+    return governance.file_dispositions(files, manifest, of("k % 5 = 0"), of("k % 13 = 0"), of("k % 11 = 0"), of("k % 7 = 3"), ("f1",))
+
+
+@query("aud5_file_governance", f"SELECT 'f' || k AS name, {_GOVERNED} AS disposition FROM (SELECT c_custkey AS k FROM customer)")
+def file_governance(t):
+    return governed(t).select("name", "disposition")
+
+
+@query("agg20_governance_counts", f"SELECT {_GOVERNED} AS disposition, count(*) AS n FROM (SELECT c_custkey AS k FROM customer) GROUP BY 1")
+def governance_counts(t):
+    from ..operators import governance
+
+    return governance.disposition_counts(governed(t))
+
+
+@query("aud6_review_queue", r"WITH l AS (SELECT doc_id, o, line, printf('%d-b%04d', doc_id, o) AS id FROM (SELECT doc_id, unnest(range(len(x))) AS o, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE length(trim(line)) > 0) SELECT id AS block_id, CASE WHEN doc_id % 3 = 0 AND NOT regexp_matches(line, '(?i)list of (figures|tables)') THEN 'pending' ELSE 'not_flagged' END AS status FROM l WHERE doc_id % 10 > 0 ORDER BY doc_id, o LIMIT 3000")
+def review_queue(t):
+    """The lines of every third document are followed by a captioned column of numbers."""
+    from ..operators import governance
+
+    lines = index.line_blocks(t.documents)
+    column = "\nFigure 2 Axis\n" + "\n".join(map(str, range(30)))
+    blocks = lines.select("block_id", (c("doc_id") * 1_000_000 + c("ordinal")).alias("seq"), F.when(c("doc_id") % 3 == 0, F.concat("text", F.lit(column))).otherwise(c("text")).alias("text"))
+    return governance.review_queue(blocks, lines.where("doc_id % 10 = 0"), 3000).select("block_id", "status")
+
+
+@query("jn22_region_reasons")
+def region_reasons(t):
+    from ..operators.regions import compared
+    from .extraction import _readings
+
+    kind = F.get(F.array(*map(F.lit, ("chart", "table", "narrative"))), ((c("region_id") + F.when((c("reading") == 2) & (c("page") % 5 == 0), 1).otherwise(0)) % 3).cast("int"))
+    out = compared(_readings(t).withColumn("kind", kind), "page")
+    return out.select("page", F.array_join("reasons", ",").alias("reasons"), "charts_agree", "chart_pairs")

@@ -24,3 +24,51 @@ def test_pairs(spark):
     got = {(r.page, r.first, r.second) for r in regions.paired(frame, "page").collect()}
     assert got == {(1, 1, 5), (1, 2, 6), (2, 7, None)}
     assert regions.greedy(np.array([[0.6, 0.9], [0.9, 0.1]]), 0.5) == [(0, 0)]
+
+
+def region(kind, x0, y0, x1, y1):
+    return dict(kind=kind, x0=x0, y0=y0, x1=x1, y1=y1)
+
+
+CHART, SHIFTED, FAR, TABLE, PROSE = region("chart", 0, 0, 0.4, 0.4), region("chart", 0.05, 0, 0.45, 0.4), region("chart", 0.6, 0.6, 1, 1), region("table", 0, 0, 0.4, 0.4), region("narrative", 0.5, 0, 1, 0.4)
+
+
+@pytest.mark.parametrize(
+    "one, two, want",
+    [
+        ([], [], ([], True, 0)),
+        ([CHART], [SHIFTED], ([], True, 1)),
+        ([CHART], [FAR], (["chart_location_difference"], False, 0)),
+        ([CHART], [], (["chart_count_difference", "region_count_difference"], False, 0)),
+        ([CHART], [TABLE], (["chart_count_difference", "chart_table_conflict", "region_category_difference"], False, 0)),
+        ([CHART], [CHART, PROSE], (["chart_consistent_other_region_difference", "region_count_difference"], True, 1)),
+        ([TABLE], [TABLE], (["no_chart_table_or_body_only"], True, 0)),
+        ([PROSE], [region("narrative", 0, 0.5, 0.4, 1)], (["chart_consistent_other_region_difference", "no_chart_table_or_body_only", "region_location_difference"], True, 0)),
+        ([CHART, TABLE], [TABLE, CHART], (["chart_table_conflict"], True, 1)),
+        ([FAR, CHART], [SHIFTED, FAR], ([], True, 2)),
+    ],
+)
+def test_what_two_readings_differ_in(one, two, want):
+    assert regions.differences(one, two) == want
+
+
+def test_pages_are_compared(spark):
+    rows = [(1, 1, 0, *CHART.values()), (1, 2, 0, *SHIFTED.values()), (2, 1, 0, *CHART.values()), (3, 2, 5, *TABLE.values())]
+    frame = spark.createDataFrame([(*r[:4], *map(float, r[4:])) for r in rows], "page long, reading int, region_id int, kind string, x0 double, y0 double, x1 double, y1 double")
+    got = {r.page: (r.reasons, r.charts_agree, r.chart_pairs) for r in regions.compared(frame, "page").collect()}
+    assert got == {1: ([], True, 1), 2: (["chart_count_difference", "region_count_difference"], False, 0), 3: (["chart_consistent_other_region_difference", "region_count_difference"], True, 0)}
+
+
+def test_dispositions_and_the_review_queue(spark):
+    from stratafolio.operators import governance
+
+    files = spark.createDataFrame([(n, "h") for n in ("edited", "noted", "current", "linked", "start.md", "sent", "stray", "old", "other")], "name string, sha256 string")
+    manifest = spark.createDataFrame([("edited", "reading-publisher", "x"), ("noted", "reading-publisher", "h"), ("old", "reading-publisher", "h"), ("other", "someone", "h"), ("old", "reading-publisher", "h")], "name string, owner string, last_hash string")
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    got = {r.name: r.disposition for r in governance.file_dispositions(files, manifest, names("current", "edited"), names("linked", "linked"), names("noted"), names("sent"), ("start.md",)).collect()}
+    assert got == {"edited": "conflict-human-edit", "noted": "keep", "current": "keep", "linked": "keep", "start.md": "keep", "sent": "keep", "stray": "unknown-owner", "old": "archive-candidate", "other": "keep"}
+    risk = "Figure 2 Axis\n" + "\n".join(map(str, range(30)))
+    blocks = spark.createDataFrame([("b1", 1, risk), ("b2", 2, "text"), ("b3", 3, "List of figures\n" + risk)], "block_id string, seq int, text string")
+    first = governance.review_queue(blocks, blocks.limit(0), 2)
+    assert {r.block_id: r.status for r in first.collect()} == {"b1": "pending", "b2": "not_flagged"}
+    assert {r.block_id: (r.kind, r.status) for r in governance.review_queue(blocks, first, 2).collect()} == {"b3": ("navigation", "not_flagged")}
