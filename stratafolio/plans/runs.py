@@ -98,6 +98,44 @@ def verified_runs(t):
     return out.select("run_id", "status", "error", F.array_join("cited", " ").alias("cited"), F.array_join("invalid", " ").alias("invalid"))
 
 
+def shout(prompt: str) -> str:
+    """A provider that answers with its prompt's first word, and fails on what begins with a vowel."""
+    word = prompt.split(" ")[0]
+    if word[:1] in "AEIOUaeiou":
+        raise ValueError("a vowel")
+    return word.upper()
+
+
+@query("udf4_completions", "SELECT conv_id, turn, CASE WHEN NOT v THEN upper(w) END AS answer, CASE WHEN v THEN 'ValueError: a vowel' ELSE '' END AS error FROM (SELECT *, w = '' OR substr(w, 1, 1) IN ('A', 'E', 'I', 'O', 'U', 'a', 'e', 'i', 'o', 'u') AS v FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ')[1] AS w FROM conversations))")
+def completions(t):
+    from ..sources import registries
+
+    registries.PROVIDERS.register("shout", shout)
+    out = registries.completed(t.conversations, ["conv_id", "turn"], "text", "shout", egress_allowed=True)
+    return out.select("conv_id", "turn", "answer", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@query(
+    "udf5_custom_retriever",
+    r"""WITH l AS (SELECT doc_id, o, line, printf('%d-b%04d', doc_id, o) AS id FROM (SELECT doc_id, unnest(range(len(x))) AS o, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) WHERE length(trim(line)) > 0),
+    h AS (SELECT doc_id % 50 AS run_id, id, line, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY length(line) DESC, id) AS r FROM l), g AS (SELECT *, (len(regexp_extract_all(line, '[\x{a0}-\x{ff}]{6,}')) >= 3 OR regexp_matches(line, '[\x{a0}-\x{ff}]{18,}')) AS bad FROM h WHERE r <= 6)
+    SELECT run_id, id AS block_id, row_number() OVER (PARTITION BY run_id ORDER BY r) AS rank FROM g WHERE NOT bad AND run_id IN (SELECT item_id FROM benchmark) QUALIFY rank <= 6""",
+)
+def custom_retriever(t):
+    """The longest lines of the documents whose number ends as the query's."""
+    from ..operators import index, retrieval, search
+    from ..sources import registries
+
+    def longest(queries, blocks, k):
+        found = blocks.select("block_id", (F.split("block_id", "-")[0].cast("long") % 50).alias("query_id"), F.length("text").alias("n")).join(queries.select("query_id"), "query_id", "left_semi")
+        return retrieval.top(found, ["query_id"], k, F.desc("n"), c("block_id"))
+
+    registries.RETRIEVERS.register("longest", longest)
+    queries = t.benchmark.select(c("item_id").alias("query_id"), c("text").alias("query"))
+    out = registries.retrieved(queries, index.line_blocks(t.documents).select("block_id", "text"), "longest", 6, search.gate)
+    return out.select("run_id", "block_id", c("rank").cast("long").alias("rank"))
+
+
 @query(
     "snk5_claim_pages",
     """SELECT l.doc_id || '.md' AS name, 'rev' || (quality + 1) || '.v1' AS stable_id, md5('# Claim ' || l.doc_id || chr(10) || chr(10) || '- **status**: ' || CASE WHEN toxic = 1 THEN 'disputed' ELSE 'accepted' END || chr(10) || '- **revision**: ' || (quality + 1) || chr(10) || '- **author**: ' || coalesce(source, '') || chr(10) || chr(10) || '## Statement' || chr(10) || chr(10) || coalesce(lang, '') || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10)

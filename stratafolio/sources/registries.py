@@ -32,8 +32,10 @@ ADAPTERS = Registry("adapter", reports_archive=read_archive, jsonl_export=read_e
 ENGINES = Registry("OCR engine")
 #: Column factories: text to a vector.
 EMBEDDERS = Registry("embedding provider", mock=hashed_vector)
-#: (query DataFrame, blocks DataFrame) to hits.
+#: Functions of (queries: query_id, query; blocks: block_id, text; k) to hits (query_id, rank, block_id).
 RETRIEVERS = Registry("retriever")
+#: Functions of a prompt to an answer; they run in the tasks. An error whose `retryable` is true may be tried again.
+PROVIDERS = Registry("provider")
 
 
 READ = "struct<ocr_text:string,confidence:double,failed:boolean>"
@@ -104,6 +106,43 @@ class ReadOnlyStore:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
 
+def completed(prompts: DataFrame, keys: list[str], prompt: str, provider: str, egress_allowed: bool = False, attempts: int = 2) -> DataFrame:
+    """keys, answer, error and attempts of prompts by a registered provider. Without permission nothing is sent: that is an error before any task runs, since
+    a configured provider is no permission. A retryable failure is tried again, `attempts` times in all; what fails in the end is a row with its error."""
+    if not egress_allowed:
+        raise PermissionError(f"provider {provider!r} has egress_allowed=false; refusing to send")
+    ask = PROVIDERS[provider]
+    kind = pa.struct([("answer", pa.string()), ("error", pa.string()), ("attempts", pa.int32())])
+
+    def one(text: str | None) -> dict:
+        for n in range(1, max(1, attempts) + 1):
+            try:
+                return {"answer": ask(text or ""), "error": None, "attempts": n}
+            except Exception as failure:
+                error = f"{type(failure).__name__}: {failure}"
+                if not getattr(failure, "retryable", False):
+                    break
+        return {"answer": None, "error": error, "attempts": n}
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([one(t) for t in batch.to_pylist()], kind)
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    answered = F.arrow_udf(run, "struct<answer:string,error:string,attempts:int>")(F.col(prompt))
+    return prompts.select(*keys, answered.alias("r")).select(*keys, "r.*")
+
+
+def retrieved(queries: DataFrame, blocks: DataFrame, retriever: str, k: int, gate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run_id, rank, block_id, text: what a registered retriever finds for queries (query_id, query) among blocks (block_id, text), best k each, as evidence of runs. Its hits are ids only: texts are
+    read anew and pass the gate, so a stale retriever can't show what consumers may not see; ranks are given anew to what is left, ids that aren't there are dropped."""
+    from ..operators.retrieval import top
+
+    hits = RETRIEVERS[retriever](queries, blocks, k).select("query_id", F.col("rank").alias("_rank"), "block_id").dropDuplicates(["query_id", "block_id"])
+    present = gate(blocks.join(hits.select("block_id").distinct(), "block_id", "left_semi")).select("block_id", "text")
+    return top(hits.join(present, "block_id"), ["query_id"], k, F.col("_rank"), F.col("block_id")).select(F.col("query_id").alias("run_id"), "rank", "block_id", "text")
+
+
 def filled_embeddings(cache: DataFrame, wanted: DataFrame, provider: str, dimensions: int, of: Callable[[Column], Column] | None = None) -> DataFrame:
     """cache (text_sha, provider, vector) with vectors of the wanted texts (text) that the provider has not embedded yet. A vector of another
     length than `dimensions` is an error when it is read."""

@@ -80,3 +80,45 @@ def test_manifests_with_nulls(spark):
     block = F.struct(*(F.lit(v).alias(n) for n, v in zip(("source", "doc_id", "version_id", "extraction_id", "snapshot_sha256", "page", "text"), ("s", "d", "v", "e", "x", 1, "text"))))
     got = {r.k: r.e for r in frame.select("k", content.manifest_error(F.col("m"), block).alias("e")).collect()}
     assert got == {"good": None, "no reviewer": "projection requires confirmed reviewer and policy", "no regions": "regions required", "no id": "duplicate or missing region id", "no box": "invalid bbox", "nan": "invalid bbox", "flat": "bbox outside page", "no image": "chart image required", "no caption": "caption must be an exact source-text excerpt", "chart": None, "null page": "physical page mismatch"}
+
+
+class Busy(Exception):
+    retryable = True
+
+
+def test_providers_ask_only_with_permission_and_try_again(spark):
+    import pytest
+
+    from stratafolio.sources import registries
+
+    calls = {}
+
+    def answer(prompt):
+        calls[prompt] = calls.get(prompt, 0) + 1
+        if prompt == "busy" and calls[prompt] < 2:
+            raise Busy("later")
+        if prompt == "always":
+            raise Busy("later")
+        if prompt == "bad":
+            raise ValueError("no")
+        return prompt[::-1]
+
+    registries.PROVIDERS.register("mirror", answer)
+    frame = spark.createDataFrame([("abc",), ("busy",), ("always",), ("bad",), (None,)], "p string").coalesce(1)
+    with pytest.raises(PermissionError, match="egress_allowed=false"):
+        registries.completed(frame, ["p"], "p", "mirror")
+    with pytest.raises(LookupError, match="unknown provider"):
+        registries.completed(frame, ["p"], "p", "nobody", egress_allowed=True)
+    got = {r.p: (r.answer, r.error, r.attempts) for r in registries.completed(frame, ["p"], "p", "mirror", egress_allowed=True, attempts=3).collect()}
+    assert got == {"abc": ("cba", None, 1), "busy": ("ysub", None, 2), "always": (None, "Busy: later", 3), "bad": (None, "ValueError: no", 1), None: ("", None, 1)}
+
+
+def test_a_retriever_cannot_show_what_the_gate_holds_back(spark):
+    from stratafolio.operators import search
+    from stratafolio.sources import registries
+
+    blocks = spark.createDataFrame([("b1", "fine"), ("b2", "\x01\x02\x03\x04\x05"), ("b3", "also")], "block_id string, text string")
+    hits = spark.createDataFrame([(1, 1, "b2"), (1, 2, "b1"), (1, 2, "b1"), (1, 3, "gone"), (1, 4, "b3")], "query_id int, rank int, block_id string")
+    registries.RETRIEVERS.register("fixed", lambda queries, blocks, k: hits)
+    queries = spark.createDataFrame([(1, "q")], "query_id int, query string")
+    assert [(r.rank, r.block_id, r.text) for r in registries.retrieved(queries, blocks, "fixed", 5, search.gate).orderBy("rank").collect()] == [(1, "b1", "fine"), (2, "b3", "also")]
