@@ -44,7 +44,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _number(key: str, kind: str, turn: Column, other: Column) -> Column:
+def _number(key: str | Column, kind: str, turn: Column, other: Column) -> Column:
     """The round function as a number below 2**60."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), other.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
 
@@ -238,13 +238,15 @@ def pseudonymised(docs: DataFrame, key: str | None = None) -> DataFrame:
 
     A null text stays null with nothing found; empty texts and texts without candidates stay as they are; every candidate of a
     text of any length is treated; repeated rows give repeated results, an empty table none. The key is a secret, of the caller or of the
-    setting KEY_SETTING; with another key the pseudonyms differ. `found` lists validated values only, in order.
+    setting KEY_SETTING; with another key the pseudonyms differ. It comes to the rows from a table of two rows, so that no plan, event log or page of the UI shows
+    it. `found` lists validated values only, in order.
     """
-    key = key or key_of(docs.sparkSession)
-    hinted = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"), F.coalesce(F.col("text").rlike(HINT), F.lit(False)).alias("hint"))
+    keys = docs.sparkSession.createDataFrame([(blank, key or key_of(docs.sparkSession)) for blank in (False, True)], "blank boolean, key string")
+    hinted = docs.select(F.struct("*").alias("row"), F.col("text").alias("t"), F.coalesce(F.col("text").rlike(HINT), F.lit(False)).alias("hint"), F.col("text").isNull().alias("blank")).join(F.broadcast(keys), "blank")
     none = F.array().cast("array<string>")
-    cut = hinted.select("row", "t", F.when(F.col("hint"), F.regexp_extract_all("t", F.lit(ANY), 0)).otherwise(none).alias("values"))
-    named = cut.select("row", "t", F.transform("values", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value"))).alias("values"))
+    key = F.col("key")
+    cut = hinted.select("row", "t", "key", F.when(F.col("hint"), F.regexp_extract_all("t", F.lit(ANY), 0)).otherwise(none).alias("values"))
+    named = cut.select("row", "t", "key", F.transform("values", lambda v: F.struct(kind_of(v).alias("kind"), v.alias("value"))).alias("values"))
     replaced = named.select("row", "t", F.transform("values", lambda v: F.struct(v["kind"].alias("kind"), v["value"].alias("value"), pseudonym(v["value"], v["kind"], key).alias("pseudonym"))).alias("values"))
     joined = F.array_join(F.zip_with(F.split("t", ANY, -1), F.col("values"), lambda gap, v: F.concat(gap, F.coalesce(v["pseudonym"], F.lit("")))), "")
     text = F.when(F.size("values") == 0, F.col("t")).otherwise(joined)

@@ -93,3 +93,12 @@ def test_empty_table(spark):
 def test_addresses_with_nothing_to_permute_stay(spark, address):
     out = pii.pseudonymised(spark.createDataFrame([(1, f"write to {address} today")], "doc_id long, text string"), "k").first()
     assert out.text == f"write to {address} today" and out.found == []
+
+
+def test_no_plan_shows_the_key(spark):
+    secret = "a-key-that-nobody-may-see"
+    docs = spark.createDataFrame([(1, "mail bob@x.com on 1999-02-28, 10.0.0.1"), (2, None)], "doc_id long, text string")
+    out = pii.pseudonymised(docs, secret)
+    out.collect()
+    assert secret not in out._jdf.queryExecution().toString() and "CartesianProduct" not in out._jdf.queryExecution().toString() and "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert [len(r.found) for r in out.orderBy("row.doc_id").collect()] == [3, 0]
