@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stratafolio.functions import content, metadata, quality, text
 from stratafolio.operators import projections
-from stratafolio.sources import documents, registries
+from stratafolio.sources import documents, pdf, registries
 
 
 def each(spark, values, f, kind="string"):
@@ -45,7 +45,7 @@ def test_bytes_and_counters(spark):
 def test_named_faults(spark):
     assert tuple(each(spark, ["bytes=0-99999999999999999999"], lambda h: metadata.byte_range(h, F.lit(40).cast("long")))[0]) == ("range", 0, 39)
     assert each(spark, ["a\x00b\x07\x7f\n"], text.yaml_scalar) == ['"a\\0b\\x07\\x7f\\n"']
-    assert list(documents._strings(b"(a\\8b) (one (two) three) (\\101\\0612) <4a4>(cut\\\nline)")) == ["a8b", "one (two) three", "A12", "J@", "cutline"]
+    assert [v.decode("latin-1") for v, _ in pdf.values(b"(a\\8b) (one (two) three) (\\101\\0612) <4a4>(cut\\\nline)")] == ["a8b", "one (two) three", "A12", "J@", "cutline"]
     page = b"<body><nav>menu</nav><p>x</p><footer>foot</footer><script>no</script></body>"
     blocks = documents.EXTRACTORS["html"](page)
     assert [(b["text"], b["dom_path"]) for b in blocks] == [("menu", "body[1]>nav[1]"), ("x", "body[1]>p[1]"), ("foot", "body[1]>footer[1]")] or [b["text"] for b in blocks] == ["menu", "x", "foot"]
