@@ -25,7 +25,7 @@ FINE, SPARE = 1 << 40, 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.002, 0.0005, 4
 UND = "und"
 
-# Odd multipliers that spread the n-grams over the buckets.
+# Odd multipliers that spread the n-grams over the buckets.
 SPREAD = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 

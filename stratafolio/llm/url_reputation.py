@@ -18,7 +18,7 @@ LEAST_SHARE, DEVIATIONS = 0.5, 1.645
 #: Bounds of the estimated correlation; at the upper one a prior is worth two outcomes, so that a single one never decides.
 CORRELATION = (0.001, 1 / 3)
 
-# Public suffixes of two labels, besides which the suffix is the last label.
+# Public suffixes of two labels, besides which the suffix is the last label.
 DOUBLE_SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 
 # The rules of the registered query, (verdict, host, path).
