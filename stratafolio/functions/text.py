@@ -136,9 +136,10 @@ def normalized_symbol(symbol: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
+    """A size to one place, half to even as C and Python print it: ten times a fraction of a power of two is exact, so rint sees the tie itself."""
     out = F.lit("unknown")
     for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        shown = F.concat(size.cast("long").cast("string"), F.lit(" B")) if power == 0 else F.format_string(f"%.1f {unit}", size / F.lit(float(1024**power)))
+        shown = F.concat(size.cast("long").cast("string"), F.lit(" B")) if power == 0 else F.format_string(f"%.1f {unit}", F.rint(size / F.lit(float(1024**power)) * 10) / 10)
         out = F.when(size.isNotNull() & ((size < 1024.0 ** (power + 1)) | F.lit(unit == "TB")), shown).otherwise(out)
     return out
 

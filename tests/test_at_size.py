@@ -26,3 +26,8 @@ def differences(spark, folder, name):
 def test_html_text_leaves_names_that_are_cut_off(spark, tmp_path):
     tables(spark, tmp_path, pages=([(1, "u", "<title>ver&amp</title><p>R&amp;D &copy; &amp &amp;amp;</p>")], "page_id long, url string, html string"))
     assert differences(spark, tmp_path, "str10_html_text") == []
+
+
+def test_sizes_in_the_middle_go_to_the_even_side(spark, tmp_path):
+    tables(spark, tmp_path, pages=([(k, "https://a.org/x", "x" * n) for k, n in enumerate((1023, 2304, 2406, 2560, 3328, 10189))], "page_id long, url string, html string"))
+    assert differences(spark, tmp_path, "str14_names") == []
