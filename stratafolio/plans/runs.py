@@ -103,7 +103,12 @@ def shout(prompt: str) -> str:
     word = prompt.split(" ")[0]
     if word[:1] in "AEIOUaeiou":
         raise ValueError("a vowel")
-    return word.upper()
+    return "".join(map(upper_letter, word))
+
+
+def upper_letter(letter: str) -> str:
+    """The one capital of a letter; those that Python writes as several letters keep their own sign, as in SQL."""
+    return next((x for x in (letter.upper(), letter.title()) if len(x) == 1), "ẞ" if letter == "ß" else letter)
 
 
 @query("udf4_completions", "SELECT conv_id, turn, CASE WHEN NOT v THEN upper(w) END AS answer, CASE WHEN v THEN 'ValueError: a vowel' ELSE '' END AS error FROM (SELECT *, w = '' OR substr(w, 1, 1) IN ('A', 'E', 'I', 'O', 'U', 'a', 'e', 'i', 'o', 'u') AS v FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ')[1] AS w FROM conversations))")

@@ -31,3 +31,8 @@ def test_html_text_leaves_names_that_are_cut_off(spark, tmp_path):
 def test_sizes_in_the_middle_go_to_the_even_side(spark, tmp_path):
     tables(spark, tmp_path, pages=([(k, "https://a.org/x", "x" * n) for k, n in enumerate((1023, 2304, 2406, 2560, 3328, 10189))], "page_id long, url string, html string"))
     assert differences(spark, tmp_path, "str14_names") == []
+
+
+def test_capitals_are_one_letter_each(spark, tmp_path):
+    tables(spark, tmp_path, conversations=([(1, 0, "straße x"), (2, 0, "ŉﬁǰᾳdžß"), (3, 0, None)], "conv_id long, turn int, text string"))
+    assert differences(spark, tmp_path, "udf4_completions") == []
