@@ -17,12 +17,12 @@ def _first(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= n)
 
 
-def entity_evidence(documents: DataFrame, versions: DataFrame, extractions: DataFrame, blocks: DataFrame, analyses: DataFrame, claims: DataFrame, stale: DataFrame, cited: DataFrame, heads: DataFrame, projections: DataFrame | None = None, allowed: DataFrame | None = None, hold: bool = False, docs: int = 10, blocks_a_doc: int = 6, most_analyses: int = 10, most_claims: int = 50) -> DataFrame:
+def entity_evidence(documents: DataFrame, versions: DataFrame, extractions: DataFrame, blocks: DataFrame, analyses: DataFrame, claims: DataFrame, stale: DataFrame, cited: DataFrame, heads: DataFrame, projections: DataFrame | None = None, allowed: DataFrame | None = None, hold: bool = False, docs: int = 10, blocks_a_doc: int = 6, most_analyses: int = 10, most_claims: int = 50, block_order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
     """The numbered evidence of each entity (EVIDENCE): blocks of its newest documents, finished analyses of them, and its current claims.
 
     documents: entity, source, doc_id; versions: source, doc_id, version_id, synced_at, is_current; extractions: source, doc_id, version_id, extraction_id, ingest_seq; blocks: extraction_id, ordinal, block_id, page, text;
     analyses: run_id, source, doc_id, version_id, model_identity, status, draft, finished_at; claims: entity, claim_id, revision, statement, status, evidence, counterevidence, updated_at; stale: kind, object_id (of a claim `id@revision`);
-    cited and heads as in currency.current_evidence; allowed: source, doc_id. The newest documents are taken first and those outside `allowed` then left out; of a document's first blocks with text, those
+    cited and heads as in currency.current_evidence; allowed: source, doc_id. The newest documents are taken first and those outside `allowed` then left out; of a document's first blocks with text (in the order of block_order, columns of blocks), those
     that pass the gate; stale analyses and claims, and claims whose evidence is no longer current, are left out. Order: documents by synced_at, then analyses, then claims.
     """
     key = ["source", "doc_id"]
@@ -31,7 +31,7 @@ def entity_evidence(documents: DataFrame, versions: DataFrame, extractions: Data
     if allowed is not None:
         newest = newest.join(allowed.select(*key).distinct(), key, "left_semi")
     read = latest(extractions.join(newest.select(*key, "version_id").distinct(), [*key, "version_id"], "left_semi"), [*key, "version_id"], F.desc("ingest_seq")).select(*key, "version_id", "extraction_id")
-    shown = _first(blocks.join(read.select("extraction_id"), "extraction_id", "left_semi").where(F.col("text").rlike(r"(?U)\S")), ["extraction_id"], blocks_a_doc, F.col("ordinal")).drop("_k")
+    shown = _first(blocks.join(read.select("extraction_id"), "extraction_id", "left_semi").where(F.col("text").rlike(r"(?U)\S")), ["extraction_id"], blocks_a_doc, *block_order).drop("_k")
     gated = search.gate(shown, projections, heads if projections is not None else None, hold)
     of_blocks = newest.join(read, [*key, "version_id"]).join(gated, "extraction_id").select("entity", F.lit(0).alias("part"), F.col("d").cast("long").alias("a"), F.col("ordinal").cast("long").alias("b"), F.lit("document_block").alias("kind"), *key, "version_id", "extraction_id", "block_id", "projection_id", "page", "text")
     live = analyses.where("status = 'done' AND draft IS NOT NULL").join(stale.where("kind = 'analysis'").select(F.col("object_id").alias("run_id")), "run_id", "left_anti")

@@ -31,7 +31,7 @@ def entity_evidence(t):
     documents = o.select(c("o_custkey").alias("entity"), source, k.alias("doc_id"))
     versions = o.select(source, k.alias("doc_id"), F.lit("v1").alias("version_id"), c("o_orderdate").alias("synced_at"), F.lit(True).alias("is_current"))
     extractions = o.select(source, k.alias("doc_id"), F.lit("v1").alias("version_id"), k.alias("extraction_id"), F.lit(1).alias("ingest_seq"))
-    blocks = t.lineitem.select(c("l_orderkey").alias("extraction_id"), (c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("ordinal"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("block_id"), F.lit(1).alias("page"), F.when(c("l_partkey") % 9 == 0, "\x01\x02\x03\x04\x05").otherwise("a fine text").alias("text"))
+    blocks = t.lineitem.select(c("l_orderkey").alias("extraction_id"), "l_linenumber", "l_partkey", "l_suppkey", (c("l_linenumber") * 1_000_000 + c("l_partkey")).alias("ordinal"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("block_id"), F.lit(1).alias("page"), F.when(c("l_partkey") % 9 == 0, "\x01\x02\x03\x04\x05").otherwise("a fine text").alias("text"))
     analyses = o.select(F.concat(F.lit("run"), k).alias("run_id"), source, k.alias("doc_id"), F.lit("v1").alias("version_id"), F.lit("m").alias("model_identity"), F.when(k % 4 > 0, "done").otherwise("failed").alias("status"), F.lit("a draft").alias("draft"), (k % 7).alias("finished_at"))
     cites = t.lineitem.groupBy("l_orderkey").agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("b"), "l_partkey").alias("block_id")))).alias("evidence"))  # the lines of one order
     claims = t.orders.join(cites, c("l_orderkey") == k, "left").select(c("o_custkey").alias("entity"), k.alias("claim_id"), F.lit(2).alias("revision"), F.lit("says so").alias("statement"), F.lit("accepted").alias("status"), "evidence", F.lit(None).cast("string").alias("counterevidence"), c("o_orderdate").alias("updated_at"))
@@ -39,7 +39,7 @@ def entity_evidence(t):
     p = F.concat(F.lit("b"), "p_partkey").alias("block_id")
     cited = t.part.select(p, F.lit("e").alias("extraction_id"), source, F.lit("d").alias("doc_id"), F.lit("v").alias("version_id"), F.lit(False).alias("risky"))
     heads = t.part.where("p_partkey % 13 = 0").select(p, F.lit("p").alias("projection_id"))
-    out = evidence.entity_evidence(documents, versions, extractions, blocks, analyses, claims, stale, cited, heads, allowed=o.where(k % 10 > 0).select(source, k.alias("doc_id")), docs=3, blocks_a_doc=2, most_analyses=2, most_claims=4)
+    out = evidence.entity_evidence(documents, versions, extractions, blocks, analyses, claims, stale, cited, heads, allowed=o.where(k % 10 > 0).select(source, k.alias("doc_id")), docs=3, blocks_a_doc=2, most_analyses=2, most_claims=4, block_order=("l_linenumber", "l_partkey", "l_suppkey"))
     return out.select("entity", "n", "kind", F.coalesce(text("doc_id"), F.lit("")).alias("doc_id"), F.coalesce("block_id", "run_id", "claim_id").alias("what"))
 
 

@@ -3,6 +3,7 @@
 import datetime
 
 import duckdb
+
 from stratafolio.plans import ORACLES, QUERIES
 
 
@@ -36,3 +37,10 @@ def test_sizes_in_the_middle_go_to_the_even_side(spark, tmp_path):
 def test_capitals_are_one_letter_each(spark, tmp_path):
     tables(spark, tmp_path, conversations=([(1, 0, "straße x"), (2, 0, "ŉﬁǰᾳdžß"), (3, 0, None)], "conv_id long, turn int, text string"))
     assert differences(spark, tmp_path, "udf4_completions") == []
+
+
+def test_first_lines_of_parts_over_a_million(spark, tmp_path):
+    day = datetime.datetime(1995, 1, 1)
+    lines = [(o, n, p, 1) for o in (1, 2, 3) for n, p in ((1, 1_950_001), (1, 1_150_001), (2, 100_001), (3, 10))]
+    tables(spark, tmp_path, orders=([(o, 7, "O", day + datetime.timedelta(o)) for o in (1, 2, 3)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"), part=([(p,) for p in (1_950_001, 1_150_001, 100_001, 10)], "p_partkey long"))
+    assert differences(spark, tmp_path, "ret8_entity_evidence_items") == []
