@@ -25,16 +25,119 @@ def bm25(index: DataFrame, blocks: DataFrame, queries: DataFrame, allowed: DataF
     generation (`size`, if it is known); postings may bring the length themselves; `allowed` (block_id) filters only the rows that are scored. Postings of other terms are dropped before any shuffle of them
     by the semi-join's broadcast of the query terms where those are few.
     """
+    few = queries.count() <= FEW_TERMS
+    hits = _weighted(index, blocks, queries, allowed, size, few).join(F.broadcast(queries) if few else queries, "term")
+    return hits.groupBy("query_id", "block_id").agg(F.sum("weight").alias("score"), *([F.collect_set("term").alias("terms")] if terms else []))
+
+
+def _weighted(index: DataFrame, blocks: DataFrame, queries: DataFrame, allowed: DataFrame | None, size, few: bool) -> DataFrame:
+    """(term, block_id, weight): what each term of the queries adds to a block's score."""
     size = size or blocks.agg(F.count("*").alias("n"), F.avg("length").alias("avg")).first()  # one row, kept with a generation
     sought = queries.select("term").distinct()
-    few = queries.count() <= FEW_TERMS
     wanted = index.join(F.broadcast(sought) if few else sought, "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     scored = wanted if allowed is None else wanted.join(allowed.select("block_id"), "block_id", "left_semi")
     measured = scored if "length" in index.columns else scored.join(blocks.select("block_id", "length"), "block_id")
-    hits = measured.join(F.broadcast(df) if few else df, "term").join(F.broadcast(queries) if few else queries, "term")
     weight = numbers.idf(F.lit(size.n), F.col("df")) * numbers.term_weight(F.col("tf"), F.col("length"), F.lit(float(size.avg or 1.0)))
-    return hits.groupBy("query_id", "block_id").agg(F.sum(weight).alias("score"), *([F.collect_set("term").alias("terms")] if terms else []))
+    return measured.join(F.broadcast(df) if few else df, "term").select("term", "block_id", weight.alias("weight"))
+
+
+#: Scores (blocks times queries) that a task holds at once.
+CELLS = 4_000_000
+
+
+def best(index: DataFrame, blocks: DataFrame, queries: DataFrame, n: int, places: int, allowed: DataFrame | None = None, size=None, terms: bool = False) -> DataFrame:
+    """(query_id, block_id, score, rank), and `terms` on request: the first n blocks of each query by bm25's score, rounded to `places`, and block_id.
+
+    The postings of the queries' terms are dealt by block, once; a task scores its blocks for all queries, some blocks at a time, and hands on the first n of each query, so that what is shuffled
+    is the postings and not their pairs with queries. Queries of more than FEW_TERMS terms in all take the plain way, with the same results.
+    """
+    queries = queries.select("query_id", "term").distinct()
+    if queries.count() > FEW_TERMS:
+        scores = bm25(index, blocks, queries, allowed, size, terms).withColumn("score", F.round("score", places))
+        return top(scores, ["query_id"], n, F.desc("score"), F.asc("block_id"))
+    asked = queries.collect()  # FEW_TERMS rows at most
+    names, words = sorted({r.query_id for r in asked}), sorted({r.term for r in asked})
+    place, number = {q: k for k, q in enumerate(names)}, {w: k for k, w in enumerate(words)}
+    of_term: list[list[int]] = [[] for _ in words]
+    for r in asked:
+        of_term[number[r.term]].append(place[r.query_id])
+    ends = np.cumsum([0, *map(len, of_term)])
+    columns = np.array([q for x in of_term for q in x], np.int64)
+    numbered = index.sparkSession.createDataFrame(list(number.items()), "term string, t int")
+    rows = _weighted(index, blocks, queries, allowed, size, True).join(F.broadcast(numbered), "term").select("block_id", "t", "weight")
+    held = (len(names), ends, columns, words if terms else None, n, places)
+    found = rows.repartition("block_id").sortWithinPartitions("block_id", "t").mapInArrow(lambda it: _scored(it, *held), "q int, block_id string, score double, terms array<string>")
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    ids = index.sparkSession.createDataFrame([(k, q) for q, k in place.items()], f"q int, query_id {id_type}")
+    shown = top(found, ["q"], n, F.desc("score"), F.asc("block_id")).join(F.broadcast(ids), "q")
+    return shown.select("query_id", "block_id", "score", *(["terms"] if terms else []), "rank")
+
+
+def _scored(batches: Iterator[pa.RecordBatch], width: int, ends: np.ndarray, columns: np.ndarray, words: list[str] | None, n: int, places: int) -> Iterator[pa.RecordBatch]:
+    """The first n blocks of each of `width` queries, of some blocks at a time, from rows (block_id, t, weight) in the order of block_id. The queries of term t are columns[ends[t] : ends[t + 1]]."""
+    ids: list[str] = []
+    scores: list[np.ndarray] = []
+    found: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        kept, blocks, which = _first(np.concatenate(scores), n, places)
+        said = None if words is None else [[words[t] for t in found[b] if q in columns[ends[t] : ends[t + 1]]] for b, q in zip(blocks, which)]
+        data = [pa.array(which, pa.int32()), pa.array([ids[b] for b in blocks], pa.string()), pa.array(kept, pa.float64()), pa.array(said, pa.list_(pa.string())) if said is not None else pa.nulls(len(kept), pa.list_(pa.string()))]
+        for x in (ids, scores, found):
+            x.clear()
+        return pa.RecordBatch.from_arrays(data, names=["q", "block_id", "score", "terms"])
+
+    for names, t, weight in _whole(batches):
+        starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        stops = np.append(starts[1:], len(names))
+        pairs = np.cumsum(ends[t + 1] - ends[t])
+        at = 0
+        while at < len(starts):  # as many blocks as make CELLS pairs or scores, one at least
+            before = pairs[starts[at] - 1] if starts[at] else 0
+            to = max(at + 1, min(int(np.searchsorted(pairs[stops - 1], before + CELLS, "right")), at + max(1, CELLS // width - len(ids))))
+            part = slice(starts[at], stops[to - 1])
+            times = ends[t[part] + 1] - ends[t[part]]
+            own = np.repeat(np.arange(to - at), stops[at:to] - starts[at:to])
+            query = columns[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(ends[t[part]], times)]
+            scores.append(np.bincount(np.repeat(own * width, times) + query, np.repeat(weight[part], times), (to - at) * width).reshape(-1, width))
+            ids += names[starts[at:to]].tolist()
+            if words is not None:
+                found += np.split(t[part], starts[at + 1 : to] - starts[at])
+            if len(ids) * width >= CELLS:
+                yield out()
+            at = to
+    if ids:
+        yield out()
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches (block_id, t, weight) of whole blocks: a block that the next batch goes on with waits for it."""
+    rest: tuple | None = None
+    for batch in batches:
+        now = (np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy())
+        if rest is not None:
+            now = tuple(np.concatenate(x) for x in zip(rest, now))
+        if not len(now[0]):
+            continue
+        cut = len(now[0]) - int(np.argmax((now[0] != now[0][-1])[::-1])) if now[0][0] != now[0][-1] else 0
+        rest = tuple(x[cut:] for x in now)
+        if cut:
+            yield tuple(x[:cut] for x in now)
+    if rest is not None:
+        yield rest
+
+
+def _first(scores: np.ndarray, n: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, row, column) of the first n rows of each column by rounded score and row, rows being in the order of their ids; a score of zero is none."""
+    shown = np.where(scores > 0, np.floor(scores * 10.0**places + 0.5) / 10.0**places, -1.0)
+    keep = scores > 0
+    if len(shown) > n:
+        least = np.partition(shown, len(shown) - n, axis=0)[len(shown) - n]
+        more, same = shown > least, shown == least
+        keep &= more | (same & (np.cumsum(same, axis=0) <= n - more.sum(axis=0)))
+    rows, columns = np.nonzero(keep)
+    return shown[rows, columns], rows, columns
 
 
 def top(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:

@@ -28,11 +28,23 @@ def generation(t):
     return store, search.current_generation(store, index.line_blocks(t.documents), state)[0]
 
 
-def searched(t, where: str = "item_id = 0", visible=None):
+def sought(t, where: str):
     (store, active), queries = generation(t), terms_of(t, where)
     terms = [r.term for r in queries.select("term").distinct().limit(retrieval.FEW_TERMS_READ + 1).collect()]
     found = store.postings_of(terms, active) if len(terms) <= retrieval.FEW_TERMS_READ else store.postings_with(queries, active)
-    return retrieval.bm25(found, store.blocks(active), queries, visible and visible(store.blocks(active)), store.sizes(active))
+    return found, store.blocks(active), queries, store.sizes(active)
+
+
+def searched(t):
+    found, blocks, queries, size = sought(t, "item_id = 0")
+    return retrieval.bm25(found, blocks, queries, size=size)
+
+
+def best(t, n: int, visible=None):
+    """The first n blocks of each item of the benchmark."""
+    found, blocks, queries, size = sought(t, "true")
+    hits = retrieval.best(found, blocks, queries, n, 6, visible and visible(blocks), size)
+    return hits.select("query_id", "block_id", c("rank").cast("long").alias("rank"), "score")
 
 
 @query("snk1_postings_sink", f"WITH {LINES}, {POSTINGS} SELECT term, count(*) AS blocks, CAST(sum(tf) AS BIGINT) AS occurrences FROM postings GROUP BY 1")
@@ -83,8 +95,7 @@ def bm25_search(t):
 
 @query("ret1_bm25_batch", f"WITH {LINES}, {POSTINGS}, q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark), {SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, block_id) AS rank FROM scores) SELECT query_id, block_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5")
 def bm25_batch(t):
-    scores = searched(t, "true").withColumn("score", F.round("score", 6))
-    return retrieval.top(scores, ["query_id"], 5, F.desc("score"), F.asc("block_id")).select("query_id", "block_id", c("rank").cast("long").alias("rank"), "score")
+    return best(t, 5)
 
 
 @query("ret2_stale_terms", f"WITH {LINES}, {POSTINGS}, {ONE} SELECT block_id, count(*) AS matched FROM postings JOIN q USING (term) GROUP BY 1")
@@ -99,8 +110,7 @@ def stale(t):
 @query("ret3_as_of_hits", f"WITH {LINES}, {POSTINGS}, q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark), {SCORES}, r AS (SELECT query_id, block_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, block_id) AS rank FROM scores JOIN lines USING (block_id) JOIN orders ON o_orderkey = doc_id WHERE o_orderdate <= TIMESTAMP '1996-06-30 00:00:00') SELECT query_id, block_id, rank, round(score, 6) AS score FROM r WHERE rank <= 20")
 def as_of_hits(t):
     public = t.orders.where("o_orderdate <= TIMESTAMP_NTZ '1996-06-30 00:00:00'").select(c("o_orderkey").alias("doc_id"))
-    scores = searched(t, "true", lambda blocks: blocks.join(public, "doc_id", "left_semi")).withColumn("score", F.round("score", 6))
-    return retrieval.top(scores, ["query_id"], 20, F.desc("score"), F.asc("block_id")).select("query_id", "block_id", c("rank").cast("long").alias("rank"), "score")
+    return best(t, 20, lambda blocks: blocks.join(public, "doc_id", "left_semi"))
 
 
 _EVERY = f"q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark)"

@@ -44,3 +44,40 @@ def test_first_lines_of_parts_over_a_million(spark, tmp_path):
     lines = [(o, n, p, 1) for o in (1, 2, 3) for n, p in ((1, 1_950_001), (1, 1_150_001), (2, 100_001), (3, 10))]
     tables(spark, tmp_path, orders=([(o, 7, "O", day + datetime.timedelta(o)) for o in (1, 2, 3)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"), part=([(p,) for p in (1_950_001, 1_150_001, 100_001, 10)], "p_partkey long"))
     assert differences(spark, tmp_path, "ret8_entity_evidence_items") == []
+
+
+def test_best_blocks_are_those_of_all_scores(spark, tmp_path, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stratafolio.operators import index, retrieval
+
+    r = random.Random(3)
+    lines = [(k, 0, f"b{k % 97}-{k}", " ".join(r.choices("abcdefgh", k=r.randint(1, 6)))) for k in range(400)]
+    blocks = spark.createDataFrame(lines, "doc_id long, ordinal int, block_id string, text string")
+    store = index.IndexStore(spark, str(tmp_path / "store"))
+    name, _ = store.build(blocks, term_buckets=2)
+    queries = spark.createDataFrame([(q, t) for q, ts in (("x", "ab"), ("y", "bcdz"), ("z", "h"), ("none", "z")) for t in ts], "query_id string, term string")
+    allowed = blocks.where("doc_id % 3 > 0").select("block_id")
+    rows = lambda df: sorted((x.query_id, x["rank"], x.block_id, round(x.score, 6), *([sorted(x.terms)] if "terms" in df.columns else [])) for x in df.collect())
+    for cells, seen in ((12, None), (100, allowed), (1 << 20, allowed)):
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        plain = retrieval.bm25(store.postings(name), store.blocks(name), queries, seen, store.sizes(name), terms=True).withColumn("score", F.round("score", 6))
+        want = rows(retrieval.top(plain, ["query_id"], 7, F.desc("score"), F.asc("block_id")))
+        assert len(want) == 21
+        for few in (100_000, 1):
+            monkeypatch.setattr(retrieval, "FEW_TERMS", few)
+            assert rows(retrieval.best(store.postings(name), store.blocks(name), queries, 7, 6, seen, store.sizes(name), terms=True)) == want
+
+
+def test_scores_hand_on_no_more_than_the_first_of_each_query():
+    import numpy as np
+    import pyarrow as pa
+
+    from stratafolio.operators import retrieval
+
+    rows = [(f"b{b:04}", t, 1.0 + (b * 7 + t) % 5) for b in range(500) for t in (0, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + 33])], names=["block_id", "t", "weight"]) for at in range(0, len(rows), 33)]
+    out = [b for b in retrieval._scored(iter(batches), 2, np.array([0, 2, 3]), np.array([0, 1, 1]), None, 4, 6)]
+    assert sum(b.num_rows for b in out) == 8  # of 1,000 pairs
