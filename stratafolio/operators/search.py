@@ -79,18 +79,16 @@ def search(store: index.IndexStore, generation: str, queries: DataFrame, authori
     limit = max(1, min(int(limit), MOST_HITS))
     few = [r.term for r in queries.select("term").distinct().limit(retrieval.FEW_TERMS_READ + 1).collect()]
     found = store.postings_of(few, generation) if len(few) <= retrieval.FEW_TERMS_READ else store.postings_with(queries, generation)
-    scores = written(retrieval.bm25(found, store.blocks(generation), queries, allowed, store.sizes(generation), terms=True).withColumn("score", F.round("score", 9)))
-    most = scores.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
     taken = CANDIDATES_A_HIT * limit
     while True:
-        head = written(retrieval.top(scores, ["query_id"], taken, F.desc("score"), F.asc("block_id")))
+        head = written(retrieval.best(found, store.blocks(generation), queries, taken, 9, allowed, store.sizes(generation), terms=True))
         raw = authoritative.join(head.select("block_id").distinct(), "block_id", "left_semi")
         present = gate(raw.select("block_id", "text"), projections, heads, hold).select("block_id", "projection_id", tokens(F.col("text")).alias("now"))
         matched = F.array_sort(F.array_distinct(F.array_intersect("terms", "now")))
         passed = written(head.join(present, "block_id").select("query_id", "rank", "block_id", "score", matched.alias("matched"), "projection_id").where(F.size("matched") > 0))
         want = head.groupBy("query_id").count().where(F.col("count") >= taken)
         short = want.join(passed.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").where(F.coalesce("hits", F.lit(0)) < limit)
-        if taken >= most or short.isEmpty():
+        if short.isEmpty():
             break
         dropped(head, passed)
         taken *= 4
