@@ -73,8 +73,8 @@ def manifest_of(blocks: DataFrame) -> str:
     return f"gen-{whole[:24]}"
 
 
-#: Blocks for which the index gets another bucket of terms, and another file in each bucket.
-BLOCKS_A_BUCKET, BLOCKS_A_FILE = 100_000, 4_000_000
+#: Blocks for which the index gets another bucket of terms, buckets at most, and postings for which each bucket gets another file.
+BLOCKS_A_BUCKET, MOST_BUCKETS, POSTINGS_A_FILE = 100_000, 64, 500_000
 
 
 def session_store(spark: SparkSession, name: str) -> IndexStore:
@@ -111,7 +111,7 @@ class IndexStore:
     def build(self, blocks: DataFrame, term_buckets: int | None = None, source: str | None = None) -> tuple[str, bool]:
         """The generation of these blocks, and whether it was built now. It is bound to the state of its source, if one is given.
 
-        Terms are dealt to as many buckets as the blocks ask for, and each bucket, by block, to as many files, so that neither a task nor a very
+        Terms are dealt to buckets, and each bucket, by block, to as many files as the postings ask for, so that neither a task nor a very
         frequent term grows with the corpus. Postings carry their block's length, and the sizes of the whole are kept with them.
         """
         generation = manifest_of(blocks)
@@ -124,9 +124,10 @@ class IndexStore:
         self.fs.delete(self._path(generation), True)  # residue of a crash
         blocks.select("doc_id", "block_id", F.size(F.array_distinct(tokens(F.col("text")))).cast("long").alias("terms"), F.length("text").cast("long").alias("length")).write.parquet(f"{place}/blocks")
         wrote = self.spark.read.parquet(f"{place}/blocks").agg(F.count("*").alias("n"), F.sum("terms").alias("t"), F.avg("length").alias("avg")).first()
-        buckets, files = term_buckets or max(16, wrote.n // BLOCKS_A_BUCKET), 1 + wrote.n // BLOCKS_A_FILE
+        buckets = term_buckets or min(MOST_BUCKETS, max(16, wrote.n // BLOCKS_A_BUCKET))
+        files = 1 + (wrote.t or 0) // (buckets * POSTINGS_A_FILE)
         index = postings(blocks, lengths=True).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        dealt = index.repartition(buckets * files, "bucket", F.pmod(F.xxhash64("block_id"), F.lit(files)))
+        dealt = index.repartitionById(buckets * files, (F.col("bucket") * files + F.pmod(F.xxhash64("block_id"), F.lit(files))).cast("int"))  # a file a task, so no task sorts two
         dealt.sortWithinPartitions("bucket", "term", "block_id").write.partitionBy("bucket").parquet(f"{place}/postings")
         self.spark.createDataFrame([(buckets, wrote.n, float(wrote.avg or 0.0))], "buckets int, n long, avg double").coalesce(1).write.parquet(f"{place}/sizes")
         rows = self.spark.read.parquet(f"{place}/postings").count()

@@ -81,3 +81,15 @@ def test_scores_hand_on_no_more_than_the_first_of_each_query():
     batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + 33])], names=["block_id", "t", "weight"]) for at in range(0, len(rows), 33)]
     out = [b for b in retrieval._scored(iter(batches), 2, np.array([0, 2, 3]), np.array([0, 1, 1]), None, 4, 6)]
     assert sum(b.num_rows for b in out) == 8  # of 1,000 pairs
+
+
+def test_each_task_of_a_build_writes_one_file_of_few_postings(spark, tmp_path, monkeypatch):
+    from stratafolio.operators import index
+
+    monkeypatch.setattr(index, "POSTINGS_A_FILE", 50)
+    words = [f"w{k}" for k in range(40)]
+    blocks = spark.createDataFrame([(k, 0, f"b{k}", " ".join(words)) for k in range(100)], "doc_id long, ordinal int, block_id string, text string")
+    store = index.IndexStore(spark, str(tmp_path / "store"))
+    name, _ = store.build(blocks)
+    sizes = [r["count"] for r in store.postings(name).selectExpr("input_file_name() AS f").groupBy("f").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 60 and max(sizes) < 250
