@@ -18,9 +18,11 @@ def _reasons() -> Column:
     return F.concat(quality.ocr_reasons(F.length(text), text), F.when(F.coalesce("unmapped", F.lit(False)), F.array(F.lit("cid_font_unsupported"))).otherwise(F.array().cast("array<string>")))
 
 
-def to_recognise(pages: DataFrame, keys: list[str], most: int = MOST_PAGES) -> DataFrame:
-    """keys, page and reasons of the pages (keys.., page, text, unmapped) whose text layer is missing, sparse or damaged: the first `most` of a document."""
+def to_recognise(pages: DataFrame, keys: list[str], most: int | None = MOST_PAGES) -> DataFrame:
+    """keys, page and reasons of the pages (keys.., page, text, unmapped) whose text layer is missing, sparse or damaged: the first `most` of a document, or all."""
     wanted = pages.withColumn("reasons", _reasons()).where(F.size("reasons") > 0)
+    if most is None:
+        return wanted.select(*keys, "page", "reasons")
     return wanted.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("page"))).where(F.col("n") <= most).select(*keys, "page", "reasons")
 
 

@@ -93,3 +93,8 @@ def test_each_task_of_a_build_writes_one_file_of_few_postings(spark, tmp_path, m
     name, _ = store.build(blocks)
     sizes = [r["count"] for r in store.postings(name).selectExpr("input_file_name() AS f").groupBy("f").count().collect()]
     assert sum(sizes) == 4000 and len(sizes) > 60 and max(sizes) < 250
+
+
+def test_all_pages_of_a_long_document_are_recognised(spark, tmp_path):
+    tables(spark, tmp_path, documents=([(1, "\n".join(["short"] * 450 + ["a line that is long enough"] * 3)), (2, "x\ny")], "doc_id long, text string"))
+    assert differences(spark, tmp_path, "arr3_page_states") == []
