@@ -57,11 +57,23 @@ NODE = "object string, block_id string, projection_id string, extraction_id stri
 _KEYS = ["block_id", "projection_id", "extraction_id", "source", "doc_id", "version_id"]
 
 
+#: Nodes that are handed on at once.
+NODES = 10_000
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every JSON object, at any depth, that names a block, an extraction or a document."""
+    """Every JSON object, at any depth, that names a block, an extraction or a document. Held are the JSON of one object and NODES of what was found."""
+    out: list[tuple] = []
+
+    def taken() -> pa.RecordBatch:
+        columns = zip(*out) if out else [[]] * (1 + len(_KEYS))
+        found = pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["object", *_KEYS])
+        out.clear()
+        return found
+
     for batch in batches:
-        out = []
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for k in range(batch.num_rows):
+            name, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
             try:
                 stack = [json.loads(text)] if text is not None else []
             except ValueError:
@@ -74,8 +86,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     stack += v.values()
                 elif isinstance(v, list):
                     stack += v
-        columns = zip(*out) if out else [[]] * (1 + len(_KEYS))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=["object", *_KEYS])
+                if len(out) >= NODES:
+                    yield taken()
+        if out:
+            yield taken()
 
 
 def current_evidence(objects: DataFrame, blocks: DataFrame, heads: DataFrame, hold: bool = False) -> DataFrame:

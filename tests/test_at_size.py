@@ -98,3 +98,18 @@ def test_each_task_of_a_build_writes_one_file_of_few_postings(spark, tmp_path, m
 def test_all_pages_of_a_long_document_are_recognised(spark, tmp_path):
     tables(spark, tmp_path, documents=([(1, "\n".join(["short"] * 450 + ["a line that is long enough"] * 3)), (2, "x\ny")], "doc_id long, text string"))
     assert differences(spark, tmp_path, "arr3_page_states") == []
+
+
+def test_nodes_of_large_evidence_are_handed_on_in_pieces():
+    import json
+
+    import pyarrow as pa
+
+    from stratafolio.operators import currency
+
+    text = json.dumps({"inner": [[{"source": "s", "doc_id": str(k)} for k in range(25_000)]]})
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c", "d"]), pa.array([text, text, "{", None])], names=["object", "evidence"])
+    found = list(currency._nodes(iter([batch])))
+    assert max(b.num_rows for b in found) <= 10_000
+    rows = [(o, d) for b in found for o, d in zip(b.column(0).to_pylist(), b.column(5).to_pylist())]
+    assert sorted(rows) == sorted((o, str(k)) for o in "ab" for k in range(25_000))
