@@ -123,7 +123,7 @@ def background_sources(documents: DataFrame, versions: DataFrame, extractions: D
     shown = documents.select("entity", *key, "report_period").join(chosen.select(*key, "version_id"), key).join(newest, [*key, "version_id"], "left")
     order = Window.partitionBy("entity").orderBy(F.col("report_period").desc_nulls_first(), *key)
     first = shown.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, min(limit, 200)))
-    wanted = first.where("extraction_id IS NOT NULL").select("extraction_id").distinct()
+    wanted = first.where("extraction_id IS NOT NULL").select("extraction_id").distinct().hint("shuffle_hash")  # few of all extractions, whose blocks then stream by unsorted
     heads_of = search.gate(blocks.where("ordinal < 3").join(wanted, "extraction_id", "left_semi").select("extraction_id", "ordinal", "block_id", "text"), projections, heads, hold)
     refs = heads_of.groupBy("extraction_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "block_id", "projection_id"))).alias("refs"))  # three at most
     empty = F.array().cast(dict(refs.dtypes)["refs"])
