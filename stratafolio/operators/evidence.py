@@ -31,9 +31,9 @@ def entity_evidence(documents: DataFrame, versions: DataFrame, extractions: Data
     if allowed is not None:
         newest = newest.join(allowed.select(*key).distinct(), key, "left_semi")
     read = latest(extractions.join(newest.select(*key, "version_id").distinct(), [*key, "version_id"], "left_semi"), [*key, "version_id"], F.desc("ingest_seq")).select(*key, "version_id", "extraction_id")
-    shown = _first(blocks.join(read.select("extraction_id"), "extraction_id", "left_semi").where(F.col("text").rlike(r"(?U)\S")), ["extraction_id"], blocks_a_doc, *block_order).drop("_k")
+    shown = _first(blocks.join(read.select("extraction_id"), "extraction_id", "left_semi").where(F.col("text").rlike(r"(?U)\S")), ["extraction_id"], blocks_a_doc, *block_order).withColumnRenamed("_k", "nth")
     gated = search.gate(shown, projections, heads if projections is not None else None, hold)
-    of_blocks = newest.join(read, [*key, "version_id"]).join(gated, "extraction_id").select("entity", F.lit(0).alias("part"), F.col("d").cast("long").alias("a"), F.col("ordinal").cast("long").alias("b"), F.lit("document_block").alias("kind"), *key, "version_id", "extraction_id", "block_id", "projection_id", "page", "text")
+    of_blocks = newest.join(read, [*key, "version_id"]).join(gated, "extraction_id").select("entity", F.lit(0).alias("part"), F.col("d").cast("long").alias("a"), F.col("ordinal").cast("long").alias("b"), "nth", F.lit("document_block").alias("kind"), *key, "version_id", "extraction_id", "block_id", "projection_id", "page", "text")
     live = analyses.where("status = 'done' AND draft IS NOT NULL").join(stale.where("kind = 'analysis'").select(F.col("object_id").alias("run_id")), "run_id", "left_anti")
     runs = _first(newest.select("entity", *key, "version_id").join(live, [*key, "version_id"]), ["entity"], most_analyses, F.desc("finished_at"), F.col("run_id"))
     of_runs = runs.select("entity", F.lit(1).alias("part"), F.col("_k").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("analysis").alias("kind"), *key, "version_id", "run_id", "model_identity", F.col("draft").alias("text"))
@@ -44,7 +44,7 @@ def entity_evidence(documents: DataFrame, versions: DataFrame, extractions: Data
     valid = currency.current_evidence(fresh.select(F.col("_name").alias("object"), both.alias("evidence")), cited, heads, hold).where("current").select(F.col("object").alias("_name"))
     of_claims = fresh.join(valid, "_name", "left_semi").select("entity", F.lit(2).alias("part"), F.col("_k").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit("claim").alias("kind"), F.col("claim_id").cast("string").alias("claim_id"), "revision", "status", F.col("statement").alias("text"))
     every = of_blocks.unionByName(of_runs, allowMissingColumns=True).unionByName(of_claims, allowMissingColumns=True)
-    number = F.row_number().over(Window.partitionBy("entity").orderBy("part", "a", "b"))
+    number = F.row_number().over(Window.partitionBy("entity").orderBy("part", "a", "b", "nth"))
     return every.withColumn("n", number.cast("long")).select(*EVIDENCE)
 
 

@@ -46,6 +46,14 @@ def test_first_lines_of_parts_over_a_million(spark, tmp_path):
     assert differences(spark, tmp_path, "ret8_entity_evidence_items") == []
 
 
+def test_lines_of_one_part_are_told_apart_by_their_supplier(spark, tmp_path):
+    day = datetime.datetime(1995, 1, 1)
+    lines = [(o, 1, 10, s) for o in range(1, 9) for s in ((900, 31, 700, 5) if o % 2 else (5, 700, 31, 900))]
+    tables(spark, tmp_path, orders=([(o, o, "O", day) for o in range(1, 9)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"), part=([(10,)], "p_partkey long"))
+    shown = {(r.entity, r.what) for r in QUERIES["ret8_entity_evidence_items"](spark, str(tmp_path)).where("kind = 'document_block'").collect()}
+    assert shown == {(o, f"1-10-{s}") for o in range(1, 9) for s in (5, 31)}
+
+
 def test_best_blocks_are_those_of_all_scores(spark, tmp_path, monkeypatch):
     import random
 
