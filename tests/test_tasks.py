@@ -120,3 +120,26 @@ def test_what_changed_while_the_model_was_thinking_is_not_written(spark, tmp_pat
     assert {r.status for r in out.collect()} == {"done"} and not run.outputs().where("draft LIKE '%text a1%'").count()
     everything = blocks.withColumn("text", F.lit("new"))
     assert {r.task_key: (r.status, r.error) for r in run.states(wanted, lambda: everything, 1).collect()} == {"a": ("blocked", tasks.CHANGED), "b": ("blocked", tasks.CHANGED)}
+
+
+def test_texts_are_moved_few_times(spark, tmp_path):
+    import hashlib
+
+    from .shuffled import moved
+
+    noise = lambda k: "".join(hashlib.sha512(f"{k}/{j}".encode()).hexdigest() for j in range(32))
+    wanted = spark.createDataFrame([(str(k), "q") for k in range(100)], "task_key string, query string")
+    blocks = tasks.written(spark.createDataFrame([(str(k), i, f"{k}-{i}", noise(f"{k}-{i}")) for k in range(100) for i in range(12)], BLOCK))
+    texts = 100 * 12 * 4096
+    with moved(spark) as seen:
+        out = SectionRun(spark, str(tmp_path / "run")).run(wanted, lambda: blocks, lambda p: F.md5(p), size=4).collect()
+    assert {(r.status, r.done) for r in out} == {("done", 3)}
+    assert seen["bytes"] < 4 * texts
+
+
+@pytest.mark.parametrize("cap", [None, 40])
+def test_the_outline_tells_what_the_sections_are(spark, cap):
+    rows = [("a", i, f"a{i}", t) for i, t in enumerate(["plain", "漢字 and more", "x" * 60, "", "é\ny"] * 3)]
+    wanted, blocks = spark.createDataFrame([("a", None)], "task_key string, query string"), spark.createDataFrame(rows, BLOCK)
+    full = {(r.section, r.tokens, r.digest, r.error, r.blocks[-1].n) for r in sections_of(wanted, blocks, 4, cap).collect()}
+    assert full == {(r.section, r.tokens, r.digest, r.error, r.last) for r in tasks.outline_of(wanted, blocks, 4, cap).collect()}
