@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from . import currency, search
-from .projections import projected_blocks
+from .projections import projected
 from .selection import latest
 
 EVIDENCE = ["entity", "n", "kind", "source", "doc_id", "version_id", "extraction_id", "block_id", "projection_id", "page", "claim_id", "revision", "status", "run_id", "model_identity", "text"]
@@ -55,19 +55,28 @@ def evidence_context(wanted: DataFrame, blocks: DataFrame, projections: DataFram
     projection; with one, all are as it shows them, and neighbours that consumers may not see are left out. One that is not the block's, or of another text, is an error, and then there is
     no text. `cells` has each cell's row, column, whether it is a header's, and the number that it reads as.
     """
+    none = F.lit(None).cast("string")
+    kinds = [
+        wanted.select("block_id", F.lit("asked").alias("kind"), "projection_id", none.alias("sha"), none.alias("text")),
+        heads.select("block_id", F.lit("head").alias("kind"), "projection_id", none.alias("sha"), none.alias("text")),
+        projections.select("block_id", F.lit("stored").alias("kind"), "projection_id", F.col("text_sha256").alias("sha"), F.col("projected_text").alias("text")),
+    ]
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    # What is asked of a block, its head, and its projections meet its text once; one of another block is as good as none.
+    side = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).repartition("block_id").groupBy("block_id").agg(F.collect_list(of("asked", F.struct(F.col("projection_id").alias("asked")))).alias("asks"), F.max(of("head", F.col("projection_id"))).alias("head"), F.collect_list(of("stored", F.struct("projection_id", "sha", "text"))).alias("stored"))
+    own = lambda chosen: F.get(F.filter("stored", lambda x: x["projection_id"] == chosen), F.lit(0))
+    base = blocks.select("block_id", "extraction_id", "ordinal", "text", "table", "header_rows").join(side, "block_id", "left").withColumn("_p", own(F.col("head")))
+    text, error, projection = projected(F.col("text"), F.col("head"), F.col("_p"), F.col("_p").isNotNull())
+    fit = error.isNull() & search.admitted(text, projection, hold)
+    # As a neighbour a block is its own text, its projection, or left out; texts then meet by extraction.
+    near = base.withColumn("_raw", fit & projection.isNull()).withColumn("_shown", F.when(fit & projection.isNotNull(), text)).drop("_p")
     w = Window.partitionBy("extraction_id").orderBy("ordinal")
-    around = blocks.select("block_id", "text", "table", "header_rows", F.lag(F.struct("block_id", "text")).over(w).alias("b"), F.lead(F.struct("block_id", "text")).over(w).alias("a")).join(wanted.select("block_id", F.col("projection_id").alias("asked")), "block_id")
-    around = around.withColumn("_asked", F.coalesce("asked", F.lit("")))
-    asked = around.select("block_id", "_asked", "asked", "text").distinct()
-    choice = asked.join(heads.select("block_id", F.col("projection_id").alias("head")), "block_id", "left").select("block_id", "_asked", F.coalesce("asked", "head").alias("projection_id"))
-    seen = projected_blocks(asked.select("block_id", "_asked", "text"), projections, choice, ("block_id", "_asked")).select("block_id", "_asked", F.col("text").alias("shown"), "projection_id", "error")
-    near = around.select(F.explode(F.array("b", "a")).alias("x")).where("x IS NOT NULL").select("x.block_id", "x.text").distinct()
-    gated = search.gate(near, projections, heads, hold).select(F.col("block_id").alias("_id"), F.col("text").alias("_text"))
-    joined = around.join(seen, ["block_id", "_asked"])
-    for side in ("b", "a"):
-        own = gated.select(F.col("_id").alias(f"_{side}"), F.col("_text").alias(f"{side}_text"))
-        joined = joined.join(own, F.col(f"{side}.block_id") == F.col(f"_{side}"), "left")
+    view = F.struct("text", F.coalesce("_shown", F.when(F.col("_raw"), F.col("text"))).alias("gated"))
+    around = near.select("block_id", "text", "table", "header_rows", "asks", "head", "stored", F.lag(view).over(w).alias("b"), F.lead(view).over(w).alias("a")).where("asks IS NOT NULL")
+    asked = around.select("*", F.inline("asks")).withColumn("_chosen", F.coalesce("asked", "head")).withColumn("_p", own(F.col("_chosen")))
+    text, error, projection = projected(F.col("text"), F.col("_chosen"), F.col("_p"), F.col("_p").isNotNull())
+    joined = asked.withColumns({"error": error, "shown": text, "projection_id": projection})
     explicit = F.col("asked").isNotNull()
     cell = lambda r, row: F.transform(row, lambda v, c: F.struct(r.alias("row"), c.alias("column"), (r < F.coalesce(F.col("header_rows"), F.lit(0))).alias("is_header"), v.alias("text"), numbers.number_of(v)["value"].alias("value")))
     cells = F.flatten(F.transform("table", lambda row, r: cell(r, row)))
-    return joined.select("block_id", F.when(explicit, F.col("shown")).when(F.col("error").isNull(), F.col("text")).alias("text"), "shown", "projection_id", F.when(explicit, "explicit").otherwise("current").alias("selection"), F.when(explicit, F.col("b_text")).otherwise(F.col("b.text")).alias("before"), F.when(explicit, F.col("a_text")).otherwise(F.col("a.text")).alias("after"), "table", cells.alias("cells"), "error")
+    return joined.select("block_id", F.when(explicit, F.col("shown")).when(F.col("error").isNull(), F.col("text")).alias("text"), "shown", "projection_id", F.when(explicit, "explicit").otherwise("current").alias("selection"), F.when(explicit, F.col("b.gated")).otherwise(F.col("b.text")).alias("before"), F.when(explicit, F.col("a.gated")).otherwise(F.col("a.text")).alias("after"), "table", cells.alias("cells"), "error")

@@ -96,6 +96,13 @@ def activated(heads: DataFrame, requests: DataFrame) -> DataFrame:
     return out.where("outcome <> 'head'").withColumn("revision", F.col("revision").cast("int"))
 
 
+def projected(text: Column, chosen: Column, projection: Column, own: Column) -> tuple[Column, Column, Column]:
+    """(text, error, projection_id) of a block as its consumers see it: its raw text where no projection is chosen, else what the projection (sha, text) shows. One that isn't the
+    block's own, or was made of another text, is an error, and then there is no text."""
+    error = F.when(chosen.isNotNull() & ~F.coalesce(own, F.lit(False)), "projection does not belong to this block").when(chosen.isNotNull() & (F.sha2(text, 256) != projection["sha"]), "projection source changed")
+    return F.when(error.isNotNull(), None).when(chosen.isNotNull(), projection["text"]).otherwise(text), error, F.when(error.isNull(), chosen)
+
+
 def projected_blocks(blocks: DataFrame, projections: DataFrame, heads: DataFrame, keys: tuple[str, ...] = ("block_id",)) -> DataFrame:
     """blocks (block_id, text, and their own columns) as their consumers see them, with projection_id, raw_text_sha256 and error.
 
@@ -106,10 +113,10 @@ def projected_blocks(blocks: DataFrame, projections: DataFrame, heads: DataFrame
     """
     own = heads.select(*keys, F.col("projection_id").alias("_chosen")).where("_chosen IS NOT NULL").join(projections.select(F.col("projection_id").alias("_chosen"), F.struct(F.col("block_id").alias("b"), F.col("text_sha256").alias("sha"), F.col("projected_text").alias("text")).alias("_p")), "_chosen", "left")
     seen = blocks.join(own, list(keys), "left")
-    chosen, p = F.col("_chosen").isNotNull(), F.col("_p")
-    error = F.when(chosen & ~F.coalesce(p["b"] == F.col("block_id"), F.lit(False)), "projection does not belong to this block").when(chosen & (F.sha2("text", 256) != p["sha"]), "projection source changed")
+    p = F.col("_p")
+    text, error, projection = projected(F.col("text"), F.col("_chosen"), p, p["b"] == F.col("block_id"))
     rest = [c for c in blocks.columns if c != "text"]
-    return seen.withColumn("error", error).select(*rest, F.when(F.col("error").isNotNull(), None).when(chosen, p["text"]).otherwise(F.col("text")).alias("text"), F.when(F.col("error").isNull(), F.col("_chosen")).alias("projection_id"), F.when(F.col("error").isNull() & chosen, p["sha"]).alias("raw_text_sha256"), "error")
+    return seen.select(*rest, text.alias("text"), projection.alias("projection_id"), F.when(projection.isNotNull(), p["sha"]).alias("raw_text_sha256"), error.alias("error"))
 
 
 def owned(chars: DataFrame, regions: DataFrame, page: list[str]) -> DataFrame:

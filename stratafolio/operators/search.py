@@ -28,11 +28,16 @@ def gate(blocks: DataFrame, projections: DataFrame | None = None, heads: DataFra
         seen = blocks.withColumn("projection_id", F.lit(None).cast("string"))
     else:
         seen = projected_blocks(blocks, projections, heads).where("error IS NULL").drop("error", "raw_text_sha256")
-    good = quality.usable(F.col("text"))
+    return seen.where(admitted(F.col("text"), F.col("projection_id"), hold))
+
+
+def admitted(text: Column, projection_id: Column, hold: bool = False) -> Column:
+    """Whether a text, of a projection or raw, may be shown as evidence."""
+    good = quality.usable(text)
     if hold:
-        risky = quality.chart_signal(F.col("text"), quality.stripped_lines(F.col("text")))["requires_review"]
-        good = good & (F.col("projection_id").isNotNull() | ~F.coalesce(risky, F.lit(False)))
-    return seen.where(good)
+        risky = quality.chart_signal(text, quality.stripped_lines(text))["requires_review"]
+        good = good & (projection_id.isNotNull() | ~F.coalesce(risky, F.lit(False)))
+    return good
 
 
 def selected_blocks(versions: DataFrame, extractions: DataFrame, blocks: DataFrame, projections: DataFrame | None = None, heads: DataFrame | None = None, hold: bool = False) -> DataFrame:

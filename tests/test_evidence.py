@@ -122,3 +122,21 @@ def test_a_retriever_cannot_show_what_the_gate_holds_back(spark):
     registries.RETRIEVERS.register("fixed", lambda queries, blocks, k: hits)
     queries = spark.createDataFrame([(1, "q")], "query_id int, query string")
     assert [(r.rank, r.block_id, r.text) for r in registries.retrieved(queries, blocks, "fixed", 5, search.gate).orderBy("rank").collect()] == [(1, "b1", "fine"), (2, "b3", "also")]
+
+
+def test_texts_around_a_block_are_moved_few_times(spark):
+    from stratafolio.operators.storage import written
+
+    from .shuffled import moved
+
+    noise = lambda k: "".join(hashlib.sha512(f"{k}/{j}".encode()).hexdigest() for j in range(16))
+    blocks = written(spark.createDataFrame([(f"{d}-{k}", str(d), k, noise(f"{d}-{k}"), None, None) for d in range(60) for k in range(20)], BLOCK))
+    stored = written(blocks.where("ordinal % 2 = 0").select(F.concat(F.lit("p"), "block_id").alias("projection_id"), "block_id", F.sha2("text", 256).alias("text_sha256"), F.lit("seen").alias("projected_text")))
+    wanted = blocks.select("block_id", F.when(F.col("ordinal") % 4 == 0, F.concat(F.lit("p"), "block_id")).when(F.col("ordinal") % 4 == 1, "nowhere").alias("projection_id"))
+    with moved(spark) as seen:
+        out = evidence.evidence_context(wanted, blocks, stored, stored.select("block_id", "projection_id")).collect()
+    assert seen["bytes"] < 4 * 60 * 20 * 2048
+    got = {r.block_id: r for r in out}
+    assert len(out) == 1200 and (got["7-4"].text, got["7-4"].before, got["7-4"].after) == ("seen", noise("7-3"), noise("7-5"))
+    assert (got["7-1"].text, got["7-1"].error, got["7-1"].before, got["7-1"].after) == (None, "projection does not belong to this block", "seen", "seen")
+    assert (got["7-2"].text, got["7-2"].shown, got["7-2"].before) == (noise("7-2"), "seen", noise("7-1"))
