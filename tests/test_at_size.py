@@ -121,3 +121,8 @@ def test_nodes_of_large_evidence_are_handed_on_in_pieces():
     assert max(b.num_rows for b in found) <= 10_000
     rows = [(o, d) for b in found for o, d in zip(b.column(0).to_pylist(), b.column(5).to_pylist())]
     assert sorted(rows) == sorted((o, str(k)) for o in "ab" for k in range(25_000))
+
+
+def test_pages_of_any_characters(spark, tmp_path):
+    tables(spark, tmp_path, documents=([(1, "smile \U0001f600\nplain (a\\b)\n\n漢字 \U00020000 end"), (2, "x")], "doc_id long, text string"))
+    assert differences(spark, tmp_path, "arr3_pdf_pages") == []

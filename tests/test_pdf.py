@@ -194,3 +194,17 @@ def test_table_rows_without_end_tags():
 def test_html_text_decodes_references(spark):
     frame = spark.createDataFrame([("<p>a &lt;b&gt; &quot;c&quot; &#233;&nbsp;&amp;amp;</p><script>x&lt;</script>",), (None,)], "h string")
     assert [r.t for r in frame.select(documents.html_text(F.col("h")).alias("t")).collect()] == ['a <b> "c" é &amp;', None]
+
+
+def test_characters_outside_the_first_plane_are_pairs_of_codes():
+    codes = pdf.Codes(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange")
+    assert codes.text("a\U0001f600漢\U00020000".encode("utf-16-be")) == "a\U0001f600漢\U00020000"
+    assert codes.text(b"\xd8\x3d\x00a\xde\x00") == "�a�"
+
+
+def test_a_long_run_of_digits_is_scanned_once():
+    import time
+
+    raw = file_of(page(), (4, stream(b"", b"BT (" + b"7" * 60_000 + b") Tj ET")), table=False)
+    began = time.time()
+    assert texts(raw) == ["7" * 60_000] and time.time() - began < 2
