@@ -138,7 +138,8 @@ def background_claims(claims: DataFrame, revisions: DataFrame, versions: DataFra
     by_then = revisions if cutoff is None else revisions.where(F.col("created_at") <= cutoff)
     now = latest(by_then.join(early.select("claim_id"), "claim_id", "left_semi"), ["claim_id"], F.desc("revision"))
     if stale is not None:
-        now = now.join(stale.select("claim_id", "revision"), ["claim_id", "revision"], "left_anti")
+        gone = stale.groupBy("claim_id").agg(F.collect_set("revision").alias("_gone"))  # by claim, as the rest is
+        now = now.join(gone, "claim_id", "left").where(~F.coalesce(F.array_contains("_gone", F.col("revision")), F.lit(False))).drop("_gone")
     raw = F.concat(F.lit("["), F.coalesce("evidence", F.lit("[]")), F.lit(","), F.coalesce("counterevidence", F.lit("[]")), F.lit("]"))
     current = currency.current_evidence(now.select(F.col("claim_id").alias("object"), raw.alias("evidence")), blocks, heads, hold).where("current").select(F.col("object").alias("claim_id"))
     kept = now.withColumn("claim_id", F.col("claim_id").cast("string")).join(current, "claim_id", "left_semi")

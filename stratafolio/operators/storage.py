@@ -60,3 +60,16 @@ def stored(df: DataFrame, format: str = "parquet", **options) -> str:
     place, files = _place(spark, path)
     files.deleteOnExit(place)
     return path
+
+
+#: Rows of a task in what is dealt().
+ROWS_A_TASK = 200_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df by key, in as many parts as its rows ask for, so that what follows by this key takes more tasks, not larger ones, as the rows grow. Few rows stay as they are."""
+    spark = df.sparkSession
+    parts = df.count() // ROWS_A_TASK
+    if parts <= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)

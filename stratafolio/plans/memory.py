@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import memory
+from ..operators import memory, storage
 from .registry import query
 
 c = F.col
@@ -70,7 +70,7 @@ _VERSIONS = "v AS (SELECT o_custkey AS entity, l_orderkey AS doc_id, l_linenumbe
 
 
 def versions_of(t):
-    d = t.lineitem.join(t.orders, c("o_orderkey") == c("l_orderkey"))
+    d = storage.dealt(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), "l_orderkey").join(t.orders, c("o_orderkey") == c("l_orderkey"))
     one = d.groupBy("o_custkey", "l_orderkey", "l_linenumber", "l_partkey").agg(F.min("l_shipdate").alias("seen"), F.min("o_orderdate").alias("dated"))
     return one.select(c("o_custkey").alias("entity"), F.lit("s").alias("source"), c("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_linenumber", "l_partkey").alias("version_id"), c("seen").alias("first_observed_at"), F.when(c("l_partkey") % 3 > 0, c("seen") + F.expr("INTERVAL 30 DAYS")).alias("public_available_at"), c("seen").alias("synced_at"), (c("l_linenumber") == 1).alias("is_current"), F.when(c("l_orderkey") % 6 > 0, F.date_format("dated", "yyyy")).alias("report_period"))
 

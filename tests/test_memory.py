@@ -115,3 +115,15 @@ def test_long_citations_and_names(spark):
     assert [int(x) for x in got[0]] == [3, 7, 12345678901, 10**38 - 1] and got[1] is None
     names = spark.createDataFrame([("ok-1.2",), ("a/b",), ("..",), ("é ü",), ("x" * 300,)], "v string").select(text.safe_component(F.col("v")).alias("c"), text.ascii_folded(F.col("v")).alias("f")).collect()
     assert names[0].c == "ok-1.2" and names[1].c.startswith("a_b-") and names[2].c.startswith("id-") and names[3].c.startswith("é_ü-") and names[3].f == "e u" and len(names[4].c) == 96 + 13
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, sf, monkeypatch):
+    from stratafolio.operators import storage
+    from stratafolio.plans import QUERIES
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert storage.dealt(lines, "l_orderkey").rdd.getNumPartitions() == lines.rdd.getNumPartitions()
+    few = sorted(map(tuple, QUERIES["ret9_package_claims"](spark, sf).collect()))
+    monkeypatch.setattr(storage, "ROWS_A_TASK", 300)
+    assert storage.dealt(lines, "l_orderkey").rdd.getNumPartitions() == lines.count() // 300
+    assert few and sorted(map(tuple, QUERIES["ret9_package_claims"](spark, sf).collect())) == few
