@@ -41,8 +41,14 @@ def tokens(text: Column) -> Column:
     return F.concat(latin, F.flatten(F.transform(runs, lambda r: F.concat(singles(r), pairs(r)))))
 
 
+def distinct_terms(text: Column) -> Column:
+    """The terms of the whole text in order, each once."""
+    return F.array_distinct(tokens(text))
+
+
 def query_terms(query: Column) -> Column:
-    return F.array_distinct(tokens(F.substring(query, 1, QUERY_CHARS)))
+    """The terms of what a person typed, of which QUERY_CHARS characters count (STR3). Searches by texts of a table take distinct_terms."""
+    return distinct_terms(F.substring(query, 1, QUERY_CHARS))
 
 
 def snippet(text: Column, terms: Column, width: int = 80) -> tuple[Column, Column]:

@@ -18,7 +18,7 @@ ONE = f"q AS (SELECT DISTINCT 0 AS query_id, unnest({TERMS.format('text')}) AS t
 
 
 def terms_of(t, where: str):
-    return t.benchmark.where(where).select(c("item_id").alias("query_id"), F.explode(text.query_terms(c("text"))).alias("term"))
+    return t.benchmark.where(where).select(c("item_id").alias("query_id"), F.explode(text.distinct_terms(c("text"))).alias("term"))
 
 
 def generation(t):
@@ -100,10 +100,9 @@ def bm25_batch(t):
 
 @query("ret2_stale_terms", f"WITH {LINES}, {POSTINGS}, {ONE} SELECT block_id, count(*) AS matched FROM postings JOIN q USING (term) GROUP BY 1")
 def stale(t):
-    q = terms_of(t, "item_id = 0").select("term")
-    blocks = index.line_blocks(t.documents)
-    wanted = [r.term for r in q.collect()]  # of one query
-    matched = F.size(F.array_intersect(text.tokens(c("text")), F.array(*map(F.lit, wanted))))
+    wanted = terms_of(t, "item_id = 0").agg(F.collect_set("term").alias("wanted"))  # of one query
+    blocks = index.line_blocks(t.documents).crossJoin(F.broadcast(wanted))
+    matched = F.size(F.array_intersect(text.tokens(c("text")), "wanted"))
     return blocks.select("block_id", matched.cast("long").alias("matched")).where("matched > 0")
 
 

@@ -126,3 +126,18 @@ def test_nodes_of_large_evidence_are_handed_on_in_pieces():
 def test_pages_of_any_characters(spark, tmp_path):
     tables(spark, tmp_path, documents=([(1, "smile \U0001f600\nplain (a\\b)\n\n漢字 \U00020000 end"), (2, "x")], "doc_id long, text string"))
     assert differences(spark, tmp_path, "arr3_pdf_pages") == []
+
+
+def long_items(spark, folder):
+    """Two items whose last words lie behind 2,000 characters, and documents that have no other word of theirs; orders of the documents, half of them late."""
+    filler = " ".join(f"filler{k}" for k in range(400))
+    items = [(0, f"{filler} Quince quince behind"), (1, f"first {filler} medlar")]
+    texts = ["a quince\nquince and medlar", "medlar behind\nfirst", "nothing of these", "quince quince behind filler1"]
+    orders = [(k, datetime.datetime(1996 + k % 2, 1, 1)) for k in range(4)]
+    tables(spark, folder, benchmark=(items, "item_id long, text string"), documents=(list(enumerate(texts)), "doc_id long, text string"), orders=(orders, "o_orderkey long, o_orderdate timestamp_ntz"))
+
+
+def test_batch_search_uses_whole_items(spark, tmp_path):
+    long_items(spark, tmp_path)
+    for name in ("ret1_bm25_batch", "ret1_bm25_search", "ret2_stale_terms", "ret2_guarded_search"):
+        assert differences(spark, tmp_path, name) == [], name
