@@ -141,3 +141,9 @@ def test_batch_search_uses_whole_items(spark, tmp_path):
     long_items(spark, tmp_path)
     for name in ("ret1_bm25_batch", "ret1_bm25_search", "ret2_stale_terms", "ret2_guarded_search"):
         assert differences(spark, tmp_path, name) == [], name
+
+
+def test_as_of_search_uses_whole_items(spark, tmp_path):
+    long_items(spark, tmp_path)
+    for name in ("ret3_as_of_hits", "ret3_as_of_versions"):
+        assert differences(spark, tmp_path, name) == [], name
