@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +43,14 @@ def _weighted(index: DataFrame, blocks: DataFrame, queries: DataFrame, allowed:
     return measured.join(F.broadcast(df) if few else df, "term").select("term", "block_id", weight.alias("weight"))
 
 
-#: Scores (blocks times queries) that a task holds at once.
+#: Scores (blocks times queries) that a task holds at once, and four times the blocks that it holds for all queries.
 CELLS = 4_000_000
 
 
 def best(index: DataFrame, blocks: DataFrame, queries: DataFrame, n: int, places: int, allowed: DataFrame | None = None, size=None, terms: bool = False) -> DataFrame:
     """(query_id, block_id, score, rank), and `terms` on request: the first n blocks of each query by bm25's score, rounded to `places`, and block_id.
 
-    The postings of the queries' terms are dealt by block, once; a task scores its blocks for all queries, some blocks at a time, and hands on the first n of each query, so that what is shuffled
+    The postings of the queries' terms are dealt by block, once; a task scores its blocks for all queries, some blocks at a time, and hands on its first n of each query, so that what is shuffled
     is the postings and not their pairs with queries. Queries of more than FEW_TERMS terms in all take the plain way, with the same results.
     """
     queries = queries.select("query_id", "term").distinct()
@@ -75,69 +76,132 @@ def best(index: DataFrame, blocks: DataFrame, queries: DataFrame, n: int, places
 
 
 def _scored(batches: Iterator[pa.RecordBatch], width: int, ends: np.ndarray, columns: np.ndarray, words: list[str] | None, n: int, places: int) -> Iterator[pa.RecordBatch]:
-    """The first n blocks of each of `width` queries, of some blocks at a time, from rows (block_id, t, weight) in the order of block_id. The queries of term t are columns[ends[t] : ends[t + 1]]."""
-    ids: list[str] = []
-    scores: list[np.ndarray] = []
-    found: list[np.ndarray] = []
+    """The first n blocks of each of `width` queries among a task's rows (block_id, t, weight), which come in the order of block_id. The queries of term t are columns[ends[t] : ends[t + 1]].
+
+    Held are the blocks that may still be among the first: once n of a query are known, a later block must pass the last of them. Where more than CELLS / 4 are held they go on, and what they must be passed by stays.
+    """
+    each, scale = np.diff(ends), 10.0**places
+    least = np.full(width, -np.inf)  # a further block must pass it
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (query, shown score, block)
+    ids: dict[int, str] = {}
+    found: dict[int, list[int]] = {}
+    terms: list[set[int]] = [set() for _ in range(width)]
+    if words is not None:
+        for t, q in zip(np.repeat(np.arange(len(each)), each).tolist(), columns.tolist()):
+            terms[q].add(t)
+
+    def pruned() -> int:
+        query, shown, block = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((block, -shown, query))
+        query, shown, block = query[order], shown[order], block[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        last = rank == n - 1
+        least[query[last]] = shown[last]
+        kept = rank < n
+        held[:] = [(query[kept], shown[kept], block[kept])]
+        now = set(block[kept].tolist())
+        for x in (ids, found):
+            for b in x.keys() - now:
+                del x[b]
+        return int(kept.sum())
 
     def out() -> pa.RecordBatch:
-        kept, blocks, which = _first(np.concatenate(scores), n, places)
-        said = None if words is None else [[words[t] for t in found[b] if q in columns[ends[t] : ends[t + 1]]] for b, q in zip(blocks, which)]
-        data = [pa.array(which, pa.int32()), pa.array([ids[b] for b in blocks], pa.string()), pa.array(kept, pa.float64()), pa.array(said, pa.list_(pa.string())) if said is not None else pa.nulls(len(kept), pa.list_(pa.string()))]
-        for x in (ids, scores, found):
+        query, shown, block = held[0]
+        pairs = list(zip(query.tolist(), block.tolist()))
+        said = pa.nulls(len(pairs), pa.list_(pa.string())) if words is None else pa.array([[words[t] for t in found[b] if t in terms[q]] for q, b in pairs], pa.list_(pa.string()))
+        data = [pa.array(query, pa.int32()), pa.array([ids[b] for _, b in pairs], pa.string()), pa.array(shown, pa.float64()), said]
+        for x in (held, ids, found):
             x.clear()
         return pa.RecordBatch.from_arrays(data, names=["q", "block_id", "score", "terms"])
 
-    for names, t, weight in _whole(batches):
-        starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
-        stops = np.append(starts[1:], len(names))
-        pairs = np.cumsum(ends[t + 1] - ends[t])
+    seen, count, most = 0, 0, min(100_000, CELLS)
+    for names, starts, t, weight in _whole(batches):
+        stops = np.append(starts[1:], len(t))
+        place, shared = _shared(t, len(starts), width, ends, columns)
+        alone = np.cumsum(np.where(place[t] < 0, each[t], 0))
         at = 0
         while at < len(starts):  # as many blocks as make CELLS pairs or scores, one at least
-            before = pairs[starts[at] - 1] if starts[at] else 0
-            to = max(at + 1, min(int(np.searchsorted(pairs[stops - 1], before + CELLS, "right")), at + max(1, CELLS // width - len(ids))))
+            before = alone[starts[at] - 1] if starts[at] else 0
+            to = max(at + 1, min(int(np.searchsorted(alone[stops - 1], before + CELLS, "right")), at + max(1, CELLS // width)))
             part = slice(starts[at], stops[to - 1])
-            times = ends[t[part] + 1] - ends[t[part]]
-            own = np.repeat(np.arange(to - at), stops[at:to] - starts[at:to])
-            query = columns[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(ends[t[part]], times)]
-            scores.append(np.bincount(np.repeat(own * width, times) + query, np.repeat(weight[part], times), (to - at) * width).reshape(-1, width))
-            ids += names[starts[at:to]].tolist()
-            if words is not None:
-                found += np.split(t[part], starts[at + 1 : to] - starts[at])
-            if len(ids) * width >= CELLS:
-                yield out()
+            scores = _scores(np.repeat(np.arange(to - at), stops[at:to] - starts[at:to]), t[part], weight[part], to - at, width, ends, columns, place, shared)
+            rows, query = np.nonzero(scores > np.maximum(least - 1 / scale, 0.0))
+            shown = np.floor(scores[rows, query] * scale + 0.5) / scale
+            more = shown > least[query]
+            rows, query, shown = rows[more], query[more], shown[more]
+            if len(rows):
+                held.append((query, shown, rows + seen + at))
+                count += len(rows)
+                for r in np.unique(rows).tolist():
+                    ids[seen + at + r] = names[starts[at + r]].as_py()
+                    if words is not None:
+                        found[seen + at + r] = t[starts[at + r] : stops[at + r]].tolist()
+            if count > most:
+                count = pruned()
+                if count > CELLS // 4:
+                    yield out()
+                    count = 0
+                most = max(min(100_000, CELLS), 2 * count)
             at = to
-    if ids:
+        seen += len(starts)
+    if count:
+        pruned()
         yield out()
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches (block_id, t, weight) of whole blocks: a block that the next batch goes on with waits for it."""
-    rest: tuple | None = None
+def _shared(t: np.ndarray, rows: int, width: int, ends: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, matrix): the place of each term among those, `width` at most, that make so many pairs of blocks and queries that a product of matrices is cheaper, or -1; and 1 where such a term is of a query."""
+    each = np.diff(ends)
+    made = np.bincount(t, minlength=len(each)) * each
+    chosen = np.flatnonzero(made * 200 > rows * width)
+    if len(chosen) > width:
+        chosen = np.sort(chosen[np.argsort(-made[chosen], kind="stable")[:width]])
+    place = np.full(len(each), -1)
+    place[chosen] = np.arange(len(chosen))
+    matrix = np.zeros((len(chosen), width))
+    for k, term in enumerate(chosen):
+        matrix[k, columns[ends[term] : ends[term + 1]]] = 1.0
+    return place, matrix
+
+
+def _scores(own: np.ndarray, t: np.ndarray, weight: np.ndarray, rows: int, width: int, ends: np.ndarray, columns: np.ndarray, place: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The sums of weights of `rows` blocks (own: the block of a row) for each query."""
+    alone = place[t] < 0
+    many = ~alone
+    k = len(shared)
+    o, t1 = own[alone], t[alone]
+    times = ends[t1 + 1] - ends[t1]
+    query = columns[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(ends[t1], times)]
+    scores = np.bincount(np.repeat(o * width, times) + query, np.repeat(weight[alone], times), rows * width).reshape(-1, width).astype(np.float64, copy=False)  # integers, if there are none
+    if k:
+        scores += np.bincount(own[many] * k + place[t[many]], weight[many], rows * k).reshape(-1, k) @ shared
+    return scores
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (block_id, t, weight) of whole blocks, with the places where blocks start: a block that the next batch goes on with waits for it."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        now = (np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy().astype(np.int64), batch.column(2).to_numpy())
-        if rest is not None:
-            now = tuple(np.concatenate(x) for x in zip(rest, now))
-        if not len(now[0]):
+        if not batch.num_rows:
             continue
-        cut = len(now[0]) - int(np.argmax((now[0] != now[0][-1])[::-1])) if now[0][0] != now[0][-1] else 0
-        rest = tuple(x[cut:] for x in now)
-        if cut:
-            yield tuple(x[:cut] for x in now)
-    if rest is not None:
-        yield rest
-
-
-def _first(scores: np.ndarray, n: int, places: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(score, row, column) of the first n rows of each column by rounded score and row, rows being in the order of their ids; a score of zero is none."""
-    shown = np.where(scores > 0, np.floor(scores * 10.0**places + 0.5) / 10.0**places, -1.0)
-    keep = scores > 0
-    if len(shown) > n:
-        least = np.partition(shown, len(shown) - n, axis=0)[len(shown) - n]
-        more, same = shown > least, shown == least
-        keep &= more | (same & (np.cumsum(same, axis=0) <= n - more.sum(axis=0)))
-    rows, columns = np.nonzero(keep)
-    return shown[rows, columns], rows, columns
+        names = batch.column(0)
+        new = np.flatnonzero(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)) + 1
+        if rest and rest[-1].column(0)[-1] != names[0]:
+            yield _parts(rest)
+            rest = []
+        if len(new):
+            yield _parts([*rest, batch.slice(0, int(new[-1]))])
+            rest = [batch.slice(int(new[-1]))]
+        else:
+            rest.append(batch)
+    if rest:
+        yield _parts(rest)
+
+
+def _parts(batches: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    names, t, weight = (pa.concat_arrays([b.column(k) for b in batches]) for k in range(3))
+    starts = np.flatnonzero(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False)) + 1
+    return names, np.concatenate(([0], starts)), t.to_numpy().astype(np.int64), weight.to_numpy()
 
 
 def top(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:

@@ -78,24 +78,26 @@ def search(store: index.IndexStore, generation: str, queries: DataFrame, authori
 
     Scores are BM25 over the whole generation; `allowed` (block_id) is applied before any candidate is taken. Candidates are taken in the order of
     score and block_id and rechecked: their present text (authoritative: block_id, text) must pass the gate and still have a term by which they were found; matched has
-    those. Only candidates are rechecked; where too few pass, four times as many are taken, until each query has its hits or no candidate is left.
+    those. Only candidates are rechecked; where too few pass, four times as many are taken for those queries alone, until each query has its hits or no candidate is left.
     Scores are ordered to nine places, below which they depend on the order of their sums, and shown to four, half to even.
     """
     limit = max(1, min(int(limit), MOST_HITS))
-    few = [r.term for r in queries.select("term").distinct().limit(retrieval.FEW_TERMS_READ + 1).collect()]
-    found = store.postings_of(few, generation) if len(few) <= retrieval.FEW_TERMS_READ else store.postings_with(queries, generation)
-    taken = CANDIDATES_A_HIT * limit
+    taken, asked, done = CANDIDATES_A_HIT * limit, queries, None
     while True:
-        head = written(retrieval.best(found, store.blocks(generation), queries, taken, 9, allowed, store.sizes(generation), terms=True))
+        few = [r.term for r in asked.select("term").distinct().limit(retrieval.FEW_TERMS_READ + 1).collect()]
+        found = store.postings_of(few, generation) if len(few) <= retrieval.FEW_TERMS_READ else store.postings_with(asked, generation)
+        head = written(retrieval.best(found, store.blocks(generation), asked, taken, 9, allowed, store.sizes(generation), terms=True))
         raw = authoritative.join(head.select("block_id").distinct(), "block_id", "left_semi")
         present = gate(raw.select("block_id", "text"), projections, heads, hold).select("block_id", "projection_id", tokens(F.col("text")).alias("now"))
         matched = F.array_sort(F.array_distinct(F.array_intersect("terms", "now")))
         passed = written(head.join(present, "block_id").select("query_id", "rank", "block_id", "score", matched.alias("matched"), "projection_id").where(F.size("matched") > 0))
         want = head.groupBy("query_id").count().where(F.col("count") >= taken)
-        short = want.join(passed.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").where(F.coalesce("hits", F.lit(0)) < limit)
+        short = written(want.join(passed.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").where(F.coalesce("hits", F.lit(0)) < limit).select("query_id"))
+        dropped(head)
+        whole = passed.join(short, "query_id", "left_anti")
+        done = whole if done is None else done.unionByName(whole)
         if short.isEmpty():
             break
-        dropped(head, passed)
-        taken *= 4
-    out = retrieval.top(passed.drop("rank"), ["query_id"], limit, F.desc("score"), F.asc("block_id"))
+        asked, taken = queries.join(short, "query_id", "left_semi"), 4 * taken
+    out = retrieval.top(done.drop("rank"), ["query_id"], limit, F.desc("score"), F.asc("block_id"))
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "block_id", numbers.half_even(F.col("score"), 4).alias("score"), "matched", "projection_id")

@@ -147,3 +147,34 @@ def test_as_of_search_uses_whole_items(spark, tmp_path):
     long_items(spark, tmp_path)
     for name in ("ret3_as_of_hits", "ret3_as_of_versions"):
         assert differences(spark, tmp_path, name) == [], name
+
+
+def test_a_task_hands_on_no_more_than_the_first_of_each_query(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from stratafolio.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "CELLS", 40)  # 20 blocks at a time
+    rows = [(f"b{b:04}", t, 1.0 + (b * 7 + t) % 5) for b in range(500) for t in (0, 1)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[at : at + 33])], names=["block_id", "t", "weight"]) for at in range(0, len(rows), 33)]
+    out = [r for b in retrieval._scored(iter(batches), 2, np.array([0, 2, 3]), np.array([0, 1, 1]), ["x", "y"], 4, 6) for r in b.to_pylist()]
+    sums = [[(-sum(w for b, t, w in rows[2 * k : 2 * k + 2] if t in of), rows[2 * k][0]) for k in range(500)] for of in ((0,), (0, 1))]
+    assert sorted((r["q"], -r["score"], r["block_id"]) for r in out) == sorted((q, *x) for q in (0, 1) for x in sorted(sums[q])[:4])
+    assert {(r["q"], tuple(r["terms"])) for r in out} == {(0, ("x",)), (1, ("x", "y"))}
+
+
+def test_only_queries_that_lack_hits_are_searched_again(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stratafolio.operators import index, retrieval, search
+
+    blocks = spark.createDataFrame([(k, 0, f"b{k:03d}", f"{'word' if k < 60 else 'other'} more") for k in range(80)], "doc_id long, ordinal int, block_id string, text string")
+    store = index.IndexStore(spark, str(tmp_path / "index"))
+    name, _ = store.build(blocks, term_buckets=2)
+    now = blocks.withColumn("text", F.when(F.col("doc_id") < 40, "gone").otherwise(F.col("text")))
+    asked, best = [], retrieval.best
+    monkeypatch.setattr(retrieval, "best", lambda i, b, queries, *a, **k: asked.append(sorted(r.term for r in queries.collect())) or best(i, b, queries, *a, **k))
+    found = search.search(store, name, spark.createDataFrame([(0, "word"), (1, "other")], "query_id int, term string"), now, 5).collect()
+    assert sorted((r.query_id, r["rank"], r.block_id) for r in found) == [(0, k + 1, f"b{40 + k:03d}") for k in range(5)] + [(1, k + 1, f"b{60 + k:03d}") for k in range(5)]
+    assert asked == [["other", "word"], ["word"], ["word"]]
